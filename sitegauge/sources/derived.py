@@ -69,12 +69,33 @@ def crawl_pages(pages: DataFrame) -> DataFrame:
         F.concat(start, _page_path(pid)).alias("url"),
         F.when(failed, None).when(pid % 23 == 5, 404).when(pid % 29 == 7, 500)
         .otherwise(200).cast("int").alias("status_code"),
-        F.lit("text/html; charset=utf-8").alias("content_type"),
+        F.when(pid % 41 == 9, "application/pdf").otherwise("text/html; charset=utf-8")
+        .alias("content_type"),
         F.when(~failed, (pid * 7919 % 7000).cast("double") / 1000).alias("load_time"),
         F.when(pid % 31 == 3, "timeout").when(pid % 37 == 11, "connection_error").alias("error"),
         html.alias("html"))
 
 
+def typed_urls(pages: DataFrame) -> DataFrame:
+    """URLs as a user may type them: without scheme, with spaces, without a host."""
+    pid = F.col("page_id")
+    bare = F.regexp_replace("url", "^https?://", "")
+    return pages.select("page_id", F.when(pid % 5 == 1, bare)
+                        .when(pid % 5 == 2, F.concat(F.lit("  "), bare, F.lit(" ")))
+                        .when(pid % 11 == 3, F.lit("https:///nowhere"))
+                        .when(pid % 13 == 4, F.concat(F.lit("["), bare))
+                        .otherwise(F.col("url")).alias("raw_url"))
+
+
+def scoring_inputs(issues: DataFrame) -> DataFrame:
+    """Scoring rows from an issue table; modules whose name has 7 or 14 letters become unseen."""
+    unseen = F.length("module") % 7 == 0
+    return issues.select(
+        F.when(unseen, F.concat(F.lit("New "), F.col("module"))).otherwise(F.col("module"))
+        .alias("module"), "issue_type", "occurrences",
+        F.col("fix_time_hours").alias("fix_time"), "severity")
+
+
 def link_status(external: DataFrame) -> DataFrame:
     """Check result for every distinct external link, from the number in its host."""
     number = F.regexp_extract("url", r"ext-(\d+)", 1).cast("int")
