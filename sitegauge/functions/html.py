@@ -1,113 +1,104 @@
-"""HTML columns built from regular expressions that stay inside the JVM.
+r"""SQL expressions over HTML, built from regular expressions that stay inside the JVM.
 
-An HTML parser sees no tags inside comments, scripts and styles, so those are
-blanked first. Attribute values are read tag by tag, so a quoted '>' or a
-look-alike name inside another value does not mislead.
+Every function takes and returns SQL text, so a whole page audit is parsed in a few
+calls. An HTML parser sees no tags inside comments, scripts and styles, so those are
+blanked first. Attribute values are read tag by tag, so a quoted '>' or a look-alike
+name inside another value does not mislead. Patterns write the single quote as \x27.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Rest of a start tag: a quoted value after '=' may hold '>'. Possessive, so it
 # neither backtracks nor recurses on long pages.
-_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|\x27[^\x27]*+\x27)?+)*+>"""
 _NAME_END = r"(?=[\s/>])"
-_COMMENT = r"<!--.*?--!?>"
-_ATTRIBUTE = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:'[^']*'|"[^"]*"|(?!['"])[^>\s]*))?"""
+_ATTRIBUTE = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:\x27[^\x27]*\x27|"[^"]*"|(?!["\x27])[^>\s]*))?"""
 
 
 def _start_tag(names: str) -> str:
     return rf"<(?:{names}){_NAME_END}{_REST}"
 
 
-def strip_hidden(html: Column) -> Column:
+def strip_hidden(html: str) -> str:
     """HTML without comments and without the content of script and style."""
-    pattern = (rf"(?is){_COMMENT}"
+    pattern = (r"(?is)<!--.*?--!?>"
                rf"|({_start_tag('script')}).*?(?:</script[^>]*>|\z)"
                rf"|({_start_tag('style')}).*?(?:</style[^>]*>|\z)")
-    return F.regexp_replace(html, pattern, "$1$2")
+    return f"regexp_replace({html}, r'{pattern}', '$1$2')"
 
 
-def tag_names(html: Column) -> Column:
+def tag_names(html: str) -> str:
     """Lower-cased names of all start tags, in document order."""
-    names = F.regexp_extract_all(html, F.lit(rf"<([a-zA-Z][^\s/>]*+){_REST}"), F.lit(1))
-    return F.transform(names, F.lower)
+    found = rf"regexp_extract_all({html}, r'<([a-zA-Z][^\s/>]*+){_REST}', 1)"
+    return f"transform({found}, n -> lower(n))"
 
 
-def start_tags(html: Column, *names: str) -> Column:
+def start_tags(html: str, *names: str) -> str:
     """Full text of the start tags with one of the names, in document order."""
-    return F.regexp_extract_all(html, F.lit(rf"(?i){_start_tag('|'.join(names))}"), F.lit(0))
+    return f"regexp_extract_all({html}, r'(?i){_start_tag('|'.join(names))}', 0)"
 
 
-def only(tags: Column, name: str) -> Column:
+def only(tags: str, name: str) -> str:
     """The start tags with this name."""
-    return F.filter(tags, lambda t: t.rlike(rf"\A(?i:<{name}){_NAME_END}"))
+    return rf"filter({tags}, t -> rlike(t, r'\A(?i:<{name}){_NAME_END}'))"
 
 
-def count_of(names: Column, name: str) -> Column:
-    return F.size(F.filter(names, lambda n: n == name))
+def count_of(names: str, name: str) -> str:
+    return f"size(filter({names}, n -> n = '{name}'))"
 
 
-def decode(text: Column) -> Column:
+def decode(text: str) -> str:
     """Replace the five basic character references."""
-    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                            ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(reference), F.lit(char))
+    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\'"),
+                            ("&apos;", "\\'"), ("&amp;", "&")):
+        text = f"replace({text}, '{reference}', '{char}')"
     return text
 
 
-def attribute(tag: Column, name: str) -> Column:
+def attribute(tag: str, name: str) -> str:
     """Decoded value of an attribute: NULL when absent, '' when it has no value.
 
     The last one wins when an attribute is repeated.
     """
-    body = F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*", "")
-    pieces = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
-    piece = F.try_element_at(
-        F.filter(pieces, lambda p: p.rlike(rf"\A(?i:{name})\s*(?:=|\z)")), F.lit(-1))
-    value = F.regexp_replace(piece, r"(?s)\A[^=]+=+\s*|\A[^=]+\z", "")
-    return decode(F.regexp_replace(value, r"""(?s)\A(["'])(.*)\1\z""", "$2"))
+    body = rf"regexp_replace({tag}, r'^<[a-zA-Z][^\s/>]*', '')"
+    pieces = f"regexp_extract_all({body}, r'{_ATTRIBUTE}', 0)"
+    piece = rf"try_element_at(filter({pieces}, p -> rlike(p, r'\A(?i:{name})\s*(?:=|\z)')), -1)"
+    value = rf"regexp_replace({piece}, r'(?s)\A[^=]+=+\s*|\A[^=]+\z', '')"
+    return decode(rf"""regexp_replace({value}, r'(?s)\A(["\x27])(.*)\1\z', '$2')""")
+
+
+def attribute_or_empty(tag: str, name: str) -> str:
+    return f"coalesce({attribute(tag, name)}, '')"
 
 
-def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+def strip_space(text: str) -> str:
+    return rf"regexp_replace({text}, r'\A\s+|\s+\z', '')"
 
 
-def inner_text(fragment: Column) -> Column:
+def inner_text(fragment: str) -> str:
     """Text nodes of a fragment, each stripped, joined without a separator."""
-    nodes = F.split(fragment, r"(?s)</?[a-zA-Z][^>]*>")
-    return F.array_join(F.transform(nodes, lambda t: strip_space(decode(t))), "")
+    nodes = f"split({fragment}, r'(?s)</?[a-zA-Z][^>]*>')"
+    return f"array_join(transform({nodes}, x -> {strip_space(decode('x'))}), '')"
 
 
-def title_text(html: Column) -> Column:
+def title_text(html: str) -> str:
     """Text of the first title element, '' when there is none."""
-    pattern = rf"(?is){_start_tag('title')}(.*?)</title\s*>"
-    return inner_text(F.regexp_extract(html, pattern, 1))
+    return inner_text(rf"regexp_extract({html}, r'(?is){_start_tag('title')}(.*?)</title\s*>', 1)")
 
 
-def heading_texts(html: Column, level: str) -> Column:
-    pattern = rf"(?is){_start_tag(level)}(.*?)</{level}\s*>"
-    blocks = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    return F.transform(blocks, inner_text)
+def heading_texts(html: str, level: str) -> str:
+    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag(level)}(.*?)</{level}\s*>', 1)"
+    return f"transform({blocks}, b -> {inner_text('b')})"
 
 
-def form_structs(html: Column) -> Column:
+def form_structs(html: str) -> str:
     """Array of struct(action, method, input_count, has_validation)."""
-    blocks = F.regexp_extract_all(
-        html, F.lit(rf"(?is){_start_tag('form')}.*?(?:</form\s*>|\z)"), F.lit(0))
-
-    def validates(tag: Column) -> Column:
-        return ((F.coalesce(attribute(tag, "required"), F.lit("")) != "")
-                | (F.coalesce(attribute(tag, "pattern"), F.lit("")) != "")
-                | (F.coalesce(attribute(tag, "type"), F.lit("")) == "email"))
-
-    def describe(block: Column) -> Column:
-        opening = F.regexp_extract(block, rf"\A<[a-zA-Z][^\s/>]*+{_REST}", 0)
-        inputs = start_tags(block, "input")
-        return F.struct(
-            F.coalesce(attribute(opening, "action"), F.lit("")).alias("action"),
-            F.upper(F.coalesce(attribute(opening, "method"), F.lit("get"))).alias("method"),
-            F.size(inputs).alias("input_count"),
-            F.exists(inputs, validates).alias("has_validation"))
-
-    return F.transform(blocks, describe)
+    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag('form')}.*?(?:</form\s*>|\z)', 0)"
+    opening = rf"regexp_extract(b, r'\A<[a-zA-Z][^\s/>]*+{_REST}', 0)"
+    inputs = start_tags("b", "input")
+    validates = (f"{attribute_or_empty('i', 'required')} <> '' or "
+                 f"{attribute_or_empty('i', 'pattern')} <> '' or "
+                 f"{attribute_or_empty('i', 'type')} = 'email'")
+    return (f"transform({blocks}, b -> named_struct("
+            f"'action', {attribute_or_empty(opening, 'action')}, "
+            f"'method', upper(coalesce({attribute(opening, 'method')}, 'get')), "
+            f"'input_count', size({inputs}), "
+            f"'has_validation', exists({inputs}, i -> {validates})))")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,25 +49,20 @@ def depth(url: Column) -> Column:
     return F.size(F.filter(F.split(path(url), "/"), lambda s: s != ""))
 
 
-def title_case(text: Column) -> Column:
-    """Upper-case the first letter of every run of letters of lower-cased text."""
-    runs = F.regexp_extract_all(
-        text, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
-    raised = F.transform(
-        runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), r.substr(F.lit(2), F.length(r))))
-    return F.array_join(raised, "")
-
+def module_of(url: str) -> Column:
+    """Site section of the URL in column ``url``, from the first path segment.
 
-def module_of(url: Column) -> Column:
-    """Site section of a URL, from the first path segment."""
-    trimmed = F.regexp_replace(path(url), r"^/+|/+$", "")
-    first = F.lower(F.substring_index(trimmed, "/", 1))
-    named = reduce(
-        lambda acc, pair: acc.when(F.contains(first, F.lit(pair[0])), F.lit(pair[1])),
-        K.MODULE_KEYS,
-        F.when(trimmed == "", F.lit(K.HOMEPAGE)),
-    )
-    return named.otherwise(title_case(F.translate(first, "-_", "  ")))
+    The segment is bound once as ``s``; a segment outside the lookup is shown with
+    the first letter of every run of letters in upper case.
+    """
+    segment = (rf"lower(substring_index(regexp_replace(regexp_replace(regexp_extract("
+               rf"{url}, r'{_PATH}', 1), r';[^/]*$', ''), r'^/+|/+$', ''), '/', 1))")
+    cases = " ".join(f"when contains(s, '{key}') then '{name}'" for key, name in K.MODULE_KEYS)
+    letters = r"\p{Lu}\p{Ll}\p{Lt}"
+    runs = f"regexp_extract_all(translate(s, '-_', '  '), r'[{letters}]+|[^{letters}]+', 0)"
+    title = f"array_join(transform({runs}, r -> concat(upper(left(r, 1)), substr(r, 2))), '')"
+    return F.expr(f"element_at(transform(array({segment}), s -> "
+                  f"case when s = '' then '{K.HOMEPAGE}' {cases} else {title} end), 1)")
 
 
 def seed_url(raw: Column) -> Column:
@@ -85,48 +78,55 @@ def seed_url(raw: Column) -> Column:
     return F.struct((error == "").alias("is_valid"), url.alias("url"), error.alias("error"))
 
 
-def _drop_dot_segments(target_path: Column) -> Column:
-    """Resolve '.' and '..' segments of an absolute path."""
-    parts = F.split(target_path, "/")
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))))
-    last = F.element_at(parts, -1)
-    closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    joined = F.array_join(closed, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
-
-
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute http(s) URL of a trimmed ``href`` against ``base``, else NULL."""
-    base_scheme = F.lower(F.regexp_extract(base, rf"^({_SCHEME}):", 1))
-    own_scheme = F.lower(F.regexp_extract(href, rf"^({_SCHEME}):", 1))
-    origin = F.concat(base_scheme, F.lit("://"), host(base))
-    base_path = F.regexp_extract(base, _PATH, 1)
-    base_query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    # a scheme equal to the base's, without a host, is a relative reference
-    rest = F.when(
-        (own_scheme == base_scheme) & (own_scheme != ""),
-        F.regexp_replace(href, rf"^{_SCHEME}:", "")).otherwise(href)
-    rel_path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    tail = F.regexp_replace(F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1), r"^\?(#|$)|#$", "$1")
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = F.when(rel_path.startswith("/"), rel_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), rel_path))
-    # a relative path also loses doubled slashes inside
-    joined = F.when(rel_path.startswith("/"), joined).otherwise(
-        F.regexp_replace(joined, r"/{2,}", "/"))
-    resolved_path = F.when(
-        joined.rlike(r"(^|/)\.\.?(/|$)"), _drop_dot_segments(joined)).otherwise(joined)
-    full = (
-        F.when(href == "", base)
-        .when((own_scheme != "") & (own_scheme != base_scheme),
-              F.concat(own_scheme, F.regexp_replace(href, rf"^{_SCHEME}", "")))
-        .when(rest.startswith("//"), F.concat(base_scheme, F.lit(":"), rest))
-        .when((rel_path == "") & tail.startswith("?"), F.concat(origin, base_path, tail))
-        .when(rel_path == "", F.concat(origin, base_path, base_query, tail))
-        .otherwise(F.concat(origin, resolved_path, tail))
-    )
-    return F.when(full.rlike(r"^https?:"), full)
+_FULL_URL = r"""
+    case
+      when x.href = '' then b.url
+      when x.scheme <> '' and x.scheme <> b.scheme
+        then concat(x.scheme, regexp_replace(x.href, r'^{scheme}', ''))
+      when startswith(x.rest, '//') then concat(b.scheme, ':', x.rest)
+      when x.path = ''
+        then concat(b.origin, b.path, if(startswith(x.tail, '?'), '', b.query), x.tail)
+      else concat(b.origin, element_at(transform(
+        array(if(startswith(x.path, '/'), x.path,
+                 regexp_replace(concat(b.folder, x.path), r'/{{2,}}', '/'))),
+        p -> if(rlike(p, r'(^|/)\.\.?(/|$)'), {undotted}, p)), 1), x.tail)
+    end"""
+
+# '.' and '..' segments of the absolute path p resolved
+_UNDOTTED = """
+    element_at(transform(array(array_join(concat(
+      aggregate(split(p, '/'), cast(array() as array<string>),
+        (kept, s) -> case when s = '..' then slice(kept, 1, greatest(size(kept) - 1, 0))
+                          when s = '.' then kept else concat(kept, array(s)) end),
+      if(element_at(split(p, '/'), -1) in ('.', '..'), array(''), cast(array() as array<string>))),
+      '/')), j -> if(j = '', '/', j)), 1)"""
+
+
+def resolve_all(hrefs: str, base: str) -> Column:
+    """Absolute http(s) URLs of the trimmed hrefs in array column ``hrefs``, in order.
+
+    They are resolved against column ``base``. Every step binds its parts in an array
+    of structs, so no part is computed twice: ``b`` the base URL, ``x`` one href. A
+    scheme equal to the base's, without a host, makes a relative reference; an empty
+    query or fragment is dropped; a path relative to the folder loses doubled slashes.
+    """
+    scheme = lambda x: f"lower(regexp_extract({x}, r'^({_SCHEME}):', 1))"
+    base_path = f"regexp_extract({base}, r'{_PATH}', 1)"
+    site = rf"""array(named_struct(
+        'url', {base}, 'scheme', {scheme(base)},
+        'origin', concat({scheme(base)}, '://', regexp_extract({base}, r'{_HOST}', 1)),
+        'path', {base_path},
+        'folder', concat('/', regexp_replace({base_path}, r'^/|[^/]*$', '')),
+        'query', regexp_extract({base}, r'(?s)^[^?#]*(\?[^#]*)', 1)))"""
+    with_scheme = f"transform({hrefs}, h -> named_struct('href', h, 'scheme', {scheme('h')}))"
+    with_rest = f"""transform({with_scheme}, x -> named_struct(
+        'href', x.href, 'scheme', x.scheme, 'rest', if(x.scheme <> '' and x.scheme = b.scheme,
+          regexp_replace(x.href, r'^{_SCHEME}:', ''), x.href)))"""
+    with_parts = rf"""transform({with_rest}, x -> named_struct(
+        'href', x.href, 'scheme', x.scheme, 'rest', x.rest,
+        'path', regexp_extract(x.rest, r'^([^?#]*)', 1),
+        'tail', regexp_replace(regexp_extract(x.rest, r'(?s)^[^?#]*(.*)$', 1),
+                               r'^\?(#|$)|#$', '$1')))"""
+    full = _FULL_URL.format(scheme=_SCHEME, undotted=_UNDOTTED)
+    return F.expr(f"filter(flatten(transform({site}, b -> transform({with_parts}, x -> {full}))), "
+                  "u -> rlike(u, '^https?:'))")

@@ -1,6 +1,8 @@
 """Page audit: one pass over the HTML column yields every page feature."""
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
@@ -8,6 +10,7 @@ from sitegauge.functions import html as H
 from sitegauge.functions import urls as U
 
 LEVELS = ["h1", "h2", "h3", "h4"]
+_FORM = "array<struct<action:string,method:string,input_count:int,has_validation:boolean>>"
 
 
 def page_features(pages: DataFrame) -> DataFrame:
@@ -15,88 +18,79 @@ def page_features(pages: DataFrame) -> DataFrame:
 
     A map-only job: no shuffle, no Python. ``html`` is not carried on.
     """
-    body = F.when(F.col("html") != "", F.col("html"))
-    cleaned = pages.select(
+    has = lambda tag: f"array_contains(names, '{tag}')"
+    count = lambda tag: H.count_of("names", tag)
+    cleaned = pages.selectExpr(
         "site", "start_url", "ord", "url", "status_code", "load_time", "error",
-        H.strip_hidden(body).alias("doc"))
-    tags = cleaned.select(
-        "*",
-        H.tag_names(F.col("doc")).alias("names"),
-        H.start_tags(F.col("doc"), "img", "meta", "link", "a").alias("marked"))
-    split = tags.select(
+        H.strip_hidden("if(html <> '', html, null)") + " as doc")
+    tags = cleaned.selectExpr(
+        "*", H.tag_names("doc") + " as names",
+        H.start_tags("doc", "img", "meta", "link", "a") + " as marked")
+    split = tags.selectExpr(
         "*",
-        H.only(F.col("marked"), "img").alias("imgs"),
-        H.only(F.col("marked"), "meta").alias("metas"),
-        H.only(F.col("marked"), "link").alias("link_tags"),
-        H.only(F.col("marked"), "a").alias("anchors"),
-        H.title_text(F.col("doc")).alias("title"),
-        F.when(F.array_contains("names", "form"), H.form_structs(F.col("doc")))
-        .otherwise(F.when(F.col("doc").isNotNull(), F.array().cast(
-            "array<struct<action:string,method:string,input_count:int,has_validation:boolean>>")))
-        .alias("forms"),
-        *[_headings(level) for level in LEVELS])
-    named = split.select("*", _meta_description().alias("meta_description"))
-    count = lambda name: H.count_of(F.col("names"), name)
-    present = F.col("doc").isNotNull()
-    return named.select(
+        H.only("marked", "img") + " as imgs",
+        H.only("marked", "meta") + " as metas",
+        H.only("marked", "link") + " as link_tags",
+        H.only("marked", "a") + " as anchors",
+        H.title_text("doc") + " as title",
+        # passes for headings and forms run only on pages that have such a tag
+        f"case when {has('form')} then {H.form_structs('doc')} "
+        f"when doc is not null then cast(array() as {_FORM}) end as forms",
+        *[f"case when {has(level)} then {H.heading_texts('doc', level)} "
+          f"when doc is not null then cast(array() as array<string>) end as {level}"
+          for level in LEVELS])
+    resolved = split.selectExpr(
+        "*", _meta_description() + " as meta_description", _hrefs() + " as hrefs",
+    ).withColumn("urls", U.resolve_all("hrefs", "start_url"))
+    when_html = lambda text: f"if(doc is not null, {text}, null)"
+    meta = lambda name, value: f"exists(metas, t -> {H.attribute('t', name)} <=> '{value}')"
+    headings = ", ".join(f"'{level}', {level}" for level in LEVELS)
+    return resolved.select(
         "site", "start_url", "ord", "url", "status_code", "load_time", "error",
-        present.alias("has_html"),
-        U.module_of(F.col("url")).alias("module"),
+        F.expr("doc is not null").alias("has_html"),
+        U.module_of("url").alias("module"),
         U.depth(F.col("url")).alias("depth"),
         "title", "meta_description",
-        F.when(present, F.create_map(
-            *[x for level in LEVELS for x in (F.lit(level), F.col(level))])).alias("headings"),
-        F.when(present, F.size("imgs")).alias("img_total"),
-        F.when(present, F.size(F.filter(
-            "imgs", lambda t: H.strip_space(F.coalesce(H.attribute(t, "alt"), F.lit(""))) == "")))
-        .alias("img_missing_alt"),
+        F.expr(when_html(f"map({headings})")).alias("headings"),
+        F.expr("size(imgs)").alias("img_total"),
+        F.expr("size(filter(imgs, t -> "
+               f"{H.strip_space(H.attribute_or_empty('t', 'alt'))} = ''))").alias("img_missing_alt"),
         "forms",
-        F.when(present, F.size("forms")).alias("form_count"),
-        F.when(present, count("button")).alias("button_count"),
-        F.exists("link_tags", lambda t: F.array_contains(
-            F.split(F.coalesce(H.attribute(t, "rel"), F.lit("")), r"\s+"), "canonical"))
-        .alias("has_canonical"),
-        F.exists("metas", lambda t: H.attribute(t, "name").eqNullSafe("viewport"))
-        .alias("has_viewport"),
-        F.exists("metas", lambda t: H.attribute(t, "property").eqNullSafe("og:title"))
-        .alias("has_og"),
-        (F.col("title") != "").alias("has_title"),
-        (F.col("meta_description") != "").alias("has_meta_description"),
-        F.when(present, count("h1")).alias("h1_count"),
-        F.when(present, F.size("names")).alias("element_count"),
-        F.when(present, count("script")).alias("scripts"),
-        _hrefs().alias("hrefs"))
-
-
-def _headings(level: str):
-    found = F.when(F.array_contains("names", level), H.heading_texts(F.col("doc"), level))
-    empty = F.when(F.col("doc").isNotNull(), F.array().cast("array<string>"))
-    return F.coalesce(found, empty).alias(level)
-
-
-def _meta_description():
+        F.expr("size(forms)").alias("form_count"),
+        F.expr(count("button")).alias("button_count"),
+        F.expr("exists(link_tags, t -> array_contains(split("
+               rf"{H.attribute_or_empty('t', 'rel')}, r'\s+'), 'canonical'))").alias("has_canonical"),
+        F.expr(meta("name", "viewport")).alias("has_viewport"),
+        F.expr(meta("property", "og:title")).alias("has_og"),
+        F.expr("title <> ''").alias("has_title"),
+        F.expr("meta_description <> ''").alias("has_meta_description"),
+        F.expr(count("h1")).alias("h1_count"),
+        F.expr("size(names)").alias("element_count"),
+        F.expr(count("script")).alias("scripts"),
+        _links().alias("links"))
+
+
+def _meta_description() -> str:
     """Content of the first description tag, else of the first alternative, else ''."""
-    def first(name):
-        return F.try_element_at(
-            F.filter("metas", lambda t: H.attribute(t, "name").eqNullSafe(name)), F.lit(1))
-
-    tag = F.coalesce(first("description"), first("meta-description"))
-    return F.when(F.col("doc").isNotNull(), F.coalesce(H.attribute(tag, "content"), F.lit("")))
+    first = lambda name: (
+        f"try_element_at(filter(metas, t -> {H.attribute('t', 'name')} <=> '{name}'), 1)")
+    tag = f"coalesce({first('description')}, {first('meta-description')})"
+    return f"if(doc is not null, {H.attribute_or_empty(tag, 'content')}, null)"
 
 
-def _hrefs():
+def _hrefs() -> str:
     """Trimmed link targets of a page in document order, without in-page and mail links."""
-    values = F.transform(
-        "anchors", lambda t: F.regexp_replace(
-            H.strip_space(H.attribute(t, "href")), r"[\t\r\n]", ""))
+    values = (f"transform(anchors, t -> regexp_replace("
+              rf"{H.strip_space(H.attribute('t', 'href'))}, r'[\t\r\n]', ''))")
+    skipped = " or ".join(f"startswith(h, '{p}')" for p in K.SKIPPED_HREF_PREFIXES)
+    return f"filter({values}, h -> h is not null and not ({skipped}))"
 
-    def wanted(href):
-        keep = href.isNotNull()
-        for prefix in K.SKIPPED_HREF_PREFIXES:
-            keep = keep & ~href.startswith(prefix)
-        return keep
 
-    return F.filter(values, wanted)
+def _links() -> Column:
+    """http(s) links of a page with the test whether they stay on the site."""
+    return F.transform("urls", lambda u: F.struct(
+        u.alias("dst_url"),
+        U.is_same_domain(u, U.base_domain(F.col("start_url"))).alias("is_internal")))
 
 
 def page_headings(features: DataFrame) -> DataFrame:

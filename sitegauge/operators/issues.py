@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
-from sitegauge.functions.numbers import round_even
 from sitegauge.functions.skew import number_per_group
 from sitegauge.functions.urls import module_of
 
@@ -15,83 +14,76 @@ PAGES_PER_CHUNK = 10_000
 _FIELDS = ["issue_type", "severity", "occurrences", "fix_time_hours", "description", "source"]
 
 
-def _issue(rule_no: int, form_no: Column, issue_type: str, severity: Column, occurrences: Column,
-           fix_hours: Column, description: Column, source: str) -> Column:
-    return F.struct(
-        F.lit(rule_no).alias("rule_no"), form_no.cast("int").alias("form_no"),
-        F.lit(issue_type).alias("issue_type"), severity.alias("severity"),
-        occurrences.cast("long").alias("occurrences"),
-        fix_hours.cast("double").alias("fix_time_hours"),
-        description.alias("description"), F.lit(source).alias("source"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
+def _issue(rule_no, form_no, issue_type, severity, occurrences, hours, description, source) -> str:
+    return (f"named_struct('rule_no', {rule_no}, 'form_no', {form_no}, 'issue_type', "
+            f"{_quoted(issue_type)}, 'severity', {severity}, 'occurrences', cast({occurrences} as bigint), "
+            f"'fix_time_hours', cast({hours} as double), 'description', {description}, "
+            f"'source', '{source}')")
+
+
+def _rule(no, cond, issue_type, severity, hours, description, source, occurrences="1") -> str:
+    return (f"case when {cond} then "
+            f"{_issue(no, 0, issue_type, severity, occurrences, hours, description, source)} end")
+
+
+def _page(*tail: str) -> str:
+    """Text starting with "Page '<url>' ", then the given pieces (columns or quoted texts)."""
+    return "concat('Page \\'', url, '\\' ', " + ", ".join(tail) + ")"
 
 
 def _page_rules() -> Column:
     """Array of the issues of one page, in rule order."""
-    url, status = F.col("url"), F.col("status_code")
-    load = F.coalesce(F.col("load_time"), F.lit(0.0))
-    html = F.col("has_html")
-    missing = lambda flag: html & ~F.coalesce(F.col(flag), F.lit(False))
-    page = lambda tail: F.concat(F.lit("Page '"), url, F.lit("' "), *tail)
-    text = lambda words: page([F.lit(words)])
-    level = lambda cond, yes, no: F.when(cond, F.lit(yes)).otherwise(F.lit(no))
-    one, zero = F.lit(1), F.lit(0)
-    h1, alt = F.col("h1_count"), F.col("img_missing_alt")
-
-    def rule(no, cond, issue_type, severity, hours, description, source, occurrences=one):
-        severity = F.lit(severity) if isinstance(severity, str) else severity
-        hours = F.lit(hours) if isinstance(hours, float) else hours
-        return F.when(cond, _issue(no, zero, issue_type, severity, occurrences, hours,
-                                   description, source))
-
-    seconds = load.cast("string")
+    t = _quoted
+    load, low, medium, high = "coalesce(load_time, 0)", t("Low"), t("Medium"), t("High")
+    missing = lambda flag: f"has_html and not coalesce({flag}, false)"
+    codes = lambda values: ", ".join(map(str, values))
     before_forms = [
-        rule(1, status.isin(K.GONE_CODES), "Broken Link (404)", "High", 0.5,
-             page([F.lit("returns HTTP "), status.cast("string"), F.lit(" — broken or removed.")]),
-             "crawl_status"),
-        rule(2, status.isin(K.SERVER_ERROR_CODES), "Server Error", "High", 2.0,
-             page([F.lit("returns server error "), status.cast("string"), F.lit(".")]),
-             "crawl_status"),
-        rule(3, F.col("error") == "timeout", "Page Timeout", "High", 3.0,
-             text(f"timed out after {K.TIMEOUT_SECONDS}s."), "crawl_timeout"),
-        rule(4, load > 3.0, "Slow Page Load", level(load > 6, "High", "Medium"), 4.0,
-             page([F.lit("loaded in "), seconds, F.lit("s (threshold: 3s).")]),
-             "crawl_performance"),
-        rule(5, (load > 1.5) & (load <= 3.0), "Moderate Load Time", "Low", 2.0,
-             page([F.lit("loaded in "), seconds, F.lit("s — consider optimization.")]),
-             "crawl_performance"),
-        rule(6, missing("has_title"), "Missing Page Title", "Medium", 0.25,
-             text("has no <title> tag — impacts SEO."), "crawl_seo"),
-        rule(7, missing("has_meta_description"), "Missing Meta Description", "Low", 0.25,
-             text("missing meta description."), "crawl_seo"),
-        rule(8, h1 > 1, "Multiple H1 Tags", "Low", 0.5,
-             page([F.lit("has "), h1.cast("string"), F.lit(" H1 tags; only one recommended.")]),
-             "crawl_seo", occurrences=h1),
-        rule(9, html & (F.coalesce(h1, zero) == 0), "Missing H1 Tag", "Medium", 0.5,
-             text("has no H1 heading — impacts accessibility/SEO."), "crawl_accessibility"),
-        rule(10, alt > 0, "Missing Image Alt Text", level(alt > 5, "Medium", "Low"),
-             round_even(alt * 0.1, 1),
-             F.concat(alt.cast("string"), F.lit("/"), F.col("img_total").cast("string"),
-                      F.lit(" images on '"), url, F.lit("' lack alt text (WCAG 2.1 violation).")),
-             "crawl_accessibility", occurrences=alt),
+        _rule(1, f"status_code in ({codes(K.GONE_CODES)})", "Broken Link (404)", high, 0.5,
+              _page(t("returns HTTP "), "status_code", t(" — broken or removed.")), "crawl_status"),
+        _rule(2, f"status_code in ({codes(K.SERVER_ERROR_CODES)})", "Server Error", high, 2.0,
+              _page(t("returns server error "), "status_code", t(".")), "crawl_status"),
+        _rule(3, "error = 'timeout'", "Page Timeout", high, 3.0,
+              _page(t(f"timed out after {K.TIMEOUT_SECONDS}s.")), "crawl_timeout"),
+        _rule(4, f"{load} > 3", "Slow Page Load", f"if(load_time > 6, {high}, {medium})", 4.0,
+              _page(t("loaded in "), "load_time", t("s (threshold: 3s).")), "crawl_performance"),
+        _rule(5, f"{load} > 1.5 and {load} <= 3", "Moderate Load Time", low, 2.0,
+              _page(t("loaded in "), "load_time", t("s — consider optimization.")),
+              "crawl_performance"),
+        _rule(6, missing("has_title"), "Missing Page Title", medium, 0.25,
+              _page(t("has no <title> tag — impacts SEO.")), "crawl_seo"),
+        _rule(7, missing("has_meta_description"), "Missing Meta Description", low, 0.25,
+              _page(t("missing meta description.")), "crawl_seo"),
+        _rule(8, "h1_count > 1", "Multiple H1 Tags", low, 0.5,
+              _page(t("has "), "h1_count", t(" H1 tags; only one recommended.")), "crawl_seo",
+              "h1_count"),
+        _rule(9, "has_html and coalesce(h1_count, 0) = 0", "Missing H1 Tag", medium, 0.5,
+              _page(t("has no H1 heading — impacts accessibility/SEO.")), "crawl_accessibility"),
+        _rule(10, "img_missing_alt > 0", "Missing Image Alt Text",
+              f"if(img_missing_alt > 5, {medium}, {low})", "rint(img_missing_alt) / 10",
+              f"concat(img_missing_alt, '/', img_total, {t(' images on ' + chr(39))}, url, "
+              f"{t(chr(39) + ' lack alt text (WCAG 2.1 violation).')})",
+              "crawl_accessibility", "img_missing_alt"),
     ]
-    forms = F.transform(
-        F.coalesce(F.col("forms"), F.array()),
-        lambda f, i: F.when(
-            ~f["has_validation"] & (f["input_count"] > 0),
-            _issue(11, i, "Form Without Client-Side Validation", F.lit("High"), one, F.lit(2.0),
-                   F.concat(F.lit("Form on '"), url, F.lit("' (action='"), f["action"],
-                            F.lit("') has "), f["input_count"].cast("string"),
-                            F.lit(" inputs with no validation.")), "crawl_forms")))
+    form = _issue(
+        11, "i", "Form Without Client-Side Validation", high, 1, 2.0,
+        f"concat({t('Form on ' + chr(39))}, url, {t(chr(39) + ' (action=' + chr(39))}, f.action, "
+        f"{t(chr(39) + ') has ')}, f.input_count, {t(' inputs with no validation.')})", "crawl_forms")
+    forms = (f"transform(coalesce(forms, array()), (f, i) -> "
+             f"case when not f.has_validation and f.input_count > 0 then {form} end)")
     after_forms = [
-        rule(12, missing("has_viewport"), "Missing Viewport Meta Tag", "Medium", 0.25,
-             text("missing viewport meta — not mobile-responsive."), "crawl_mobile"),
-        rule(13, missing("has_canonical") & (F.col("depth") > 0), "Missing Canonical Tag", "Low",
-             0.25, text("missing canonical tag — duplicate content risk."), "crawl_seo"),
-        rule(14, missing("has_og"), "Missing Open Graph Tags", "Low", 0.5,
-             text("has no Open Graph tags — poor social sharing."), "crawl_seo"),
+        _rule(12, missing("has_viewport"), "Missing Viewport Meta Tag", medium, 0.25,
+              _page(t("missing viewport meta — not mobile-responsive.")), "crawl_mobile"),
+        _rule(13, missing("has_canonical") + " and depth > 0", "Missing Canonical Tag", low, 0.25,
+              _page(t("missing canonical tag — duplicate content risk.")), "crawl_seo"),
+        _rule(14, missing("has_og"), "Missing Open Graph Tags", low, 0.5,
+              _page(t("has no Open Graph tags — poor social sharing.")), "crawl_seo"),
     ]
-    everything = F.concat(F.array(*before_forms), forms, F.array(*after_forms))
-    return F.filter(everything, lambda x: x.isNotNull())
+    return F.expr(f"filter(concat(array({', '.join(before_forms)}), {forms}, "
+                  f"array({', '.join(after_forms)})), x -> x is not null)")
 
 
 def page_issues(features: DataFrame) -> DataFrame:
@@ -114,7 +106,7 @@ def link_issues(broken: DataFrame) -> DataFrame:
         F.when(dead, F.lit(16)).otherwise(F.lit(15)).alias("rule_no"),
         F.lit(0).alias("form_no"),
         F.col("url").alias("page_url"),
-        module_of(F.col("url")).alias("module"),
+        module_of("url").alias("module"),
         F.when(dead, F.lit("Unreachable Link")).otherwise(F.lit("Broken External Link"))
         .alias("issue_type"),
         F.when(dead | status.isin(K.GONE_CODES), F.lit("High")).otherwise(F.lit("Medium"))

@@ -11,16 +11,12 @@ from sitegauge.functions.skew import top_per_group
 
 
 def links(features: DataFrame) -> DataFrame:
-    """One row per http(s) link, resolved against the site's start URL."""
+    """One row per http(s) link of the staged feature table."""
     edges = features.select(
-        "site", "start_url", F.col("url").alias("src_url"), F.posexplode("hrefs").alias("pos", "href"))
-    resolved = edges.select(
-        "site", "start_url", "src_url", "pos",
-        U.resolve(F.col("href"), F.col("start_url")).alias("dst_url")
-    ).where(F.col("dst_url").isNotNull())
-    return resolved.select(
-        "site", "src_url", "pos", "dst_url", U.clean_url(F.col("dst_url")).alias("dst_clean"),
-        U.is_same_domain(F.col("dst_url"), U.base_domain(F.col("start_url"))).alias("is_internal"))
+        "site", F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "link"))
+    return edges.select(
+        "site", "src_url", "pos", "link.dst_url",
+        U.clean_url(F.col("link.dst_url")).alias("dst_clean"), "link.is_internal")
 
 
 def external_links(link_edges: DataFrame) -> DataFrame:

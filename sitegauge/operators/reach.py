@@ -45,35 +45,33 @@ def link_reach(start_urls: DataFrame, link_edges: DataFrame, rules: DataFrame |
     starts = start_urls.select("site", F.col("start_url").alias("url")).distinct()
     if rules is not None:
         starts = robots_allowed(starts, rules)
-    frontier = starts.select(
+    # ``seen`` is the number of pages the site has visited up to the end of the level
+    first = starts.select(
         "site", F.lit(1).alias("visit_no"), U.clean_url(F.col("url")).alias("url"),
-        F.lit(0).alias("level"))
-    visited = stage(frontier, "reach")
+        F.lit(0).alias("level"), F.lit(1).alias("seen"))
+    visited = last = stage(first, "reach")
     edges = adjacency(link_edges, rules, max_pages).persist(StorageLevel.DISK_ONLY)
     try:
-        level = 0
-        while level < max_pages:
-            last = visited.where(F.col("level") == level)
-            found = (last.alias("f")
+        for level in range(1, max_pages):
+            open_ends = last.where(F.col("seen") < max_pages)
+            if open_ends.isEmpty():
+                break
+            found = (open_ends.alias("f")
                      .join(edges.alias("e"), (F.col("f.site") == F.col("e.site"))
                            & (F.col("f.url") == F.col("e.src_url")))
                      .groupBy("e.site", "e.url")
-                     .agg(F.min(F.struct("f.visit_no", "e.nth")).alias("key")))
-            fresh = found.join(visited, ["site", "url"], "left_anti")
-            counts = visited.groupBy("site").agg(F.count("*").cast("int").alias("seen"))
-            # at most max_pages * max_pages candidates per site and step
-            order = Window.partitionBy("site").orderBy("key")
-            step = (fresh.withColumn("nth", F.row_number().over(order))
-                    .where(F.col("nth") <= max_pages)
-                    .join(counts, "site")
-                    .where(F.col("seen") + F.col("nth") <= max_pages)
-                    .select("site", (F.col("seen") + F.col("nth")).alias("visit_no"), "url",
-                            F.lit(level + 1).alias("level")))
-            step = stage(step, "reach")
-            if step.isEmpty():
-                break
-            visited = visited.unionByName(step)
-            level += 1
+                     .agg(F.min(F.struct("f.visit_no", "e.nth")).alias("key"),
+                          F.max("f.seen").alias("before")))
+            fresh = found.join(visited.select("site", "url"), ["site", "url"], "left_anti")
+            # at most max_pages * max_pages candidates per site and level
+            by_site = Window.partitionBy("site")
+            ranked = fresh.withColumn(
+                "visit_no", F.col("before") + F.row_number().over(by_site.orderBy("key")))
+            kept = ranked.where(F.col("visit_no") <= max_pages)
+            last = stage(kept.select(
+                "site", "visit_no", "url", F.lit(level).alias("level"),
+                F.max("visit_no").over(by_site).alias("seen")), "reach")
+            visited = visited.unionByName(last)
     finally:
         edges.unpersist()
-    return visited
+    return visited.drop("seen")

@@ -105,7 +105,7 @@ def module_page_counts(features: DataFrame) -> DataFrame:
 
 def module_broken_counts(broken: DataFrame) -> DataFrame:
     """Broken links per module of the broken URL."""
-    return broken.groupBy("site", module_of(F.col("url")).alias("module")).agg(
+    return broken.groupBy("site", module_of("url").alias("module")).agg(
         F.count("*").alias("broken_count"))
 
 

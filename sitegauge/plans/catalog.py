@@ -146,7 +146,7 @@ def queries() -> dict[str, Query]:
         "crawl_scan": crawl_scan,
         "seed_urls": on_urls(seed_urls),
         "url_clean": on_urls(lambda p: p.select("page_id", U.clean_url(F.col("url")).alias("clean"))),
-        "url_module": on_urls(lambda p: p.select("page_id", U.module_of(F.col("url")).alias("module"))),
+        "url_module": on_urls(lambda p: p.select("page_id", U.module_of("url").alias("module"))),
         "page_depth": on_urls(lambda p: p.select("page_id", U.depth(F.col("url")).alias("depth"))),
         "same_domain": on_urls(lambda p: p.select("page_id", U.is_same_domain(
             F.col("url"), F.lit("cheap-pills.example.com")).alias("is_internal"))),

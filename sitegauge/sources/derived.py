@@ -17,63 +17,55 @@ def _pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _page_path(page_id: Column) -> Column:
-    home = (page_id < 100) & (page_id % 20 == 0)
-    return F.when(home, F.lit("")).otherwise(
-        F.concat(_pick(page_id % 14, SECTIONS), F.lit("/"), page_id.cast("string")))
-
-
-def _repeat(text: str, times: Column) -> Column:
-    return F.repeat(F.lit(text), times.cast("int"))
+def _page_path(x: str) -> str:
+    sections = ", ".join(f"'{s}'" for s in SECTIONS)
+    return (f"if({x} < 100 and {x} % 20 = 0, '', "
+            f"concat(element_at(array({sections}), cast({x} % 14 + 1 as int)), '/', {x}))")
+
+
+# links to two pages of the same site: in the same block of 20 and in a later hundred
+_NEAR = "(page_id - page_id % 20 + (page_id % 20 * 3 + 1) % 20)"
+_FAR = ("((page_id - page_id % 20) % 100 + (page_id div 100 * 2 + page_id % 2) * 100"
+        " + (page_id % 20 * 7 + 2) % 20)")
+
+_EXTRA_HTML = [
+    "repeat('<img src=\"a.png\">', cast(page_id % 8 as int))",
+    "repeat('<img src=\"b.png\" alt=\"ok\">', cast(page_id % 3 as int))",
+    "case page_id % 5 when 0 then '<form action=\"/f\" method=\"post\"><input name=\"a\"></form>'"
+    " when 1 then '<form action=\"/g\"><input type=\"email\"></form>' else '' end",
+    "if(page_id % 4 <> 0, '<meta name=\"description\" content=\"d\">', '')",
+    "if(page_id % 3 <> 0, '<meta name=\"viewport\" content=\"width=device-width\">', '')",
+    "if(page_id % 2 = 0, '<link rel=\"canonical\" href=\"/c\">', '')",
+    "if(page_id % 6 = 0, '<meta property=\"og:title\" content=\"t\">', '')",
+    "if(page_id % 9 = 0, '<h1>second</h1>', '')",
+    "if(page_id % 7 < 3, concat('<a href=\"https://ext-', page_id % 97, '.test/x?y=1\">e</a>',"
+    " '<a href=\"//ext-', page_id * 3 % 13, '.test/x#top\">f</a>'), '')",
+    f"concat('<a href=\"/', {_page_path(_NEAR)}, '\">n</a>')",
+    f"concat('<a href=\"/', {_page_path(_FAR)}, '\">n</a>')",
+]
 
 
 def crawl_pages(pages: DataFrame) -> DataFrame:
     """Crawl table of five sites over all given pages."""
-    pid = F.col("page_id")
-    failed = (pid % 31 == 3) | (pid % 37 == 11)
-    site = F.concat(F.lit("site-"), (F.floor(pid / 20) % 5).cast("string"))
-    start = F.concat(F.lit("https://"), site, F.lit(".test/"))
-    body = (
-        F.when(pid % 10 == 3, F.replace(F.replace(
-            F.col("html"), F.lit("<h1>"), F.lit("<h5>")), F.lit("</h1>"), F.lit("</h5>")))
-        .when(pid % 11 == 4, F.replace(F.replace(
-            F.col("html"), F.lit("<title>"), F.lit("<b>")), F.lit("</title>"), F.lit("</b>")))
-        .otherwise(F.col("html")))
-    form = (F.when(pid % 5 == 0, '<form action="/f" method="post"><input name="a"></form>')
-            .when(pid % 5 == 1, '<form action="/g"><input type="email"></form>').otherwise(""))
-    flag = lambda cond, text: F.when(cond, F.lit(text)).otherwise("")
-    external = F.when(pid % 7 < 3, F.concat(
-        F.lit('<a href="https://ext-'), (pid % 97).cast("string"), F.lit('.test/x?y=1">e</a>'),
-        F.lit('<a href="//ext-'), (pid * 3 % 13).cast("string"), F.lit('.test/x#top">f</a>'),
-    )).otherwise("")
-    # two links within the site: one in the same block of 20 pages, one in a later hundred
-    block = pid - pid % 20
-    near = block + (pid % 20 * 3 + 1) % 20
-    far = block % 100 + (F.floor(pid / 100) * 2 + pid % 2) * 100 + (pid % 20 * 7 + 2) % 20
-    onward = lambda target: F.concat(F.lit('<a href="/'), _page_path(target), F.lit('">n</a>'))
-    html = F.when(~failed, F.concat(
-        body,
-        _repeat('<img src="a.png">', pid % 8),
-        _repeat('<img src="b.png" alt="ok">', pid % 3),
-        form,
-        flag(pid % 4 != 0, '<meta name="description" content="d">'),
-        flag(pid % 3 != 0, '<meta name="viewport" content="width=device-width">'),
-        flag(pid % 2 == 0, '<link rel="canonical" href="/c">'),
-        flag(pid % 6 == 0, '<meta property="og:title" content="t">'),
-        flag(pid % 9 == 0, "<h1>second</h1>"),
-        external, onward(near), onward(far)))
-    return pages.select(
-        site.alias("site"),
-        start.alias("start_url"),
-        pid.alias("ord"),
-        F.concat(start, _page_path(pid)).alias("url"),
-        F.when(failed, None).when(pid % 23 == 5, 404).when(pid % 29 == 7, 500)
-        .otherwise(200).cast("int").alias("status_code"),
-        F.when(pid % 41 == 9, "application/pdf").otherwise("text/html; charset=utf-8")
-        .alias("content_type"),
-        F.when(~failed, (pid * 7919 % 7000).cast("double") / 1000).alias("load_time"),
-        F.when(pid % 31 == 3, "timeout").when(pid % 37 == 11, "connection_error").alias("error"),
-        html.alias("html"))
+    failed = "(page_id % 31 = 3 or page_id % 37 = 11)"
+    site = "concat('site-', page_id div 20 % 5)"
+    start = f"concat('https://', {site}, '.test/')"
+    body = ("case when page_id % 10 = 3 then"
+            " replace(replace(html, '<h1>', '<h5>'), '</h1>', '</h5>')"
+            " when page_id % 11 = 4 then"
+            " replace(replace(html, '<title>', '<b>'), '</title>', '</b>') else html end")
+    return pages.selectExpr(
+        f"{site} as site",
+        f"{start} as start_url",
+        "page_id as ord",
+        f"concat({start}, {_page_path('page_id')}) as url",
+        f"case when {failed} then null when page_id % 23 = 5 then 404"
+        " when page_id % 29 = 7 then 500 else 200 end as status_code",
+        "if(page_id % 41 = 9, 'application/pdf', 'text/html; charset=utf-8') as content_type",
+        f"if({failed}, null, cast(page_id * 7919 % 7000 as double) / 1000) as load_time",
+        "case when page_id % 31 = 3 then 'timeout'"
+        " when page_id % 37 = 11 then 'connection_error' end as error",
+        f"if({failed}, null, concat({', '.join([body, *_EXTRA_HTML])})) as html")
 
 
 def typed_urls(pages: DataFrame) -> DataFrame:
