@@ -82,14 +82,14 @@ _FULL_URL = r"""
     case
       when x.href = '' then b.url
       when x.scheme <> '' and x.scheme <> b.scheme
-        then concat(x.scheme, regexp_replace(x.href, r'^{scheme}', ''))
-      when startswith(x.rest, '//') then concat(b.scheme, ':', x.rest)
-      when x.path = ''
+        then x.href
+      when startswith(x.rest, '//') then concat(b.scheme, ':', x.path, x.params, x.tail)
+      when x.path = '' and x.params = ''
         then concat(b.origin, b.path, if(startswith(x.tail, '?'), '', b.query), x.tail)
       else concat(b.origin, element_at(transform(
         array(if(startswith(x.path, '/'), x.path,
                  regexp_replace(concat(b.folder, x.path), r'/{{2,}}', '/'))),
-        p -> if(rlike(p, r'(^|/)\.\.?(/|$)'), {undotted}, p)), 1), x.tail)
+        p -> if(rlike(p, r'(^|/)\.\.?(/|$)'), {undotted}, p)), 1), x.params, x.tail)
     end"""
 
 # '.' and '..' segments of the absolute path p resolved
@@ -99,7 +99,7 @@ _UNDOTTED = """
         (kept, s) -> case when s = '..' then slice(kept, 1, greatest(size(kept) - 1, 0))
                           when s = '.' then kept else concat(kept, array(s)) end),
       if(element_at(split(p, '/'), -1) in ('.', '..'), array(''), cast(array() as array<string>))),
-      '/')), j -> if(j = '', '/', j)), 1)"""
+      '/')), j -> if(startswith(j, '/'), j, concat('/', j))), 1)"""
 
 
 def resolve_all(hrefs: str, base: str) -> Column:
@@ -124,9 +124,11 @@ def resolve_all(hrefs: str, base: str) -> Column:
           regexp_replace(x.href, r'^{_SCHEME}:', ''), x.href)))"""
     with_parts = rf"""transform({with_rest}, x -> named_struct(
         'href', x.href, 'scheme', x.scheme, 'rest', x.rest,
-        'path', regexp_extract(x.rest, r'^([^?#]*)', 1),
+        'path', regexp_extract(x.rest, r'^((?:[^?#]*/)?[^/;?#]*)', 1),
+        'params', regexp_replace(
+          regexp_extract(x.rest, r'^(?:[^?#]*/)?+[^/;?#]*+(;[^/?#]*)', 1), '^;$', ''),
         'tail', regexp_replace(regexp_extract(x.rest, r'(?s)^[^?#]*(.*)$', 1),
                                r'^\?(#|$)|#$', '$1')))"""
-    full = _FULL_URL.format(scheme=_SCHEME, undotted=_UNDOTTED)
+    full = _FULL_URL.format(undotted=_UNDOTTED)
     return F.expr(f"filter(flatten(transform({site}, b -> transform({with_parts}, x -> {full}))), "
-                  "u -> rlike(u, '^https?:'))")
+                  "u -> rlike(u, '^(?i:https?):'))")
