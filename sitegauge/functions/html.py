@@ -20,9 +20,8 @@ def _start_tag(names: str) -> str:
 def strip_hidden(html: str) -> str:
     """HTML without comments and without the content of script and style."""
     pattern = (r"(?is)<!--.*?--!?>"
-               rf"|({_start_tag('script')}).*?(?:</script[^>]*>|\z)"
-               rf"|({_start_tag('style')}).*?(?:</style[^>]*>|\z)")
-    return f"regexp_replace({html}, r'{pattern}', '$1$2')"
+               rf"|(<(script|style){_NAME_END}{_REST}).*?(?:</\2[^>]*>|\z)")
+    return f"regexp_replace({html}, r'{pattern}', '$1')"
 
 
 def tag_names(html: str) -> str:

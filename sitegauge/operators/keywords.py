@@ -50,10 +50,19 @@ def ngram_array(words: Column) -> Column:
 
 
 def term_counts(token_rows: DataFrame) -> DataFrame:
-    """Occurrences of every word and word pair per document."""
-    return (token_rows
-            .select("corpus", "doc_id", F.explode(ngram_array(F.col("words"))).alias("term"))
-            .groupBy("corpus", "doc_id", "term").agg(F.count("*").alias("tf")))
+    """Occurrences of every word and word pair per document.
+
+    A document is one row, so its terms are counted in the row: sorted, then the
+    length of every run of equal terms. Nothing is shuffled.
+    """
+    ordered = token_rows.select(
+        "corpus", "doc_id", F.sort_array(ngram_array(F.col("words"))).alias("terms"))
+    starts = ordered.withColumn("starts", F.expr(
+        "filter(transform(terms, (t, i) -> if(i = 0 or get(terms, i - 1) <> t, i, null)),"
+        " i -> i is not null)"))
+    runs = ("transform(starts, (start, k) -> named_struct('term', get(terms, start), 'tf',"
+            " cast(coalesce(get(starts, k + 1), size(terms)) - start as bigint)))")
+    return starts.select("corpus", "doc_id", F.inline(F.expr(runs)))
 
 
 def vocabulary(counts: DataFrame, size: int = K.VOCABULARY_SIZE) -> DataFrame:
@@ -67,7 +76,8 @@ def tfidf(token_rows: DataFrame, single_corpus: bool = False) -> DataFrame:
     """L2-normalised weight per document and vocabulary term, smoothed idf.
 
     With a single corpus the vocabulary has at most 100 rows and is broadcast;
-    otherwise Spark sizes the join at run time.
+    otherwise Spark sizes the join at run time. Texts are read once for the vocabulary
+    and once for the weights; only vocabulary terms are shuffled by document.
     """
     counts = term_counts(token_rows)
     sizes = token_rows.groupBy("corpus").agg(F.count("*").alias("n_docs"))
