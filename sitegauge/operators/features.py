@@ -39,11 +39,12 @@ def page_features(pages: DataFrame) -> DataFrame:
         *[f"case when {has(level)} then {H.heading_texts('doc', level)} "
           f"when doc is not null then cast(array() as array<string>) end as {level}"
           for level in LEVELS])
-    resolved = split.selectExpr(
-        "*", _meta_description() + " as meta_description", _hrefs() + " as hrefs",
-    ).withColumn("urls", U.resolve_all("hrefs", "start_url"))
+    named = split.selectExpr(
+        "*", f"transform(metas, t -> {H.attribute('t', 'name')}) as meta_names", _hrefs() + " as hrefs")
+    resolved = named.select(
+        "*", F.expr(_meta_description()).alias("meta_description"),
+        U.resolve_all("hrefs", "start_url").alias("urls"))
     when_html = lambda text: f"if(doc is not null, {text}, null)"
-    meta = lambda name, value: f"exists(metas, t -> {H.attribute('t', name)} <=> '{value}')"
     headings = ", ".join(f"'{level}', {level}" for level in LEVELS)
     return resolved.select(
         "site", "start_url", "ord", "url", "status_code", "load_time", "error",
@@ -60,8 +61,8 @@ def page_features(pages: DataFrame) -> DataFrame:
         F.expr(count("button")).alias("button_count"),
         F.expr("exists(link_tags, t -> array_contains(split("
                rf"{H.attribute_or_empty('t', 'rel')}, r'\s+'), 'canonical'))").alias("has_canonical"),
-        F.expr(meta("name", "viewport")).alias("has_viewport"),
-        F.expr(meta("property", "og:title")).alias("has_og"),
+        F.expr("array_position(meta_names, 'viewport') > 0").alias("has_viewport"),
+        F.expr(f"exists(metas, t -> {H.attribute('t', 'property')} <=> 'og:title')").alias("has_og"),
         F.expr("title <> ''").alias("has_title"),
         F.expr("meta_description <> ''").alias("has_meta_description"),
         F.expr(count("h1")).alias("h1_count"),
@@ -72,8 +73,7 @@ def page_features(pages: DataFrame) -> DataFrame:
 
 def _meta_description() -> str:
     """Content of the first description tag, else of the first alternative, else ''."""
-    first = lambda name: (
-        f"try_element_at(filter(metas, t -> {H.attribute('t', 'name')} <=> '{name}'), 1)")
+    first = lambda name: f"get(metas, cast(array_position(meta_names, '{name}') as int) - 1)"
     tag = f"coalesce({first('description')}, {first('meta-description')})"
     return f"if(doc is not null, {H.attribute_or_empty(tag, 'content')}, null)"
 

@@ -47,6 +47,12 @@ def with_robots(urls: DataFrame, rules: DataFrame, url: str = "url",
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url",
                    respect_robots: bool = True) -> DataFrame:
-    """URLs that may be fetched; all URLs of a site go when its start URL is blocked."""
+    """URLs that may be fetched."""
     checked = with_robots(urls, rules, url, respect_robots)
     return checked.where(F.col("allowed")).drop("allowed")
+
+
+def allowed_pages(pages: DataFrame, rules: DataFrame, respect_robots: bool = True) -> DataFrame:
+    """Pages of a crawl that may be fetched; none of a site whose start URL is blocked."""
+    open_sites = robots_allowed(pages, rules, "start_url", respect_robots)
+    return robots_allowed(open_sites, rules, "url", respect_robots)

@@ -62,7 +62,7 @@ def crawl_scan(spark, sf_dir):
 
 def robots_check(spark, sf_dir):
     pages = crawl(spark, sf_dir).select("site", "start_url", "url")
-    return robots.robots_allowed(pages, derived.robots_rules(pages)).select("site", "url")
+    return robots.allowed_pages(pages, derived.robots_rules(pages)).select("site", "url")
 
 
 def crawl_order(spark, sf_dir):

@@ -8,7 +8,7 @@ from sitegauge import schemas
 from sitegauge.operators import links as L
 from sitegauge.operators.features import page_features
 from sitegauge.operators.reach import link_reach
-from sitegauge.operators.robots import robots_allowed
+from sitegauge.operators.robots import allowed_pages, robots_allowed
 
 EDGE = "site string, src_url string, pos int, dst_url string, dst_clean string, is_internal boolean"
 
@@ -106,6 +106,12 @@ def test_reach_matches_a_queue(spark):
 
 
 def test_blocked_start_blocks_the_site(spark):
+    pages = spark.createDataFrame(
+        [("a", "https://a.test/", "https://b.test/x"), ("b", "https://b.test/", "https://b.test/x"),
+         ("b", "https://b.test/", "https://a.test/x")], "site string, start_url string, url string")
+    closed = spark.createDataFrame([("a.test", "*", 0, False, "/")], schemas.ROBOTS_RULES)
+    assert [tuple(r)[::2] for r in allowed_pages(pages, closed).select(*pages.columns).collect()] == [("b", "https://b.test/x")]
+    assert allowed_pages(pages, closed, respect_robots=False).count() == 3
     starts = spark.createDataFrame([("a", "https://a.test/")], "site string, start_url string")
     edges = spark.createDataFrame([("a", "https://a.test/", 0, "https://a.test/x", "https://a.test/x", True)], EDGE)
     robots = spark.createDataFrame([("a.test", "*", 0, False, "/")], schemas.ROBOTS_RULES)
