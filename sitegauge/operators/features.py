@@ -93,15 +93,20 @@ def _links() -> Column:
         U.is_same_domain(u, U.base_domain(F.col("start_url"))).alias("is_internal")))
 
 
+# The outer explodes below keep Spark from adding a size filter under the feature
+# columns, which would run the whole page audit a second time on unstaged features.
+
+
 def page_headings(features: DataFrame) -> DataFrame:
     """One row per heading text."""
     return (features
-            .select("site", "url", F.explode("headings").alias("level", "texts"))
+            .select("site", "url", F.explode_outer("headings").alias("level", "texts"))
             .select("site", "url", "level", F.posexplode("texts").alias("pos", "text")))
 
 
 def page_forms(features: DataFrame) -> DataFrame:
     """One row per form."""
     return (features
-            .select("site", "url", F.posexplode("forms").alias("form_no", "form"))
+            .select("site", "url", F.posexplode_outer("forms").alias("form_no", "form"))
+            .where(F.col("form_no").isNotNull())
             .select("site", "url", "form_no", "form.*"))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from sitegauge import constants as K
 from sitegauge.functions.numbers import round_even
 from sitegauge.functions.skew import top_per_group
+from sitegauge.session import stage
+
+# frequent words that are broadcast at most
+BROADCAST_WORDS = 100_000
 
 # fixed values: white space that ends a URL, beyond the ASCII set of \s
 _OTHER_SPACE = (r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
@@ -65,8 +69,32 @@ def term_counts(token_rows: DataFrame) -> DataFrame:
     return starts.select("corpus", "doc_id", F.inline(F.expr(runs)))
 
 
-def vocabulary(counts: DataFrame, size: int = K.VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent terms of every corpus with document frequency; ties by term."""
+def frequent_words(token_rows: DataFrame, size: int) -> DataFrame:
+    """Words at least as frequent as the ``size``-th most frequent word of their corpus."""
+    # never empty; the plain explode would add a size filter that cleans the text again
+    totals = (token_rows.select("corpus", F.explode_outer("words").alias("word"))
+              .groupBy("corpus", "word").agg(F.count("*").alias("total")))
+    floors = (top_per_group(totals, ["corpus"], [F.desc("total"), F.asc("word")], size, "nth")
+              .where(F.col("nth") == size).select("corpus", F.col("total").alias("floor")))
+    return (totals.join(floors, "corpus", "left")
+            .where(F.col("total") >= F.coalesce("floor", F.lit(0))).select("corpus", "word"))
+
+
+def vocabulary(token_rows: DataFrame, size: int = K.VOCABULARY_SIZE) -> DataFrame:
+    """The most frequent terms of every corpus with document frequency; ties by term.
+
+    A pair occurs at most as often as either of its words, so a term made of a word
+    below the ``size``-th word cannot be among the first ``size`` terms. Such terms are
+    dropped before the shuffle when the frequent words are few enough to broadcast,
+    which is checked; otherwise all terms are counted. Both ways give the same result.
+    """
+    counts = term_counts(token_rows)
+    words = stage(frequent_words(token_rows, size), "words")
+    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        for nth in (1, -1):
+            part = F.substring_index("term", " ", nth)
+            counts = counts.withColumn("word", part).join(
+                F.broadcast(words), ["corpus", "word"], "left_semi").drop("word")
     terms = counts.groupBy("corpus", "term").agg(
         F.sum("tf").alias("total"), F.count("*").alias("df"))
     return top_per_group(terms, ["corpus"], [F.desc("total"), F.asc("term")], size, "term_no")
@@ -76,12 +104,12 @@ def tfidf(token_rows: DataFrame, single_corpus: bool = False) -> DataFrame:
     """L2-normalised weight per document and vocabulary term, smoothed idf.
 
     With a single corpus the vocabulary has at most 100 rows and is broadcast;
-    otherwise Spark sizes the join at run time. Texts are read once for the vocabulary
-    and once for the weights; only vocabulary terms are shuffled by document.
+    otherwise Spark sizes the join at run time. Only vocabulary terms are shuffled by
+    document.
     """
     counts = term_counts(token_rows)
     sizes = token_rows.groupBy("corpus").agg(F.count("*").alias("n_docs"))
-    terms = vocabulary(counts).join(sizes, "corpus").select(
+    terms = vocabulary(token_rows).join(sizes, "corpus").select(
         "corpus", "term", "term_no",
         (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     if single_corpus:

@@ -13,7 +13,8 @@ from sitegauge.functions.skew import top_per_group
 def links(features: DataFrame) -> DataFrame:
     """One row per http(s) link of the staged feature table."""
     edges = features.select(
-        "site", F.col("url").alias("src_url"), F.posexplode("links").alias("pos", "link"))
+        "site", F.col("url").alias("src_url"), F.posexplode_outer("links").alias("pos", "link")
+    ).where(F.col("pos").isNotNull())
     return edges.select(
         "site", "src_url", "pos", "link.dst_url",
         U.clean_url(F.col("link.dst_url")).alias("dst_clean"), "link.is_internal")

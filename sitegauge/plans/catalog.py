@@ -200,8 +200,7 @@ def queries() -> dict[str, Query]:
         "clean_tokens": on_audit(lambda a: keywords.tokens(text_of(a)).select(
             "corpus", "doc_id", F.posexplode("words").alias("pos", "word"))),
         "ngrams": on_audit(lambda a: keywords.term_counts(keywords.tokens(text_of(a)))),
-        "vocabulary": on_audit(lambda a: keywords.vocabulary(
-            keywords.term_counts(keywords.tokens(text_of(a))))),
+        "vocabulary": on_audit(lambda a: keywords.vocabulary(keywords.tokens(text_of(a)))),
         "tfidf_keywords": on_audit(issue_keywords),
         "document_keywords": document_keywords,
         "text_guard": on_audit(lambda a: keywords.text_guard(text_of(a))),

@@ -68,6 +68,20 @@ def test_tfidf_matches_brute_force(spark, single):
     assert all(r.cloud_weight == max(r.score * 100, 1) for r in top)
 
 
+def test_vocabulary_is_the_same_with_and_without_pruning(spark, monkeypatch):
+    texts = [" ".join(f"w{'abcdefghij'[(i * k) % 10]}x{'abc'[k % 3]}y" for k in range(1, i % 9 + 2)) for i in range(60)]
+    token_rows = T.tokens(docs(spark, texts))
+    pruned = sorted(map(tuple, T.vocabulary(token_rows, 7).collect()))
+    monkeypatch.setattr(T, "BROADCAST_WORDS", 0)
+    assert sorted(map(tuple, T.vocabulary(token_rows, 7).collect())) == pruned
+    counted = Counter()
+    for text in texts:
+        w = words_of(text)
+        counted.update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    best = sorted(counted, key=lambda t: (-counted[t], t))[:7]
+    assert sorted(r[1] for r in pruned) == sorted(best)
+
+
 def test_text_guard(spark):
     df = spark.createDataFrame([("a", "1", "x"), ("a", "2", "x"), ("b", "1", "x"), ("b", "2", "x"), ("b", "3", "x")],
                                "corpus string, doc_id string, text string")
