@@ -8,7 +8,6 @@ steps prune columns.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +23,15 @@ RECOMMENDED_CONF = {
     "spark.sql.files.maxPartitionBytes": "64m",
 }
 
-_local_dirs: dict[str, str] = {}
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables, as named by ``spark.checkpoint.dir``."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="sitegauge-")
-    return _local_dirs[app]
+    """Shared folder for staged tables.
+
+    It is the one named by ``spark.checkpoint.dir`` or set with ``setCheckpointDir``;
+    where neither is given, as in tests, a folder of the warehouse, which all
+    executors can reach as well.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

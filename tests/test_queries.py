@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sitegauge.plans import catalog
+from sitegauge.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {"issue_clusters", "cluster_profile", "forest_metrics", "forest_confusion", "forest_report",
@@ -37,11 +37,11 @@ def normal(row, names):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.queries()) - set(oracle.statements()) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.statements()))
 def test_query_equals_sql(spark, tables, name):
     df = entry.queries()[name](spark, SF)
     result = tables.execute(entry.oracle_sql()[name])
