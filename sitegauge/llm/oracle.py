@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+LINE_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeated AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (
+  SELECT doc_id, pos, line, coalesce(doc_id > first_doc, false) AS gone
+  FROM keyed LEFT JOIN repeated USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": LINE_DEDUP}

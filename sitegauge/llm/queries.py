@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import fingerprints
+from sitegauge.llm import fingerprints, line_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,5 +17,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_mixture": lambda spark, sf: mixing.mixture(documents(spark, sf)),
+        "op5_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
         "op3_fingerprints": lambda spark, sf: fingerprints.fingerprints(documents(spark, sf)),
     }
