@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import fingerprints, line_dedup, mixing
+from sitegauge.llm import bpe, fingerprints, line_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file() -> str:
+    """Place of the public word-BPE file, read-only and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_mixture": lambda spark, sf: mixing.mixture(documents(spark, sf)),
+        "op8_bpe": lambda spark, sf: bpe.digests(documents(spark, sf), tokenizer_file()),
         "op5_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
         "op3_fingerprints": lambda spark, sf: fingerprints.fingerprints(documents(spark, sf)),
     }
