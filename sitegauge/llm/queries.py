@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import bpe, fingerprints, line_dedup, mixing
+from sitegauge.llm import bpe, fingerprints, line_dedup, mixing, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,4 +28,5 @@ def queries() -> dict[str, Query]:
         "op8_bpe": lambda spark, sf: bpe.digests(documents(spark, sf), tokenizer_file()),
         "op5_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
         "op3_fingerprints": lambda spark, sf: fingerprints.fingerprints(documents(spark, sf)),
+        "op9_near_dedup": lambda spark, sf: near_dedup.near_duplicates(documents(spark, sf)),
     }
