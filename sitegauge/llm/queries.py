@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, url_trust
+from sitegauge.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, pii, url_trust
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def tokenizer_file() -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": lambda spark, sf: pii.personal_data(documents(spark, sf)),
         "op4_mixture": lambda spark, sf: mixing.mixture(documents(spark, sf)),
         "op7_url_trust": lambda spark, sf: url_trust.judge(spark.read.parquet(f"{sf}/pages.parquet")),
         "op8_bpe": lambda spark, sf: bpe.digests(documents(spark, sf), tokenizer_file()),
