@@ -36,7 +36,7 @@ CONTEXT = 200
 
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_DOTTED = re.compile(r"[0-9](?:[0-9]|\.(?=[0-9]))*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9][0-9().\-/]*[0-9]")
@@ -61,6 +61,8 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def ips(text: str) -> Iterator[tuple[int, int]]:
     """Four numbers at a time of a dotted run; those above 255 are dropped."""
     for m in _DOTTED.finditer(text):
+        if m.group().count(".") < 3:
+            continue
         start, numbers = m.start(), m.group().split(".")
         for i in range(0, len(numbers) - 3, 4):
             four = numbers[i:i + 4]
