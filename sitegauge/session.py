@@ -34,11 +34,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back."""
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Nothing reads the write's own shuffle files again, so they are removed with it.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/sitegauge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
