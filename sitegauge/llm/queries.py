@@ -6,15 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, pii, url_trust
+from sitegauge.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, pii, quality, url_trust
+from sitegauge.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def tokenizer_file() -> str:
     """Place of the public word-BPE file, read-only and never copied."""
     import public_tokenizers
@@ -22,13 +19,24 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def over(*tables: str, run: Callable[..., DataFrame]) -> Query:
+    """A query that applies ``run`` to whole given tables."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(*[spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables])
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     return {
-        "op1_pii": lambda spark, sf: pii.personal_data(documents(spark, sf)),
-        "op4_mixture": lambda spark, sf: mixing.mixture(documents(spark, sf)),
-        "op7_url_trust": lambda spark, sf: url_trust.judge(spark.read.parquet(f"{sf}/pages.parquet")),
-        "op8_bpe": lambda spark, sf: bpe.digests(documents(spark, sf), tokenizer_file()),
-        "op5_line_dedup": lambda spark, sf: line_dedup.digests(documents(spark, sf)),
-        "op3_fingerprints": lambda spark, sf: fingerprints.fingerprints(documents(spark, sf)),
-        "op9_near_dedup": lambda spark, sf: near_dedup.near_duplicates(documents(spark, sf)),
+        "op1_pii": over("documents", run=pii.personal_data),
+        "op3_fingerprints": over("documents", run=fingerprints.fingerprints),
+        "op4_mixture": over("documents", run=mixing.mixture),
+        "op5_line_dedup": over("documents", run=line_dedup.digests),
+        "op6_quality": over("documents", "labels", run=quality.judged),
+        "op7_url_trust": over("pages", run=url_trust.judge),
+        "op8_bpe": over("documents", run=lambda docs: bpe.digests(docs, tokenizer_file())),
+        "op9_near_dedup": over("documents", run=near_dedup.near_duplicates),
     }
