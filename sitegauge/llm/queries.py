@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, pii, quality, url_trust
+from sitegauge.llm import ann, bpe, fingerprints, line_dedup, mixing, near_dedup, pii, quality, url_trust
 from sitegauge.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +38,6 @@ def queries() -> dict[str, Query]:
         "op6_quality": over("documents", "labels", run=quality.judged),
         "op7_url_trust": over("pages", run=url_trust.judge),
         "op8_bpe": over("documents", run=lambda docs: bpe.digests(docs, tokenizer_file())),
+        "op10_neighbours": over("embeddings", run=ann.nearest),
         "op9_near_dedup": over("documents", run=near_dedup.near_duplicates),
     }
