@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import ann, bpe, fingerprints, line_dedup, mixing, near_dedup, pii, quality, url_trust
+from sitegauge.llm import ann, bpe, fingerprints, licences, line_dedup, mixing, near_dedup, pii, quality, url_trust
 from sitegauge.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ def over(*tables: str, run: Callable[..., DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": over("documents", run=pii.personal_data),
+        "op2_licences": over("documents", run=licences.scan),
         "op3_fingerprints": over("documents", run=fingerprints.fingerprints),
         "op4_mixture": over("documents", run=mixing.mixture),
         "op5_line_dedup": over("documents", run=line_dedup.digests),
