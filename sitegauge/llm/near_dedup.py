@@ -9,9 +9,11 @@
    copies does. Pairs whose minima agree too rarely are dropped, the others are
    confirmed on the full sets, and links are joined to components.
 4. A bucket whose members are in one component is done: no further pair of it could
-   change the result. In the others the number of leaders grows eightfold a round,
-   until every member is one; so all pairs that could still join two components have
-   been compared in the end, without a cap.
+   change the result. For the members of all others an exact prefix join finds every
+   pair that could still join two components, without a cap: two sets of similarity
+   0.85 share a shingle among the rarest 15 % of each, and early enough in both for
+   the rest to reach the needed overlap. Per shingle, only rows outside its largest
+   component look for partners, so a large group of copies is not paired with itself.
 
 Node names, buckets and links stay in tables; the driver sees counts only.
 """
@@ -35,7 +37,6 @@ BANDS, BAND_ROWS = 24, 5
 HASHES = BANDS * BAND_ROWS
 #: Least share of equal minima of a pair that is confirmed: five standard deviations below 0.85.
 LEAST_AGREEMENT = 0.68
-MORE_LEADERS = 8
 
 _RNG = np.random.default_rng(24)
 _FACTOR = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -45,13 +46,16 @@ _SALTS = _RNG.integers(0, 2**63, 2, dtype=np.uint64)
 
 def row_id() -> Column:
     """Number of a document; where it is null, a negative number from its text."""
-    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1))
+    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(text_hash(), 1))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = W.bytes_of(batch.column(2))
+        data, offsets = W.bytes_of(batch.column(3))
         for first, last in W.pieces(offsets):
             part = offsets[first:last + 1]
             hashes, counts = W.shingle_hashes(data[part[0]:part[-1]], part - part[0], SHINGLE_WORDS)
@@ -70,17 +74,18 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest[at, 0] = W.mix(own ^ _SALTS[0]).sum()
                     digest[at, 1] = W.mix(own ^ _SALTS[1]).sum()
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(sizes),
+                *[batch.column(i).slice(first, n) for i in range(3)], pa.array(sizes),
                 pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
                 pa.array([m.tobytes() for m in minima], pa.binary())],
-                names=["doc_id", "id", "n_shingles", "lo", "hi", "minima"])
+                names=["doc_id", "id", "text_hash", "n_shingles", "lo", "hi", "minima"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, id, number of distinct shingles, set digest and hash minima."""
+    """Per row: doc_id, id, text_hash, number of distinct shingles, set digest and hash minima."""
     text = F.col("text").cast("string").alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), text).mapInArrow(
-        _sketch_rows, "doc_id long, id long, n_shingles long, lo long, hi long, minima binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"),
+                       text_hash().alias("text_hash"), text).mapInArrow(
+        _sketch_rows, "doc_id long, id long, text_hash long, n_shingles long, lo long, hi long, minima binary")
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,19 +113,54 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(kept, pa.bool_()))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, component and text -> id, component and the sorted distinct shingles."""
+    for batch in W.slices(batches, 500):
+        data, offsets = W.bytes_of(batch.column(2))
+        hashes, counts = W.shingle_hashes(data, offsets, SHINGLE_WORDS)
+        sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()),
+            pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32),
+                                     np.concatenate(sets))], names=["node", "c", "size", "shingles"])
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose minima agree often enough and whose full sets are similar."""
     minima = nodes.select("node", "minima")
     similar = stage(
         pairs.join(minima.toDF("a", "minima_a"), "a").join(minima.toDF("b", "minima_b"), "b")
-        .select("a", "b", "minima_a", "minima_b").mapInArrow(_agreeing, "a long, b long"), "near-pairs")
-    wanted = similar.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = stage(texts.join(wanted, "id", "left_semi")
-                  .dropDuplicates(["id", "text"]), "near-texts")
-    return (similar.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
+        .select("a", "b", "minima_a", "minima_b").mapInArrow(_agreeing, "a long, b long").distinct(), "near-pairs")
+    return (similar.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
             .select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long").distinct())
 
 
+def _prefix_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that a prefix join cannot rule out.
+
+    ``labelled`` has columns node and c, its component.
+    """
+    sets = labelled.join(texts.withColumnRenamed("id", "node"), "node").select("node", "c", "text").mapInArrow(
+        _shingle_rows, "node long, c long, size long, shingles array<long>")
+    rows = stage(sets, "near-sets").select("node", "c", "size", F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    kept = F.col("size") - F.floor((F.col("size") * PERCENT + 99) / 100).cast("long") + 1
+    prefixes = stage(
+        rows.join(often, "shingle").groupBy("node", "c", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+        .select("node", "c", "size", F.posexplode(F.slice("s", F.lit(1), kept.cast("int"))).alias("pos", "s"))
+        .where("s.often > 1").select("node", "c", "size", "pos", "s.shingle"), "near-prefixes")
+    of_c = prefixes.groupBy("shingle", "c").agg(F.count("*").alias("n"))
+    main = of_c.groupBy("shingle").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("cs")).where("cs > 1")
+    right = prefixes.join(main.select("shingle", "main"), "shingle")
+    left = right.where("c <> main").select("shingle", *[F.col(x).alias(f"{x}_") for x in ("node", "c", "size", "pos")])
+    # were this the first shingle they share, so many could follow at most, itself included
+    reach = F.least(F.col("size") - F.col("pos"), F.col("size_") - F.col("pos_"))
+    return (left.join(right, "shingle")
+            .where((F.col("c") != F.col("c_")) & ((100 + PERCENT) * reach >= PERCENT * (F.col("size") + F.col("size_"))))
+            .select(*_pair("node", "node_")).distinct())
+
+
 def _bucket_rows(nodes: DataFrame) -> DataFrame:
     """(bucket, node, size, score) of the buckets that hold two nodes or more."""
     width = 2 * BAND_ROWS
@@ -144,46 +184,22 @@ def node_components(nodes: DataFrame, texts: DataFrame, known: DataFrame) -> Dat
     """
     rows = _bucket_rows(nodes)
     leader = rows.groupBy("bucket").agg(F.max_by("node", "score").alias("leader"))
-    pairs = stage(rows.join(leader, "bucket").where("node <> leader").select(*_pair("node", "leader")).distinct(),
-                  "near-tested")
-    links = stage(_confirmed(pairs, nodes, texts).union(known), "near-links")
+    pairs = rows.join(leader, "bucket").where("node <> leader").select(*_pair("node", "leader")).distinct()
+    shared = stage(texts.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+                   .dropDuplicates(["id", "text"]), "near-texts")
+    links = stage(_confirmed(pairs, nodes, shared).union(known), "near-links")
     labels = components(links.toDF("u", "v"))
-    tested, share, largest = pairs, MORE_LEADERS, None
-    while True:
-        labelled = (rows.select("bucket", "node", "size")
-                    .join(labels.withColumnRenamed("component", "c"), "node", "left")
-                    .withColumn("c", F.coalesce("c", "node")))
-        if largest is not None:
-            # smaller buckets have had all their members as leaders
-            labelled = labelled.where(F.col("size") > share // MORE_LEADERS)
-        apart = labelled.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
-        open_rows = stage(labelled.join(apart.select("bucket"), "bucket", "left_semi"), "near-open")
-        largest = open_rows.agg(F.max("size")).first()[0]
-        if largest is None:
-            return labels
-        drawn = F.pmod(F.xxhash64("node", "bucket"), F.lit(2**30)) * F.col("size") < F.lit(2**30 * share)
-        leaders = open_rows.where(drawn).select("bucket", F.col("node").alias("leader"), F.col("c").alias("leader_c"))
-        more = stage(open_rows.join(leaders, "bucket").where("c <> leader_c").select(*_pair("node", "leader"))
-                     .distinct().join(tested, ["a", "b"], "left_anti"), "near-tested")
-        links = stage(links.union(_confirmed(more, nodes, texts)), "near-links")
-        labels = components(links.toDF("u", "v"))
-        if largest <= share:
-            return labels
-        tested, share = tested.union(more), share * MORE_LEADERS
+    labelled = rows.select("bucket", "node").join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("c"))
+    apart = labelled.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
+    open_nodes = stage(labelled.join(apart.select("bucket"), "bucket", "left_semi").select("node", "c").distinct(),
+                       "near-open")
+    more = _confirmed(_prefix_pairs(open_nodes, shared), nodes, shared)
+    return components(links.union(more).toDF("u", "v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id and kept.
-
-    Words are runs of other than white space (\\x20, \\x09-\\x0D), A-Z lower-cased; a
-    document is the set of its three-word shingles, with fewer words the whole sequence.
-    Documents whose sets have a Jaccard similarity of 0.85 or more are linked;
-    ``component_id`` is the least doc_id that links lead to. A null or empty text, or
-    one without words, has no shingles, is linked with nothing and is its own component.
-    Rows that share a doc_id are one document. Rows with a null doc_id take part by their
-    text; a component of these alone has a null component_id and is kept. An empty table
-    gives an empty result; other columns are ignored.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, id, text_hash, n_shingles and label, the name of its component."""
     rows = stage(sketches(docs), "near-sketches")
     some = rows.where("n_shingles > 0")
     nodes = stage(some.groupBy("lo", "hi").agg(F.min("id").alias("node"), F.first("minima").alias("minima")),
@@ -196,8 +212,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = node_components(nodes, texts, one_document)
     node_of = nodes.select("lo", "hi", "node").join(labels, "node", "left").select(
         "lo", "hi", F.coalesce("component", "node").alias("label"))
-    placed = rows.select("doc_id", "id", "n_shingles", "lo", "hi").join(node_of, ["lo", "hi"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")).alias("label"))
+    return rows.drop("minima").join(node_of, ["lo", "hi"], "left").select(
+        "doc_id", "id", "text_hash", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("id")).alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id and kept.
+
+    Words are runs of other than white space (\\x20, \\x09-\\x0D), A-Z lower-cased; a
+    document is the set of its three-word shingles, with fewer words the whole sequence.
+    Documents whose sets have a Jaccard similarity of 0.85 or more are linked;
+    ``component_id`` is the least doc_id that links lead to. A null or empty text, or
+    one without words, has no shingles, is linked with nothing and is its own component.
+    Rows that share a doc_id are one document. Rows with a null doc_id take part by their
+    text; a component of these alone has a null component_id and is kept. An empty table
+    gives an empty result; other columns are ignored.
+    """
+    placed = _labelled(docs)
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "label").select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one row of each component: of its least doc_id, the text of least hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "id")
+    kept = _labelled(docs).groupBy("label").agg(F.min(order).alias("o")).select(
+        F.col("o.id").alias("_id"), F.col("o.text_hash").alias("_t"))
+    keyed = docs.withColumns({"_id": row_id(), "_t": text_hash()})
+    return keyed.join(kept, ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)
