@@ -36,6 +36,21 @@ MODULE_KEYS = [
 ]
 HOMEPAGE = "Homepage"
 
+# --- fixed values: white space beyond the ASCII set of \s, as a character class ---
+OTHER_SPACE = (r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+               r"\x{202f}\x{205f}\x{3000}")
+# --- fixed values: common named character references of HTML, all but &amp; ---
+NAMED_REFERENCES = [
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "\\'"), ("nbsp", "\u00a0"), ("copy", "©"), ("reg", "®"),
+    ("trade", "™"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"), ("lsquo", "‘"), ("rsquo", "’"),
+    ("ldquo", "“"), ("rdquo", "”"), ("laquo", "«"), ("raquo", "»"), ("middot", "·"), ("bull", "•"),
+    ("euro", "€"), ("pound", "£"), ("deg", "°"), ("times", "×"), ("sect", "§"), ("ensp", "\u2002"),
+    ("emsp", "\u2003"), ("thinsp", "\u2009"), ("agrave", "à"), ("aacute", "á"), ("acirc", "â"), ("atilde", "ã"),
+    ("auml", "ä"), ("ccedil", "ç"), ("egrave", "è"), ("eacute", "é"), ("ecirc", "ê"), ("euml", "ë"),
+    ("iacute", "í"), ("icirc", "î"), ("iuml", "ï"), ("ntilde", "ñ"), ("oacute", "ó"), ("ocirc", "ô"),
+    ("ouml", "ö"), ("uacute", "ú"), ("ugrave", "ù"), ("uuml", "ü"), ("Auml", "Ä"), ("Eacute", "É"),
+    ("Ouml", "Ö"), ("Uuml", "Ü"), ("szlig", "ß")]
+
 # --- fixed values: crawl limits, status codes, schemes ---
 MAX_PAGES = 50
 MAX_EXTERNAL_CHECKS = 20

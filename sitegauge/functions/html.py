@@ -6,6 +6,8 @@ blanked first. Attribute values are read tag by tag, so a quoted '>' or a look-a
 name inside another value does not mislead. Patterns write the single quote as \x27.
 """
 
+from sitegauge import constants as K
+
 # Rest of a start tag: a quoted value after '=' may hold '>'. Possessive, so it
 # neither backtracks nor recurses on long pages.
 _REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|\x27[^\x27]*+\x27)?+)*+>"""
@@ -17,9 +19,20 @@ def _start_tag(names: str) -> str:
     return rf"<(?:{names}){_NAME_END}{_REST}"
 
 
+def _end_of(name: str) -> str:
+    """End of an element: its end tag, the next start of the same kind, or the page's end.
+
+    So every start tag gives one entry, and an element that is never closed is read once.
+    """
+    return rf"(?:</{name}\s*>|(?=<{name}{_NAME_END})|\z)"
+
+
 def strip_hidden(html: str) -> str:
-    """HTML without comments and without the content of script and style."""
-    pattern = (r"(?is)<!--.*?--!?>"
+    """HTML without comments and without the content of script and style.
+
+    What is not closed lasts to the page's end, so it is searched through once.
+    """
+    pattern = (r"(?is)<!--.*?(?:--!?>|\z)"
                rf"|(<(script|style){_NAME_END}{_REST}).*?(?:</\2[^>]*>|\z)")
     return f"regexp_replace({html}, r'{pattern}', '$1')"
 
@@ -45,11 +58,21 @@ def count_of(names: str, name: str) -> str:
 
 
 def decode(text: str) -> str:
-    """Replace the five basic character references."""
-    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\'"),
-                            ("&apos;", "\\'"), ("&amp;", "&")):
-        text = f"replace({text}, '{reference}', '{char}')"
-    return text
+    """Replace numeric and the common named character references.
+
+    A lambda over a one-element array binds the text, which may be a long expression.
+    """
+    named = "t"
+    for reference, char in K.NAMED_REFERENCES:
+        named = f"replace({named}, '&{reference};', '{char}')"
+    number = r"regexp_extract(p, r'\A([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});', 1)"
+    code = rf"cast(if({number} rlike r'\A[xX]', conv(substr({number}, 2), 16, 10), {number}) as int)"
+    char = (f"if({code} between 1 and 55295 or {code} between 57344 and 1114111, "
+            f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32'), decode(unhex('0000FFFD'), 'UTF-32'))")
+    numeric = (f"array_join(transform(split({named}, '&#'), (p, i) -> if(i = 0, p, if({number} = '', "
+               f"concat('&#', p), concat({char}, substr(p, length({number}) + 2))))), '')")
+    whole = f"replace({numeric}, '&amp;', '&')"
+    return f"transform(array({text}), t -> if(contains(t, '&'), {whole}, t))[0]"
 
 
 def attribute(tag: str, name: str) -> str:
@@ -69,7 +92,7 @@ def attribute_or_empty(tag: str, name: str) -> str:
 
 
 def strip_space(text: str) -> str:
-    return rf"regexp_replace({text}, r'\A\s+|\s+\z', '')"
+    return rf"regexp_replace({text}, r'\A[\s{K.OTHER_SPACE}]+|[\s{K.OTHER_SPACE}]+\z', '')"
 
 
 def inner_text(fragment: str) -> str:
@@ -80,17 +103,17 @@ def inner_text(fragment: str) -> str:
 
 def title_text(html: str) -> str:
     """Text of the first title element, '' when there is none."""
-    return inner_text(rf"regexp_extract({html}, r'(?is){_start_tag('title')}(.*?)</title\s*>', 1)")
+    return inner_text(rf"regexp_extract({html}, r'(?is){_start_tag('title')}(.*?)(?:</title\s*>|\z)', 1)")
 
 
 def heading_texts(html: str, level: str) -> str:
-    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag(level)}(.*?)</{level}\s*>', 1)"
+    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag(level)}(.*?){_end_of(level)}', 1)"
     return f"transform({blocks}, b -> {inner_text('b')})"
 
 
 def form_structs(html: str) -> str:
     """Array of struct(action, method, input_count, has_validation)."""
-    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag('form')}.*?(?:</form\s*>|\z)', 0)"
+    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag('form')}.*?{_end_of('form')}', 0)"
     opening = rf"regexp_extract(b, r'\A<[a-zA-Z][^\s/>]*+{_REST}', 0)"
     inputs = start_tags("b", "input")
     validates = (f"{attribute_or_empty('i', 'required')} <> '' or "
