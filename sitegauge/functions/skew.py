@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegauge.session import stage
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                   rank: str = "rank") -> DataFrame:
@@ -37,3 +39,13 @@ def number_per_group(df: DataFrame, keys: list[str], chunk: Column, order: list[
             .join(offsets, [*keys, "_chunk"])
             .withColumn(name, (F.col("_before") + F.col("_row")).cast("long"))
             .drop("_chunk", "_row", "_before"))
+
+
+def number_in_order(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of every group from 1 by the columns ``order``, whatever a group's size.
+
+    The rows are range-partitioned by keys and order and staged with their partition,
+    which is the chunk: it grows with the order and holds a bounded number of rows.
+    """
+    ranged = stage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    return number_per_group(ranged, keys, F.col("_part"), [F.col(c) for c in order], name).drop("_part")

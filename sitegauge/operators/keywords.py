@@ -15,13 +15,7 @@ from sitegauge.functions.numbers import round_even
 from sitegauge.functions.skew import top_per_group
 from sitegauge.session import stage
 
-# frequent words that are broadcast at most
-BROADCAST_WORDS = 100_000
-
-# fixed values: white space that ends a URL, beyond the ASCII set of \s
-_OTHER_SPACE = (r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-                r"\x{202f}\x{205f}\x{3000}")
-_URL = rf"https?[^\s{_OTHER_SPACE}]+"
+_URL = rf"https?[^\s{K.OTHER_SPACE}]+"
 
 
 def issue_docs(issues: DataFrame, corpus: str | None = "site") -> DataFrame:
@@ -85,18 +79,15 @@ def vocabulary(token_rows: DataFrame, size: int = K.VOCABULARY_SIZE) -> DataFram
 
     A pair occurs at most as often as either of its words, so a term made of a word
     below the ``size``-th word cannot be among the first ``size`` terms. Such terms are
-    dropped before the shuffle when the frequent words are few enough to broadcast,
-    which is checked; otherwise all terms are counted. Both ways give the same result.
+    dropped before they are counted, by semi joins whose kind Spark chooses by the size
+    of the staged list of frequent words.
     """
-    counts = term_counts(token_rows)
     words = stage(frequent_words(token_rows, size), "words")
-    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        for nth in (1, -1):
-            part = F.substring_index("term", " ", nth)
-            counts = counts.withColumn("word", part).join(
-                F.broadcast(words), ["corpus", "word"], "left_semi").drop("word")
-    terms = counts.groupBy("corpus", "term").agg(
-        F.sum("tf").alias("total"), F.count("*").alias("df"))
+    counts = term_counts(token_rows)
+    for nth in (1, -1):
+        counts = counts.withColumn("word", F.substring_index("term", " ", nth)).join(
+            words, ["corpus", "word"], "left_semi").drop("word")
+    terms = counts.groupBy("corpus", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     return top_per_group(terms, ["corpus"], [F.desc("total"), F.asc("term")], size, "term_no")
 
 

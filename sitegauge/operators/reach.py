@@ -1,4 +1,4 @@
-"""Bounded breadth-first reach over the link graph, all sites at once."""
+"""Breadth-first reach over the link graph, all sites at once."""
 
 from __future__ import annotations
 
@@ -6,72 +6,67 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegauge import constants as K
 from sitegauge.functions import urls as U
+from sitegauge.functions.skew import number_in_order
 from sitegauge.operators.robots import robots_allowed
 from sitegauge.session import stage
 
 
-def adjacency(link_edges: DataFrame, rules: DataFrame | None, max_pages: int) -> DataFrame:
-    """Per page the first ``max_pages`` distinct allowed internal targets, in link order.
+def adjacency(link_edges: DataFrame, rules: DataFrame | None, max_pages: int | None = None) -> DataFrame:
+    """Per page its distinct allowed internal targets, in link order.
 
-    Later targets cannot be reached: a page's k-th target is queued after its k-1
-    earlier ones, so with k > max_pages the cap is used up before its turn.
+    A page is named by its clean URL; of pages that share one, that of the least raw
+    URL counts. With ``max_pages`` only so many targets of a page are kept: a page's
+    k-th target is queued after its k-1 earlier ones, so later ones are never reached.
     """
-    spark = link_edges.sparkSession
-    internal = link_edges.where("is_internal").select("site", "src_url", "dst_clean", "pos")
+    internal = link_edges.where("is_internal").select(
+        "site", U.clean_url(F.col("src_url")).alias("src"), "src_url", F.col("dst_clean").alias("url"), "pos")
+    first = internal.groupBy("site", "src").agg(F.min("src_url").alias("src_url"))
+    edges = internal.join(first, ["site", "src", "src_url"]).groupBy("site", "src", "url").agg(F.min("pos").alias("pos"))
     if rules is not None:
-        internal = robots_allowed(internal, rules, "dst_clean")
-    # one shuffle serves the distinct, the ranking and every later join
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_page = Window.partitionBy("site", "src_url").orderBy("pos")
-    return (internal.repartition(width, "site", "src_url")
-            .groupBy("site", "src_url", "dst_clean").agg(F.min("pos").alias("pos"))
-            .withColumn("nth", F.row_number().over(by_page))
-            .where(F.col("nth") <= max_pages)
-            .select("site", "src_url", F.col("dst_clean").alias("url"), "nth"))
+        allowed = robots_allowed(edges.select("site", "url").distinct(), rules)
+        edges = edges.join(allowed, ["site", "url"], "left_semi")
+    # one shuffle serves the ranking and every later join
+    width = int(link_edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nth = F.row_number().over(Window.partitionBy("site", "src").orderBy("pos"))
+    ranked = edges.repartition(width, "site", "src").withColumn("nth", nth)
+    return ranked.select("site", "src", "url", "nth") if max_pages is None else ranked.where(
+        F.col("nth") <= max_pages).select("site", "src", "url", "nth")
 
 
 def link_reach(start_urls: DataFrame, link_edges: DataFrame, rules: DataFrame | None = None,
-               max_pages: int = K.MAX_PAGES) -> DataFrame:
+               max_pages: int | None = None) -> DataFrame:
     """Pages in visiting order: (site, visit_no, url, level).
 
     ``start_urls`` has (site, start_url). Each step expands the whole frontier of all
     sites by one join with the adjacency table, which is partitioned by its join key
-    once and kept on disk. A site never holds more than ``max_pages`` visited rows.
-    The step results are written tables, so the lineage stays short and lost
-    executors cost a re-read.
+    once and kept on disk, until no site finds a new page. ``max_pages`` stops every
+    site after so many visits. The pages of a step are numbered by their first parent
+    and link in range chunks, and written as a table, so no site must fit into a task
+    and lost executors cost a re-read.
     """
     starts = start_urls.select("site", F.col("start_url").alias("url")).distinct()
     if rules is not None:
         starts = robots_allowed(starts, rules)
-    # ``seen`` is the number of pages the site has visited up to the end of the level
-    first = starts.select(
-        "site", F.lit(1).alias("visit_no"), U.clean_url(F.col("url")).alias("url"),
-        F.lit(0).alias("level"), F.lit(1).alias("seen"))
+    first = starts.select("site", F.lit(1).cast("long").alias("visit_no"), U.clean_url(F.col("url")).alias("url"),
+                          F.lit(0).alias("level"))
     visited = last = stage(first, "reach")
     edges = adjacency(link_edges, rules, max_pages).persist(StorageLevel.DISK_ONLY)
+    level = 0
     try:
-        for level in range(1, max_pages):
-            open_ends = last.where(F.col("seen") < max_pages)
-            if open_ends.isEmpty():
-                break
-            found = (open_ends.alias("f")
-                     .join(edges.alias("e"), (F.col("f.site") == F.col("e.site"))
-                           & (F.col("f.url") == F.col("e.src_url")))
+        while not last.isEmpty():
+            level += 1
+            found = (last.alias("f")
+                     .join(edges.alias("e"), (F.col("f.site") == F.col("e.site")) & (F.col("f.url") == F.col("e.src")))
                      .groupBy("e.site", "e.url")
-                     .agg(F.min(F.struct("f.visit_no", "e.nth")).alias("key"),
-                          F.max("f.seen").alias("before")))
+                     # visit numbers and link ranks in one number, so the minimum is found by hashing
+                     .agg(F.min(F.col("f.visit_no") * (1 << 24) + F.col("e.nth")).alias("key")))
             fresh = found.join(visited.select("site", "url"), ["site", "url"], "left_anti")
-            # at most max_pages * max_pages candidates per site and level
-            by_site = Window.partitionBy("site")
-            ranked = fresh.withColumn(
-                "visit_no", F.col("before") + F.row_number().over(by_site.orderBy("key")))
-            kept = ranked.where(F.col("visit_no") <= max_pages)
-            last = stage(kept.select(
-                "site", "visit_no", "url", F.lit(level).alias("level"),
-                F.max("visit_no").over(by_site).alias("seen")), "reach")
+            seen = visited.groupBy("site").agg(F.max("visit_no").alias("seen"))
+            ranked = number_in_order(fresh, ["site"], ["key"], "n").join(seen, "site").select(
+                "site", (F.col("seen") + F.col("n")).alias("visit_no"), "url", F.lit(level).alias("level"))
+            last = stage(ranked if max_pages is None else ranked.where(F.col("visit_no") <= max_pages), "reach")
             visited = visited.unionByName(last)
     finally:
         edges.unpersist()
-    return visited.drop("seen")
+    return visited.withColumn("visit_no", F.col("visit_no").cast("int"))

@@ -118,7 +118,7 @@ def crawl_header(features: DataFrame, external_counts: DataFrame, broken: DataFr
     """One row per site: page, module, external and broken totals."""
     pages = module_page_counts(features).groupBy("site").agg(
         F.sum("page_count").alias("total_pages"), F.count("*").alias("modules"))
-    urls = features.groupBy("site").agg(F.min("start_url").alias("start_url"))
+    urls = features.select("site", "start_url").distinct()
     links = broken.groupBy("site").agg(F.count("*").alias("broken_links"))
     return (pages.join(urls, "site").join(external_counts, "site", "left")
             .join(links, "site", "left")

@@ -15,8 +15,8 @@ from sitegauge.functions.urls import module_of
 def page_totals(features: DataFrame) -> DataFrame:
     """Per site the page-level sums every score and benchmark needs."""
     measured = F.when(F.col("load_time") > 0, F.col("load_time"))
-    return features.groupBy("site").agg(
-        F.min("start_url").alias("start_url"),
+    # a site has one start URL; as a grouping key it needs no sort
+    return features.groupBy("site", "start_url").agg(
         F.count("*").alias("pages"),
         F.count_if("has_title").alias("with_title"),
         F.count_if("has_meta_description").alias("with_meta"),

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegauge import constants as K
 from sitegauge.functions import urls as U
 from sitegauge.operators import (
     advice, clusters, features, forest, issues, keywords, links, reach, reports, robots, scoring,
 )
 from sitegauge.plans.audit import Audit
-from sitegauge.session import spread
 from sitegauge.sources import derived, sinks
 from sitegauge.sources.crawl import keep_html_only
 
@@ -24,8 +24,7 @@ def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(given_pages(spark, sf_dir), "page_id")
-    return keep_html_only(derived.crawl_pages(pages))
+    return keep_html_only(derived.crawl_pages(given_pages(spark, sf_dir)))
 
 
 def audit_of(spark: SparkSession, sf_dir: str) -> Audit:
@@ -65,10 +64,19 @@ def robots_check(spark, sf_dir):
     return robots.allowed_pages(pages, derived.robots_rules(pages)).select("site", "url")
 
 
-def crawl_order(spark, sf_dir):
-    audit = audit_of(spark, sf_dir)
-    starts = audit.features.select("site", "start_url").distinct()
-    return reach.link_reach(starts, audit.links, derived.robots_rules(starts))
+def crawl_order(max_pages: int | None = None) -> Query:
+    def query(spark, sf_dir):
+        audit = audit_of(spark, sf_dir)
+        starts = audit.features.select("site", "start_url").distinct()
+        return reach.link_reach(starts, audit.links, derived.robots_rules(starts), max_pages)
+
+    return query
+
+
+def broken_of_first(audit: Audit) -> DataFrame:
+    """Broken links when only the first external links of a site are checked."""
+    return links.broken_links(audit.features, audit.external, derived.link_status(audit.external),
+                              K.MAX_EXTERNAL_CHECKS)
 
 
 def text_of(audit: Audit) -> DataFrame:
@@ -76,8 +84,8 @@ def text_of(audit: Audit) -> DataFrame:
 
 
 def document_docs(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "doc_id", "text")
-    return spread(docs, "doc_id").select(F.col("lang").alias("corpus"), "doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("lang").alias("corpus"), "doc_id", "text")
 
 
 def document_keywords(spark, sf_dir):
@@ -160,7 +168,9 @@ def queries() -> dict[str, Query]:
             lambda f: links.external_link_counts(links.external_links(links.links(f)))),
         "broken_links": on_audit(lambda a: a.broken),
         "robots_allowed": robots_check,
-        "link_reach": crawl_order,
+        "broken_links_first20": on_audit(broken_of_first),
+        "link_reach": crawl_order(),
+        "link_reach_first50": crawl_order(K.MAX_PAGES),
         # issues
         "issues_raw": on_audit(lambda a: a.raw_issues.select(*ISSUE_COLUMNS)),
         "issue_ids": on_audit(lambda a: issues.with_issue_ids(a.raw_issues).select(

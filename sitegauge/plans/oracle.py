@@ -191,6 +191,23 @@ _COUNTS = {"forms": "Form Without Client-Side Validation", "slow": "Slow Page Lo
            "canonical": "Missing Canonical Tag"}
 
 
+def _visits(condition: str) -> str:
+    return f"""
+        select * from (
+          select site, row_number() over (partition by site order by level, path)::int as visit_no, url,
+            level::int as level from walk) where {condition}"""
+
+
+def _broken(condition: str) -> str:
+    return f"""
+        select site, dst_clean as url, status::int as status, 'external' as origin,
+          row_number() over (partition by site order by dst_clean) as pos
+        from checked where {condition} and status in {in_list(K.BROKEN_EXTERNAL_CODES)}
+        union all
+        select site, url, coalesce(status_code, 0), 'internal', ord from crawl
+        where status_code in {in_list(K.BROKEN_INTERNAL_CODES)} or error <> ''"""
+
+
 def _ctes() -> dict[str, str]:
     return {
         "crawl": f"""
@@ -274,17 +291,14 @@ def _ctes() -> dict[str, str]:
                     else start_url || {decoded("regexp_replace(href[2:], '[?]$', '')")} end as dst_url from hrefs)""",
         "ext": "select distinct site, dst_clean from edges where not is_internal",
         "ext_counts": """
-            select site, count(*) as total_external_links, least(count(*), 20) as external_links_checked
+            select site, count(*) as total_external_links, count(*) as external_links_checked
             from ext group by site""",
-        "broken": f"""
-            select site, dst_clean as url, status::int as status, 'external' as origin, pos
-            from (select site, dst_clean, row_number() over (partition by site order by dst_clean) as pos,
-                    {sql_list(STATUS_CYCLE)}[regexp_extract(dst_clean, 'ext-(\\d+)', 1)::int % 13 + 1] as status
-                  from ext)
-            where pos <= 20 and status in {in_list(K.BROKEN_EXTERNAL_CODES)}
-            union all
-            select site, url, coalesce(status_code, 0), 'internal', ord from crawl
-            where status_code in {in_list(K.BROKEN_INTERNAL_CODES)} or error <> ''""",
+        "checked": f"""
+            select site, dst_clean, row_number() over (partition by site order by dst_clean) as nth,
+              {sql_list(STATUS_CYCLE)}[regexp_extract(dst_clean, 'ext-(\\d+)', 1)::int % 13 + 1] as status
+            from ext""",
+        "broken": _broken("true"),
+        "broken20": _broken("nth <= 20"),
         "raw": f"""
             select *, 'Open' as status from ({_page_rules()} union all
             select site, case origin when 'external' then 1 else 2 end, pos,
@@ -372,8 +386,8 @@ def _ctes() -> dict[str, str]:
         "doc_vocab": _vocab("doc_terms"),
         "allowed": _allowed("crawl", "url"),
         "adjacent": _allowed(
-            "(select site, src_url, dst_clean as url, min(pos) as pos from edges where is_internal "
-            "group by all)", "url"),
+            "(select site, regexp_replace(src_url, '[#?].*', '') as src_url, dst_clean as url, min(pos) as pos "
+            "from edges where is_internal group by all)", "url"),
     }
 
 
@@ -523,13 +537,10 @@ def _bodies() -> dict[str, str]:
         "external_links": "select * from ext",
         "external_link_counts": "select * from ext_counts",
         "broken_links": "select * from broken",
+        "broken_links_first20": "select * from broken20",
         "robots_allowed": "select site, url from allowed",
-        "link_reach": """
-            select site, row_number() over (partition by site order by level, path)::int as visit_no, url,
-              level::int as level
-            from (select site, url, min(level) as level, arg_min(path, (level, path)) as path
-                  from walk group by site, url)
-            qualify row_number() over (partition by site order by level, path) <= 50""",
+        "link_reach": _visits("true"),
+        "link_reach_first50": _visits("visit_no <= 50"),
         "issues_raw": f"select {_ISSUE} from raw",
         "issue_ids": "select site, row_number() over (partition by site order by phase, pos, rule_no, form_no) "
                      "as id, page_url, issue_type, form_no::int as form_no from raw",
@@ -646,11 +657,14 @@ def _bodies() -> dict[str, str]:
     }
 
 
-_WALK = """walk as (
-    select distinct site, start_url as url, 0 as level, '' as path from crawl
-    union all
-    select w.site, a.url, w.level + 1, w.path || lpad(a.pos::varchar, 6, '0') || '.'
-    from walk w join adjacent a on a.site = w.site and a.src_url = w.url where w.level < 8)"""
+#: Each step keeps, of the pages not seen before, the first path to each.
+_WALK = """walk(site, url, level, path) using key (site, url) as (
+    select distinct site, regexp_replace(start_url, '[#?].*', ''), 0, '' from crawl
+    union
+    select a.site, a.url, w.level + 1, min(w.path || lpad(a.pos::varchar, 6, '0') || '.')
+    from walk w join adjacent a on a.site = w.site and a.src_url = w.url
+    where not exists (from recurring.walk r where r.site = a.site and r.url = a.url)
+    group by a.site, a.url, w.level)"""
 
 
 def statements() -> dict[str, str]:

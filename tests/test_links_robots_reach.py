@@ -13,19 +13,23 @@ from sitegauge.operators.robots import allowed_pages, robots_allowed
 EDGE = "site string, src_url string, pos int, dst_url string, dst_clean string, is_internal boolean"
 
 
-def test_external_sample_is_first_twenty_by_url(spark):
-    urls = [f"https://x{i:03d}.test/" for i in range(45)]
+def test_all_external_links_are_checked(spark):
+    urls = [f"https://x{i:03d}.test/" for i in range(100)]
     edges = spark.createDataFrame(
         [("a", "p", i, u, u, False) for i, u in enumerate(reversed(urls))]
         + [("b", "p", 0, urls[30], urls[30], False), ("b", "q", 0, urls[30], urls[30], False)], EDGE)
     external = L.external_links(edges)
-    counts = {r.site: (r.total_external_links, r.external_links_checked)
-              for r in L.external_link_counts(external).collect()}
-    assert counts == {"a": (45, 20), "b": (1, 1)}
-    status = spark.createDataFrame([(u, 404) for u in urls], schemas.LINK_STATUS)
+    counts = lambda *limit: {r.site: (r.total_external_links, r.external_links_checked)
+                             for r in L.external_link_counts(external, *limit).collect()}
+    assert counts() == {"a": (100, 100), "b": (1, 1)} and counts(20) == {"a": (100, 20), "b": (1, 1)}
+    # a second result for a URL does not count it twice
+    status = spark.createDataFrame([(u, 404) for u in urls[:99]] + [(urls[0], 200)], schemas.LINK_STATUS)
     broken = L.broken_external_links(external, status).collect()
-    assert sorted(r.url for r in broken if r.site == "a") == urls[:20]
+    assert sorted((r.pos, r.url) for r in broken if r.site == "a") == list(enumerate(urls[:99], 1))
     assert [r.url for r in broken if r.site == "b"] == [urls[30]]
+    assert [tuple(r) for r in L.unchecked_external_links(external, status).collect()] == [("a", urls[99])]
+    first = L.broken_external_links(external, status, K.MAX_EXTERNAL_CHECKS).collect()
+    assert sorted(r.url for r in first if r.site == "a") == urls[:20]
 
 
 def test_broken_codes(spark, crawl):
@@ -71,38 +75,61 @@ def test_robots_agree_with_the_standard_parser(spark):
     assert robots_allowed(df, table, respect_robots=False).count() == len(urls + others)
 
 
-def walk(start, graph, blocked, cap):
-    """First-in first-out reach, kept small on purpose."""
-    queue, seen = [start], []
-    while queue and len(seen) < cap:
-        page = queue.pop(0)
-        if page in seen or page in blocked:
-            continue
-        seen.append(page)
-        queue += [t for t in graph.get(page, []) if t not in seen and t not in queue]
-    return seen
+def edge_rows(site, graph):
+    return [(site, page, i, target, target, True) for page, targets in graph.items() for i, target in enumerate(targets)]
 
 
-def test_reach_matches_a_queue(spark):
+def visits(rows, site):
+    return [r.url for r in sorted(rows, key=lambda r: r.visit_no) if r.site == site]
+
+
+# start "s" links a, b; the expected orders are written out by hand
+SMALL = {"s": ["a", "b", "a"], "a": ["c", "s", "b", "d"], "b": ["d", "e"], "c": ["f"], "e": ["f", "g"], "g": ["a", "h"]}
+
+
+def test_small_graph_is_visited_level_by_level(spark):
+    url = lambda n: f"https://x.test/{n}"
+    graph = {url(p): [url(t) for t in ts] for p, ts in SMALL.items()}
+    table = spark.createDataFrame(edge_rows("x", graph) + [("x", url("s"), 9, "https://y.test/", "https://y.test/", False)], EDGE)
+    starts = spark.createDataFrame([("x", url("s"))], "site string, start_url string")
+    rules = spark.createDataFrame([("x.test", "*", 0, False, "/b"), ("x.test", "*", 1, False, "/f")], schemas.ROBOTS_RULES)
+    order = lambda *more: [u[-1] for u in visits(link_reach(starts, table, *more).collect(), "x")]
+    assert order() == list("sabcdefgh")
+    assert order(None, 4) == list("sabc") and order(None, 1) == ["s"]
+    assert order(rules) == list("sacd")
+    levels = {r.url[-1]: r.level for r in link_reach(starts, table).collect()}
+    assert levels == {"s": 0, "a": 1, "b": 1, "c": 2, "d": 2, "e": 2, "f": 3, "g": 3, "h": 4}
+
+
+def test_large_sites_are_reached_whole(spark):
+    """A chain of fans: 30 levels of 12 pages; and random graphs, checked by their properties."""
+    page = lambda level, i: f"https://a.test/l{level}/{i}"
+    fans = {page(v, 0): [page(v + 1, i) for i in range(12)] for v in range(30)}
     rng = random.Random(3)
-    graphs, edges, rules = {}, [], []
-    for site in ("a", "b", "c"):
-        names = [f"https://{site}.test/n{i}" for i in range(40)]
-        graph = {n: [rng.choice(names) for _ in range(rng.randint(0, 9))] for n in names}
-        start = f"https://{site}.test/"
-        graph[start] = names[:3]
-        graphs[site] = (start, graph)
-        edges += [(site, s, i, t, t, True) for s, ts in graph.items() for i, t in enumerate(ts)]
-        edges.append((site, start, 9, "https://elsewhere.test/", "https://elsewhere.test/", False))
-        rules.append((f"{site}.test", "*", 0, False, "/n1"))
-    table = spark.createDataFrame(edges, EDGE)
-    starts = spark.createDataFrame([(s, g[0]) for s, g in graphs.items()], "site string, start_url string")
-    robots = spark.createDataFrame(rules, schemas.ROBOTS_RULES)
-    for cap, use_rules in ((12, False), (12, True), (500, False), (1, True)):
-        got = link_reach(starts, table, robots if use_rules else None, cap).orderBy("site", "visit_no").collect()
-        for site, (start, graph) in graphs.items():
-            blocked = {n for n in graph if use_rules and n.startswith(f"https://{site}.test/n1")}
-            assert [r.url for r in got if r.site == site] == walk(start, graph, blocked, cap), (site, cap)
+    names = [f"https://b.test/n{i}" for i in range(150)]
+    wild = {n: [rng.choice(names) for _ in range(rng.randint(0, 4))] for n in names}
+    table = spark.createDataFrame(edge_rows("a", fans) + edge_rows("b", wild), EDGE)
+    starts = spark.createDataFrame([("a", page(0, 0)), ("b", names[0])], "site string, start_url string")
+    rows = link_reach(starts, table).collect()
+    assert visits(rows, "a") == [page(0, 0)] + [page(v, i) for v in range(1, 31) for i in range(12)]
+    of = {r.url: r for r in rows if r.site == "b"}
+    assert sorted(r.visit_no for r in of.values()) == list(range(1, len(of) + 1))
+    for name, r in of.items():
+        # every target is visited, at most one level further down; a page comes from the level above
+        assert all(of[t].level <= r.level + 1 for t in wild[name])
+        assert name == names[0] or any(name in wild[p] and of[p].level == r.level - 1 for p in of)
+    assert sorted(of.values(), key=lambda r: r.visit_no) == sorted(of.values(), key=lambda r: (r.level, r.visit_no))
+    limited = link_reach(starts, table, None, 20).collect()
+    assert visits(limited, "b") == visits(rows, "b")[:20] and len(visits(limited, "a")) == 20
+
+
+def test_reach_from_a_start_url_with_a_query(spark):
+    table = spark.createDataFrame([
+        ("s", "https://s.test/?utm=1", 0, "https://s.test/a", "https://s.test/a", True),
+        ("s", "https://s.test/a", 0, "https://s.test/b", "https://s.test/b", True)], EDGE)
+    starts = spark.createDataFrame([("s", "https://s.test/?utm=1")], "site string, start_url string")
+    assert visits(link_reach(starts, table).collect(), "s") == [
+        "https://s.test/", "https://s.test/a", "https://s.test/b"]
 
 
 def test_blocked_start_blocks_the_site(spark):
