@@ -37,6 +37,10 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # the given tables are one small row group each, which Spark reads in one task; a large
+    # table has splits enough, so only here the rows are dealt to all cores first
+    read = catalog.given
+    catalog.given = lambda spark, sf_dir, table: read(spark, sf_dir, table).repartition(int(cpus))
     registered = catalog.queries()
     run = lambda name: registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in ("module_risk", "tfidf_keywords"):

@@ -209,13 +209,14 @@ LISTING_COLUMNS = [
     ("fix_time_hours", "Est. Fix Time (h)"), ("description", "Description"),
     ("source", "Data Source"),
 ]
+NOT_KNOWN = "n/a"
 SUMMARY_MEANINGS = [
     ("Site URL", "The starting URL the crawler used"),
-    ("Pages Crawled", "Unique pages visited — capped at 50 to stay within Streamlit Cloud limits"),
+    ("Pages Crawled", "Unique pages visited"),
     ("Modules Detected", "Feature areas detected from URL patterns (e.g. /blog, /checkout)"),
     ("Total Issues", "Total problems found and recorded across all crawled pages"),
     ("Broken / Error Links", "Links whose server returned 4xx / 5xx or could not be reached"),
-    ("External Links Checked", "Off-site links sampled and checked — up to 20 per crawl"),
+    ("External Links Checked", "Off-site links that were checked"),
     ("Crawl Duration", "Total wall-clock time to complete the crawl"),
     ("robots.txt Respected", "If Yes, pages blocked by robots.txt were skipped"),
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
-from sitegauge.functions.numbers import ratio
+from sitegauge.functions.numbers import ratio, round_even
 from sitegauge.functions.skew import top_per_group
 from sitegauge.operators import keywords as T
 from sitegauge.session import stage
@@ -69,7 +69,7 @@ def cluster_profile(clustered: DataFrame, weights: DataFrame) -> DataFrame:
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("count"))
     total = sizes.groupBy().agg(F.sum("count").alias("all_issues"))
     sums = (weights.join(clustered.select("doc_id", "cluster"), "doc_id")
-            .groupBy("cluster", "term").agg(F.sum("weight").alias("score"))
+            .groupBy("cluster", "term").agg(round_even(F.sum("weight"), 9).alias("score"))
             .where(F.col("score") > 0))
     terms = _joined(top_per_group(
         sums, ["cluster"], [F.desc("score"), F.asc("term")], 5), "term", "keywords")

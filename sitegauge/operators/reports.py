@@ -139,13 +139,14 @@ def kpi_strip(header: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def crawl_summary(header: DataFrame, issues: DataFrame, crawl_seconds: Column | None = None,
-                  respect_robots: bool = True) -> DataFrame:
-    """Metric / value / meaning rows per site; duration "0s" when it was not measured."""
+                  respect_robots: bool | None = None) -> DataFrame:
+    """Metric / value / meaning rows per site; what the crawl did not tell is "n/a"."""
     totals = header.join(issues.groupBy("site").agg(F.count("*").alias("issues")), "site", "left").na.fill(0, ["issues"])
-    duration = F.concat((F.lit(0) if crawl_seconds is None else crawl_seconds).cast("string"), F.lit("s"))
+    seconds = F.lit(None) if crawl_seconds is None else crawl_seconds
+    duration = F.coalesce(F.concat(seconds.cast("string"), F.lit("s")), F.lit(K.NOT_KNOWN))
     values = [F.col("start_url"), F.col("total_pages"), F.col("modules"), F.col("issues"),
               F.col("broken_links"), F.col("external_links_checked"), duration,
-              F.lit("Yes" if respect_robots else "No")]
+              F.lit({True: "Yes", False: "No", None: K.NOT_KNOWN}[respect_robots])]
     rows = F.array(*[
         F.struct(F.lit(metric).alias("metric"), value.cast("string").alias("value"),
                  F.lit(meaning).alias("meaning"))

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from sitegauge.operators import advice, issues, links, reports, scoring
+from sitegauge.operators import advice, issues, links, reports, robots, scoring
 from sitegauge.operators.features import page_features
 from sitegauge.session import stage
 
@@ -18,15 +18,20 @@ class Audit:
 
     The HTML is scanned once: features are staged as a narrow table, all later steps
     read that. ``link_status`` is a function of the distinct external links or a table.
+    With robots ``rules`` only pages that may be fetched are audited. ``max_checks``
+    limits the external links that are looked up per site.
     """
 
     pages: DataFrame
     link_status: object
+    rules: DataFrame | None = None
+    max_checks: int | None = None
 
     @cached_property
     def features(self) -> DataFrame:
         """Staged features, rebalanced: many large HTML splits leave few narrow rows each."""
-        return stage(page_features(self.pages).hint("rebalance", "site", "url"), "features")
+        pages = self.pages if self.rules is None else robots.allowed_pages(self.pages, self.rules)
+        return stage(page_features(pages).hint("rebalance", "site", "url"), "features")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -40,7 +45,7 @@ class Audit:
     def broken(self) -> DataFrame:
         """Broken links; staged because scores, risk, issues and reports all read them."""
         status = self.link_status(self.external) if callable(self.link_status) else self.link_status
-        return stage(links.broken_links(self.features, self.external, status), "broken")
+        return stage(links.broken_links(self.features, self.external, status, self.max_checks), "broken")
 
     @cached_property
     def raw_issues(self) -> DataFrame:
@@ -66,7 +71,11 @@ class Audit:
     @cached_property
     def header(self) -> DataFrame:
         return reports.crawl_header(
-            self.features, links.external_link_counts(self.external), self.broken)
+            self.features, links.external_link_counts(self.external, self.max_checks), self.broken)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return reports.crawl_summary(self.header, self.issues, respect_robots=None if self.rules is None else True)
 
     @cached_property
     def advice_inputs(self) -> DataFrame:

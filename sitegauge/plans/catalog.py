@@ -19,8 +19,12 @@ from sitegauge.sources.crawl import keep_html_only
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return given(spark, sf_dir, "pages")
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +88,7 @@ def text_of(audit: Audit) -> DataFrame:
 
 
 def document_docs(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = given(spark, sf_dir, "documents")
     return docs.select(F.col("lang").alias("corpus"), "doc_id", "text")
 
 
@@ -104,7 +108,16 @@ def issue_clusters(audit: Audit) -> DataFrame:
 
 
 def cluster_profile(audit: Audit) -> DataFrame:
-    profile = clusters.cluster_profile(*clusters.issue_clusters(audit.issues))
+    return shown_profile(clusters.cluster_profile(*clusters.issue_clusters(audit.issues)))
+
+
+def drawn_cluster_profile(audit: Audit) -> DataFrame:
+    """The profile of clusters drawn by hash, which SQL can draw as well."""
+    weights = keywords.tfidf(keywords.tokens(text_of(audit)))
+    return shown_profile(clusters.cluster_profile(derived.drawn(audit.issues), weights))
+
+
+def shown_profile(profile: DataFrame) -> DataFrame:
     return profile.select(
         "cluster", "label", F.array_join("keywords", ", ").alias("keywords"), "count", "share",
         "small_sample", F.array_join("examples", " | ").alias("examples"),
@@ -203,7 +216,7 @@ def queries() -> dict[str, Query]:
         "scoring_choices": on_audit(lambda a: reports.choices(a.issues)),
         "kpi_strip": on_audit(lambda a: reports.kpi_strip(a.header, a.issues)),
         "crawl_header": on_audit(lambda a: a.header),
-        "crawl_summary": on_audit(lambda a: reports.crawl_summary(a.header, a.issues)),
+        "crawl_summary": on_audit(lambda a: a.summary),
         "score_explanation": on_audit(lambda a: reports.score_explanation(a.health)),
         "category_table": on_audit(lambda a: reports.category_table(a.health)),
         # text
@@ -224,6 +237,13 @@ def queries() -> dict[str, Query]:
         "forest_report": on_audit(forest_report),
         "feature_importance": on_audit(feature_importance),
         "forest_scores": on_audit(forest_scores),
+        # reports over predictions and clusters that are drawn by hash
+        "drawn_confusion": on_audit(lambda a: forest.confusion(derived.drawn(a.issues))),
+        "drawn_model_cards": on_audit(lambda a: forest.model_cards(derived.drawn(a.issues))),
+        "drawn_report": on_audit(
+            lambda a: forest.classification_report(forest.confusion(derived.drawn(a.issues)))),
+        "drawn_cluster_modules": on_audit(lambda a: clusters.cluster_counts(derived.drawn(a.issues), "module")),
+        "drawn_cluster_profile": on_audit(drawn_cluster_profile),
         # advice
         "recommendations": on_audit(lambda a: advice.recommendations(a.advice_inputs)),
         "recurrence_flags": on_audit(lambda a: advice.recurrence_flags(a.advice_inputs)),

