@@ -1,5 +1,6 @@
 """Feature columns against a tag walk with the standard library's HTML parser."""
 
+import time
 from html.parser import HTMLParser
 
 from sitegauge.operators.features import page_features, page_forms, page_headings
@@ -108,3 +109,34 @@ def test_long_and_broken_markup_is_processed_whole(crawl):
     assert row.element_count == 20000 + 1 + 5000 + 1
     assert row.img_total == row.img_missing_alt == 5000
     assert [u.dst_url for u in row.links] == ["https://s.test/y"]
+
+
+def test_unclosed_elements(crawl):
+    html = "<h1>one<h1>two</h1><form><input><form><input></form><h2>open <b>end"
+    row = page_features(crawl({"html": html})).first()
+    assert row.headings["h1"] == ["one", "two"] and row.h1_count == 2 and row.headings["h2"] == ["openend"]
+    assert row.form_count == 2 and [f.input_count for f in row.forms] == [1, 1]
+    hidden = page_features(crawl({"html": "<img><!-- never closed <img><h1>x</h1>"})).first()
+    assert hidden.img_total == 1 and hidden.h1_count == 0
+
+
+def test_character_references_and_unicode_space(crawl):
+    blank, named = page_features(crawl(
+        {"html": "<title>&nbsp;</title><img alt='&#160;'><img alt='&#xA0;x'>"},
+        {"html": "<title>&eacute;&#233;&#xE9; &amp;lt; &bogus; &#0;</title><a href='/caf&eacute;'>x</a>"
+                 "<meta name='description' content='&ldquo;a&rdquo;'>"})).orderBy("ord").collect()
+    assert blank.title == "" and not blank.has_title and blank.img_missing_alt == 1
+    assert named.title == "ééé &lt; &bogus; �" and named.meta_description == "“a”"
+    assert [u.dst_url for u in named.links] == ["https://s.test/café"]
+
+
+def test_time_grows_with_the_page_not_its_square(crawl):
+    """Eight times the unclosed marks must not take much more than eight times as long."""
+    for mark in ("<!-- x ", "<h2>", "<title>", "<form>", "<script>"):
+        took = []
+        for n in (10_000, 80_000):
+            page_features(crawl({"html": mark})).collect()
+            began = time.monotonic()
+            page_features(crawl({"html": mark * n})).collect()
+            took.append(time.monotonic() - began)
+        assert took[1] < 8 * took[0] + 5, mark
