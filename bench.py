@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,6 +33,7 @@ def main() -> None:
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
                .config("spark.sql.shuffle.partitions", cpus))
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
