@@ -44,37 +44,40 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     padded = np.full(len(data) + (ORDER - 1) * len(lengths), _START, np.uint8)
     at = np.arange(len(data)) + (ORDER - 1) * (text + 1)
     padded[at] = data
-    grams = np.zeros(len(data), np.int64)
+    grams = np.zeros(len(data), np.uint32)
     for back in range(ORDER - 1, -1, -1):
-        grams = (grams << 8) | padded[at - back]
+        grams = (grams << np.uint32(8)) | padded[at - back]
     return grams, text
 
 
+def _by_language(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of bounded size of the texts of one language: language, rows, bytes and offsets."""
+    names = np.array(langs.to_pylist(), dtype=object)
+    for lang in sorted(set(names)):
+        rows = np.flatnonzero(names == lang)
+        data, offsets = W.bytes_of(texts.take(pa.array(rows)))
+        for first, last in W.pieces(offsets):
+            part = offsets[first:last + 1]
+            yield lang, rows[first:last], data[part[0]:part[-1]], part - part[0]
+
+
+def _summed(total: tuple[np.ndarray, np.ndarray] | None, grams: np.ndarray, counts: np.ndarray):
+    """Counts of two lists of distinct 4-grams in one."""
+    if total is None:
+        return grams, counts
+    every, inverse = np.unique(np.concatenate([total[0], grams]), return_inverse=True)
+    return every, np.bincount(inverse, np.concatenate([total[1], counts]), len(every)).astype(np.int64)
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns lang, text -> lang, gram, n, summed up within a piece of the batch."""
+    """Columns lang, text -> lang, gram, n, summed up within a batch."""
     for batch in batches:
-        data, offsets = W.bytes_of(batch.column(1))
-        langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for lang in sorted(set(langs)):
-            of_lang = np.flatnonzero(langs == lang)
-            sums: dict[int, int] = {}
-            total = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-            for first, last in _runs(of_lang, offsets):
-                part = offsets[first:last + 1]
-                grams, counts = np.unique(_grams(data[part[0]:part[-1]], part - part[0])[0], return_counts=True)
-                every, inverse = np.unique(np.concatenate([total[0], grams]), return_inverse=True)
-                total = [every, np.bincount(inverse, np.concatenate([total[1], counts]), len(every)).astype(np.int64)]
-            if len(total[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total[0])), pa.array(total[0]),
-                                                  pa.array(total[1])], names=["lang", "gram", "n"])
-
-
-def _runs(rows: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges [first, last) of neighbouring rows among those given, of bounded size."""
-    breaks = np.flatnonzero(np.diff(rows) != 1) + 1
-    for run in np.split(rows, breaks):
-        for first, last in W.pieces(offsets[run[0]:run[-1] + 2]):
-            yield run[0] + first, run[0] + last
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for lang, _, data, offsets in _by_language(batch.column(0), batch.column(1)):
+            total[lang] = _summed(total.get(lang), *np.unique(_grams(data, offsets)[0], return_counts=True))
+        for lang, (grams, counts) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)),
+                                              pa.array(counts)], names=["lang", "gram", "n"])
 
 
 def _context(gram: Column) -> Column:
@@ -144,26 +147,20 @@ def _ask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         for (block, lang), grams in held.items():
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(grams), block, np.int32)), pa.array([lang] * len(grams)), pa.array(grams)],
-                names=["block", "lang", "gram"])
+                pa.array(np.full(len(grams), block, np.int32)), pa.array([lang] * len(grams), pa.string()),
+                pa.array(grams.astype(np.int64))], names=["block", "lang", "gram"])
 
     for batch in batches:
         blocks = batch.column(0).to_numpy()
-        if held and len(blocks) and blocks[0] != next(iter(held))[0]:
-            yield from rows()
-            held = {}
-        data, offsets = W.bytes_of(batch.column(batch.num_columns - 1))
-        langs = np.array(batch.column(1).to_pylist(), dtype=object)
         for block in np.unique(blocks):
             if held and next(iter(held))[0] != block:
                 yield from rows()
                 held = {}
-            for lang in sorted(set(langs[blocks == block])):
-                for first, last in _runs(np.flatnonzero((blocks == block) & (langs == lang)), offsets):
-                    part = offsets[first:last + 1]
-                    grams = np.unique(_grams(data[part[0]:part[-1]], part - part[0])[0])
-                    seen = held.get((block, lang))
-                    held[block, lang] = grams if seen is None else np.union1d(seen, grams)
+            own = batch.filter(pa.array(blocks == block))
+            for lang, _, data, offsets in _by_language(own.column(1), own.column(own.num_columns - 1)):
+                grams = np.unique(_grams(data, offsets)[0])
+                seen = held.get((block, lang))
+                held[block, lang] = grams if seen is None else np.union1d(seen, grams)
     yield from rows()
 
 
@@ -173,25 +170,25 @@ SCORED = "doc_id long, text_hash long, lang string, n_bytes long, perplexity dou
 def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """Perplexity of every text of a block, from the log-probabilities of its 4-grams."""
     texts, answers = texts.combine_chunks(), answers.combine_chunks()
-    data, offsets = W.bytes_of(texts["text"])
-    langs = np.array(texts["lang"].to_pylist(), dtype=object)
     answer_langs = np.array(answers["lang"].to_pylist(), dtype=object)
-    grams, logs = answers["gram"].to_numpy(), answers["logp"].to_numpy().astype(np.float64)
-    total = np.full(len(langs), np.nan)
+    grams, logs = answers["gram"].to_numpy().astype(np.uint32), answers["logp"].to_numpy().astype(np.float64)
+    tables = {}
     for lang in set(answer_langs):
         own = answer_langs == lang
         order = np.argsort(grams[own])
-        table, values = grams[own][order], logs[own][order]
-        of_lang = np.flatnonzero(langs == lang)
-        if not len(of_lang):
-            continue
-        for first, last in _runs(of_lang, offsets):
-            part = offsets[first:last + 1]
-            found, text = _grams(data[part[0]:part[-1]], part - part[0])
-            total[first:last] = np.bincount(text, values[np.searchsorted(table, found)], last - first)
-    n = np.diff(offsets)
+        tables[lang] = grams[own][order], logs[own][order]
+    total, n = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
+    if len(texts):
+        for lang, rows, data, offsets in _by_language(texts["lang"].chunk(0), texts["text"].chunk(0)):
+            n[rows] = np.diff(offsets)
+            if lang in tables:
+                table, values = tables[lang]
+                found, text = _grams(data, offsets)
+                # sorted look-ups walk the table once, instead of jumping through it
+                distinct, inverse = np.unique(found, return_inverse=True)
+                total[rows] = np.bincount(text, values[np.searchsorted(table, distinct)][inverse], len(rows))
     scored = ~np.isnan(total) & (n > 0)
-    perplexity = np.exp(-total / np.maximum(n, 1))
+    perplexity = np.exp(-np.where(scored, total, 0.0) / np.maximum(n, 1))
     return pa.table([texts["doc_id"], texts["text_hash"], texts["lang"], pa.array(n),
                      pa.array(perplexity, mask=~scored)],
                     names=["doc_id", "text_hash", "lang", "n_bytes", "perplexity"])
