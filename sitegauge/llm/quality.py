@@ -15,6 +15,11 @@ passes through the driver or any one task, and what is gathered grows with the i
 
 A document is rejected if its perplexity per byte is above the ``QUANTILE`` of its
 language's held-out trusted documents by the factor ``SLACK``.
+
+Such a model cannot see a word said over and over, as the word itself may be ordinary;
+more context does not change that. So a document is rejected as well if the share of
+its words that only repeat the words just before is above the ``QUANTILE`` of all
+trusted documents of its language, which have no part in training that share.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ ORDER = 4
 HELD_OUT = 4
 QUANTILE, SLACK = 0.998, 1.25
 BLOCK_CHARS = 16_000_000
+#: Longest run of words that counts as repeated when it follows itself.
+LOOP_WORDS = 8
 #: Byte that stands before the first of a text; UTF-8 has no such byte.
 _START = 0xFF
 
@@ -164,11 +171,25 @@ def _ask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-SCORED = "doc_id long, text_hash long, lang string, n_bytes long, perplexity double"
+def _repeats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of every text, and how many of them end a run of words that follows itself."""
+    words, counts = W.word_hashes(data, offsets)
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    repeated = np.zeros(len(words), bool)
+    for size in range(1, min(LOOP_WORDS, len(words) // 2) + 1):
+        same = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(words[size:] == words[:-size], out=same[size + 1:])
+        repeated[size:] |= (same[size + 1:] - same[1:-size] == size) & (place[size:] >= 2 * size - 1)
+    return counts, np.bincount(text, repeated, len(counts)).astype(np.int64)
+
+
+SCORED = ("doc_id long, text_hash long, lang string, n_bytes long, perplexity double, "
+          "n_words long, n_repeats long")
 
 
 def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Perplexity of every text of a block, from the log-probabilities of its 4-grams."""
+    """Perplexity of every text of a block, from the log-probabilities of its 4-grams, and its repeated words."""
     texts, answers = texts.combine_chunks(), answers.combine_chunks()
     answer_langs = np.array(answers["lang"].to_pylist(), dtype=object)
     grams, logs = answers["gram"].to_numpy().astype(np.uint32), answers["logp"].to_numpy().astype(np.float64)
@@ -178,9 +199,11 @@ def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(grams[own])
         tables[lang] = grams[own][order], logs[own][order]
     total, n = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
+    n_words, n_repeats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     if len(texts):
         for lang, rows, data, offsets in _by_language(texts["lang"].chunk(0), texts["text"].chunk(0)):
             n[rows] = np.diff(offsets)
+            n_words[rows], n_repeats[rows] = _repeats(data, offsets)
             if lang in tables:
                 table, values = tables[lang]
                 found, text = _grams(data, offsets)
@@ -190,8 +213,8 @@ def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
     scored = ~np.isnan(total) & (n > 0)
     perplexity = np.exp(-np.where(scored, total, 0.0) / np.maximum(n, 1))
     return pa.table([texts["doc_id"], texts["text_hash"], texts["lang"], pa.array(n),
-                     pa.array(perplexity, mask=~scored)],
-                    names=["doc_id", "text_hash", "lang", "n_bytes", "perplexity"])
+                     pa.array(perplexity, mask=~scored), pa.array(n_words), pa.array(n_repeats)],
+                    names=["doc_id", "text_hash", "lang", "n_bytes", "perplexity", "n_words", "n_repeats"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -201,7 +224,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row the columns of SCORED and held_out; perplexity is null for empty texts and languages without trusted text."""
+    """Per row the columns of SCORED, trusted and held_out; perplexity is null for empty texts and languages without trusted text."""
     spark, rows = docs.sparkSession, _keyed(docs)
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -219,25 +242,31 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     answers = asked.join(known, ["lang", "gram"])
     scored = stage(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, SCORED),
                    "quality-scored")
-    return scored.join(good.where("held_out"), "doc_id", "left").withColumn(
-        "held_out", F.coalesce("held_out", F.lit(False)))
+    return scored.join(good, "doc_id", "left").withColumns(
+        {"trusted": F.col("held_out").isNotNull(), "held_out": F.coalesce("held_out", F.lit(False))})
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, text_hash, lang, perplexity, threshold and kept.
+    """Per row: doc_id, text_hash, lang, perplexity, threshold, repetition, most_repetition and kept.
 
     Documents: ``doc_id``, ``text`` and ``lang``; labels: ``doc_id`` and ``quality``. A
     null language is one of its own, named ''. A document is kept if nothing speaks
     against it: an empty or null text, or one in a language without trusted documents,
     has no perplexity and stays. Rows are judged each, so repeated rows agree; a null
-    doc_id is never trusted. An empty table gives an empty result.
+    doc_id is never trusted. An empty table gives an empty result. ``repetition`` is the
+    share of words that end a run of words following itself, but for the first such
+    word, which may be chance.
     """
-    scored = perplexities(docs, labels)
-    limits = scored.where("held_out and perplexity is not null").groupBy("lang").agg(
-        (SLACK * F.percentile_approx("perplexity", QUANTILE, 100_000)).alias("threshold"))
+    repetition = F.greatest(F.col("n_repeats") - 1, F.lit(0)) / F.greatest("n_words", F.lit(1))
+    scored = perplexities(docs, labels).withColumn("repetition", repetition)
+    held_out = F.when(F.col("held_out"), F.col("perplexity"))
+    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg(
+        (SLACK * F.percentile_approx(held_out, QUANTILE, 100_000)).alias("threshold"),
+        F.percentile_approx("repetition", QUANTILE, 100_000).alias("most_repetition"))
     return scored.join(limits, "lang", "left").select(
-        "doc_id", "text_hash", "lang", "perplexity", "threshold",
-        F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+        "doc_id", "text_hash", "lang", "perplexity", "threshold", "repetition", "most_repetition",
+        (F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+         & F.coalesce(F.col("repetition") <= F.col("most_repetition"), F.lit(True))).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -93,3 +93,25 @@ def test_given_documents(spark):
     rows = judged.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
     assert kept[1] >= 0.98 and kept[0] <= 0.4
+
+
+def test_repeated_words():
+    texts = ["The the THE the", "a b a b a b", "a b c d", "", "one two one three one", "x y z x y z x", "x x"]
+    data, offsets = quality.W.bytes_of(quality.pa.array(texts))
+    n, repeats = quality._repeats(data, offsets)
+    assert list(n) == [4, 6, 4, 0, 5, 7, 2] and list(repeats) == [3, 3, 0, 0, 0, 2, 1]
+
+
+def test_rejects_repeated_ordinary_words(docs_of, labels):
+    junk = [(300, "the " * 60, "en"), (301, "the cat sat on " * 20, "en"), (302, "hund " * 60, "de")]
+    judged = quality.judged(docs_of(*ROWS[:60], *junk, (303, "the the cat sat on the mat", "en")), labels).collect()
+    assert {r.doc_id for r in judged if not r.kept} == {300, 301, 302}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no given tables")
+def test_repeated_word_junk_of_given_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    rows = quality.judged(docs, labels).join(labels, "doc_id").groupBy("quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in rows}
+    assert kept[1] >= 0.98 and kept[0] <= 0.04
