@@ -4,8 +4,9 @@ Vectors are scaled to length 1 and projected, for each curve anew, by a random
 rotation to ``DIMENSIONS`` axes, shifted at random and cut into a grid; a row's place
 on the curve is the Hilbert index of its cell. The curve is cut into ``PARTS`` parts of
 about equal row numbers, and a query is compared with all rows of its own part and of
-the ``REACH`` parts on either side of it. What all curves find is merged and reranked
-by the exact cosine.
+the ``REACH`` parts that hold rows on either side of it, or of more parts, until these
+are ``LEAST_ROWS`` or the whole curve. So up to ``LEAST_ROWS`` distinct vectors of a width
+are searched in full. What all curves find is merged and reranked by the exact cosine.
 
 Parts are a fixed share of the rows, not a fixed number: vectors without much
 structure have their neighbours in no one place of any curve, and only a share keeps
@@ -31,9 +32,11 @@ TOP = 5
 EVERY = 50
 CURVES, DIMENSIONS, BITS = 20, 8, 4
 PARTS, REACH = 64, 2
+#: Least number of distinct vectors that a query is compared with on each curve.
+LEAST_ROWS = 500
 #: Rows of a part that one group compares with the part's queries.
 SLICE_ROWS = 4000
-#: Curve places whose quantiles cut the curve, taken from a sample of at most so many rows.
+#: Curve places whose quantiles cut the curve, taken from a sample of about so many rows or all of a width.
 SAMPLE_ROWS = 200_000
 
 
@@ -110,6 +113,27 @@ def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["v", "width", "curve", "place"])
 
 
+def _windows(sizes: pa.Table) -> pa.Table:
+    """Which parts each part of a curve looks at, from the rows and slices of those that hold any."""
+    order = np.argsort(sizes["part"].to_numpy())
+    parts, slices = (sizes[x].to_numpy()[order] for x in ("part", "slices"))
+    below = np.append(0, np.cumsum(sizes["n"].to_numpy()[order]))
+    out = [[], [], []]
+    for at in range(len(parts)):
+        reach = REACH
+        while True:
+            first, last = max(0, at - reach), min(len(parts), at + reach + 1)
+            if below[last] - below[first] >= LEAST_ROWS or last - first == len(parts):
+                break
+            reach += 1
+        out[0].append(np.full(last - first, parts[at]))
+        out[1].append(parts[first:last])
+        out[2].append(slices[first:last])
+    near = [np.concatenate(x) for x in out]
+    return pa.table([pa.array(np.full(len(near[0]), sizes[x][0].as_py(), np.int32)) for x in ("width", "curve")]
+                    + [pa.array(x) for x in near], names=["width", "curve", "part", "near", "slices"])
+
+
 def _nearest(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
     """The TOP + 1 nearest rows of a slice for each of the queries that look at it."""
     names = ["query", "v", "near"]
@@ -175,19 +199,21 @@ def _search(vectors: DataFrame, asked: DataFrame) -> DataFrame:
     """(query, v, score): for each query vector the TOP + 1 nearest distinct vectors found."""
     placed = stage(vectors.select("v", "width", "vector").mapInArrow(
         _place_rows, "v long, width int, curve int, place long"), "ann-places")
-    total = vectors.count()
-    sample = placed.where(F.pmod(F.xxhash64("v"), F.lit(max(1, total // SAMPLE_ROWS))) == 0)
+    # by width, so that one with few rows is not left without cuts
+    every = vectors.groupBy("width").agg(F.greatest(F.lit(1), F.floor(F.count("*") / SAMPLE_ROWS)).alias("every"))
+    sample = placed.join(every, "width").where(F.pmod(F.xxhash64("v"), F.col("every")) == 0)
     cuts = sample.groupBy("width", "curve").agg(
         F.percentile_approx("place", [i / PARTS for i in range(1, PARTS)], 10_000).alias("cuts"))
     parted = stage(placed.join(cuts, ["width", "curve"]).select(
         "v", "width", "curve", F.size(F.filter("cuts", lambda c: c < F.col("place"))).alias("part")), "ann-parts")
-    sizes = parted.groupBy("width", "curve", "part").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("slices"))
-    sliced = parted.join(sizes, ["width", "curve", "part"]).select(
+    sizes = stage(parted.groupBy("width", "curve", "part").agg(
+        F.count("*").alias("n"), F.ceil(F.count("*") / SLICE_ROWS).alias("slices")), "ann-sizes")
+    sliced = parted.join(sizes.drop("n"), ["width", "curve", "part"]).select(
         "v", "width", "curve", "part", F.pmod(F.xxhash64("v"), F.col("slices")).alias("slice"))
-    near = F.explode(F.sequence(F.greatest(F.lit(0), F.col("part") - REACH),
-                                F.least(F.lit(PARTS - 1), F.col("part") + REACH)))
-    looks = (parted.join(asked, "v").select("v", "width", "curve", near.alias("part"))
-             .join(sizes, ["width", "curve", "part"])
+    windows = sizes.groupBy("width", "curve").applyInArrow(
+        _windows, "width int, curve int, part int, near int, slices long")
+    looks = (parted.join(asked, "v").join(windows, ["width", "curve", "part"])
+             .select("v", "width", "curve", F.col("near").alias("part"), "slices")
              .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices"))
     keys = ["width", "curve", "part", "slice"]
     rows = sliced.join(vectors.select("v", "vector"), "v").select("v", "vector", *keys).toDF("v", "vector", *keys)

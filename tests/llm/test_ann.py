@@ -78,6 +78,36 @@ def test_slices_of_a_large_part(spark, monkeypatch):
     same(found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=30), brute(rows, 30))
 
 
+def test_small_and_tied_tables(spark):
+    """Few distinct vectors of a width are all compared, with the production PARTS and REACH."""
+    rng = np.random.default_rng(11)
+    rows, first = [], 0
+    for n, width in ((2, 3), (9, 5), (21, 8), (150, 6)):
+        rows += [(first + i, [float(x) for x in rng.standard_normal(width)]) for i in range(n)]
+        first += n
+    # copies of few vectors, and many vectors of one cell among few others
+    few = [[float(x) for x in rng.standard_normal(7)] for _ in range(6)]
+    rows += [(1000 + i, few[i % 6]) for i in range(300)]
+    rows += [(2000 + i, [1.0] * 9 + [float(x) for x in rng.uniform(0, 1e-6, 1)]) for i in range(60)]
+    rows += [(3000 + i, [float(x) for x in rng.standard_normal(10)]) for i in range(90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(table.repartition(3), every=5), brute(rows, 5)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
+    # scores of the one cell differ in their last bits only
+    assert [g[2] for g in got if g[0] < 2000] == [w[2] for w in want if w[0] < 2000]
+
+
+def test_windows_count_occupied_parts():
+    part = np.array([40, 0, 63, 20, 41], np.int32)
+    sizes = ann.pa.table({"width": ann.pa.array([8] * 5, ann.pa.int32()), "curve": ann.pa.array([3] * 5, ann.pa.int32()),
+                          "part": part, "n": [300, 300, 10, 300, 300], "slices": [1, 2, 3, 4, 5]})
+    pairs = ann._windows(sizes).to_pylist()
+    near = {p: [x["near"] for x in pairs if x["part"] == p] for p in part}
+    assert near == {0: [0, 20, 40], 20: [0, 20, 40, 41], 40: [0, 20, 40, 41, 63], 41: [20, 40, 41, 63],
+                    63: [40, 41, 63]}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no given tables")
 def test_recall_on_given_vectors(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
