@@ -5,7 +5,7 @@ its result is written as Parquet and read again as the next one's docs.
 
 1. quality: documents that the Kneser-Ney classifier rejects go.
 2. line_dedup: lines that an earlier document holds go.
-3. near_dedup: of each group of near duplicates one document stays.
+3. near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8) one document stays.
 4. mixing: rows are repeated or dropped so that sources meet their target words.
 5. bpe: each row that is left is encoded and decoded.
 
@@ -38,7 +38,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, near_dedup.FIVE_WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
