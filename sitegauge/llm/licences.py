@@ -9,12 +9,14 @@ calibrated probability is unknown too: the limit is what all but one in a hundre
 the ordinary paragraphs kept back stay under. A prediction counts once enough of its
 word triples are also found in a template of that family.
 
-A paragraph without any of the words in ``ANCHORS`` is unknown by definition and is not
-scored. DataFrame functions and pyspark.ml only.
+A paragraph that shares no word triple with any template cannot be confirmed and is not
+scored; all others are. DataFrame functions and pyspark.ml only.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -28,7 +30,7 @@ SAMPLE = 1000
 LEAST_SIMILARITY = 0.5
 QUANTILE = 0.99
 
-#: A paragraph with a licence statement holds one of these words.
+#: Licence words that ordinary paragraphs are trained with.
 ANCHORS = ["licence", "license", "licensed", "licensing", "copyright", "spdx", "warranty", "redistribution",
            "gpl", "lgpl", "agpl", "creative commons", "cc by", "cc0", "public domain", "unlicense"]
 
@@ -101,6 +103,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+]+|\.(?=\s|$)"), lambda w: w != "")
 
 
+def _template_triples() -> list[str]:
+    """All word triples of the templates, cut as ``words_of`` does."""
+    found = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        # [^\W_] is a letter or digit
+        w = [x for x in re.split(r"(?:(?![.+])[\W_])+|\.(?=\s|$)", text.lower()) if x]
+        found |= {" ".join(w[i:i + 3]) for i in range(len(w) - 2)}
+    return sorted(found)
+
+
+#: Frequent words of templates; the quick filter looks for triples of these as a whole.
+_FREQUENT = {"a", "an", "and", "any", "are", "as", "by", "for", "from", "has", "in", "into", "is", "it", "not", "of", "or", "that",
+             "the", "this", "to", "under", "use", "with", "you", "all", "may", "can"}
+
+
+def _hitting_words(triples: list[str]) -> list[str]:
+    """Words of which every triple holds one, so that no text with a triple is without them."""
+    words: set[str] = set()
+    longest = lambda t: max((len(w), w) for w in set(t.split()) - _FREQUENT)
+    for best, triple in sorted(((longest(t), t) for t in triples), reverse=True):
+        if not words & set(triple.split()):
+            words.add(best[1])
+    return sorted(words)
+
+
+TRIPLES = _template_triples()
+_PLAIN = [t for t in TRIPLES if set(t.split()) <= _FREQUENT]
+_HIT_RE = (r"(?<![\p{L}\p{N}.+])(?:" + "|".join(
+    [re.escape(w) for w in _hitting_words([t for t in TRIPLES if t not in _PLAIN])]
+    + [t.replace(" ", r"[^\p{L}\p{N}+]+") for t in _PLAIN]) + r")(?![\p{L}\p{N}+])")
+
+
 def _ngrams(words: Column, size: int) -> Column:
     """Runs of ``size`` words; empty if there are fewer."""
     n = F.size(words) - size + 1
@@ -109,6 +143,13 @@ def _ngrams(words: Column, size: int) -> Column:
         F.expr("cast(array() as array<string>)"))
 
 
+def _may_hold_statement(line: Column) -> Column:
+    """Whether a word triple of some template is in the line; confirmation needs one."""
+    # the array of one makes the words a variable, or they would be cut anew for each triple
+    return F.lower(line).rlike(_HIT_RE) & F.exists(F.array(words_of(line)), lambda words: F.arrays_overlap(
+        _ngrams(words, 3), F.array(*map(F.lit, TRIPLES))))
+
+
 def _features(rows: DataFrame) -> DataFrame:
     """Adds ``x``, the hashed n-grams of the array column ``words``."""
     rows = rows.withColumn("_grams", F.concat(*[_ngrams(F.col("words"), n) for n in (1, 2, 3)]))
@@ -140,7 +181,8 @@ def _training_rows(docs: DataFrame) -> DataFrame:
     rows += [(text, UNKNOWN, i % 2) for i, text in enumerate(ORDINARY)]
     fixed = spark.createDataFrame(rows, "line string, family string, kept_back int")
     # of least hash, so that reruns agree; the hashes alone tell which, so no text is shuffled for it
-    lines = (paragraphs(docs).where((F.length("line") > 20) & ~F.col("line").rlike(_ANCHOR_RE))
+    lines = (paragraphs(docs).where((F.length("line") > 20) & ~F.col("line").rlike(_ANCHOR_RE)
+                                    & ~_may_hold_statement(F.col("line")))
              .select(F.xxhash64("line").alias("h"), "line"))
     largest = lines.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     plain = lines.where(F.col("h") <= F.lit(largest).cast("long")).distinct()
@@ -182,7 +224,7 @@ def _similarity(words: Column, family: Column) -> Column:
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """Confirmed statements: doc_id, text_hash, paragraph, family, probability and similarity."""
     model, limit = train(docs)
-    found = (paragraphs(docs).where(F.col("line").rlike(_ANCHOR_RE))
+    found = (paragraphs(docs).where(_may_hold_statement(F.col("line")))
              .select("doc_id", "text_hash", "paragraph", F.explode(windows(words_of(F.col("line")))).alias("words")))
     scored = model.transform(_features(found))
     chances = F.slice(vector_to_array("probability"), 2, len(FAMILIES))

@@ -30,6 +30,26 @@ def test_edge_cases(docs_of):
     assert licences.scan(docs.where("false")).collect() == []
 
 
+def test_statements_without_licence_words(docs_of):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+           "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+           "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies")
+    gpl = "This program is free software: you can redistribute it and/or modify"
+    docs = docs_of((1, mit), (2, f"first line\n{gpl}\nit and more"), (3, "this is free of thought"), (4, f"_{gpl}_"))
+    got = {r.doc_id: r.statements for r in licences.scan(docs).collect()}
+    assert got == {1: "0:mit", 2: "1:gpl", 3: "", 4: "0:gpl"}
+
+
+def test_filter_lets_every_template_triple_pass(spark):
+    lines = [f"x {t.upper()}, y" for t in licences.TRIPLES] + [f"_{t}_" for t in licences.TRIPLES]
+    texts = [x for texts in licences.TEMPLATES.values() for x in texts]
+    rows = spark.createDataFrame([(x,) for x in lines + texts], "line string")
+    assert rows.where(~licences._may_hold_statement(licences.F.col("line"))).collect() == []
+    triples = rows.where(licences.F.col("line").isin(texts)).select(
+        licences.F.explode(licences._ngrams(licences.words_of(licences.F.col("line")), 3)).alias("t")).distinct()
+    assert {r.t for r in triples.collect()} == set(licences.TRIPLES)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no given tables")
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
