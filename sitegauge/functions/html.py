@@ -8,15 +8,19 @@ name inside another value does not mislead. Patterns write the single quote as \
 
 from sitegauge import constants as K
 
-# Rest of a start tag: a quoted value after '=' may hold '>'. Possessive, so it
+# Inside of a start tag: a quoted value after '=' may hold '>'. Possessive, so it
 # neither backtracks nor recurses on long pages.
-_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|\x27[^\x27]*+\x27)?+)*+>"""
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|\x27[^\x27]*+\x27)?+)*+"""
 _NAME_END = r"(?=[\s/>])"
+_NAME = r"[a-zA-Z][^\s/>]*+"
 _ATTRIBUTE = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:\x27[^\x27]*\x27|"[^"]*"|(?!["\x27])[^>\s]*))?"""
+#: A start tag that never ends, and all of the page after it, so that none is searched twice.
+_UNENDED = "<[a-zA-Z](?s:.*)"
 
 
-def _start_tag(names: str) -> str:
-    return rf"<(?:{names}){_NAME_END}{_REST}"
+def _element(name: str, end: str) -> str:
+    """One element: group 1 is its '>' and content, empty for a start tag that never ends."""
+    return rf"(?is)<{name}{_NAME_END}{_INSIDE}(>.*?){end}|<{name}{_NAME_END}.*"
 
 
 def _end_of(name: str) -> str:
@@ -24,33 +28,35 @@ def _end_of(name: str) -> str:
 
     So every start tag gives one entry, and an element that is never closed is read once.
     """
-    return rf"(?:</{name}\s*>|(?=<{name}{_NAME_END})|\z)"
+    return rf"(?:</{name}\s*+>|(?=<{name}{_NAME_END})|\z)"
 
 
 def strip_hidden(html: str) -> str:
-    """HTML without comments and without the content of script and style.
+    """HTML without comments, the content of script and style, and a start tag that never ends.
 
-    What is not closed lasts to the page's end, so it is searched through once.
+    What is not closed lasts to the page's end. Every start tag is read whole, so neither a
+    comment nor a tag begins inside a quoted value, and each character is read once.
     """
     pattern = (r"(?is)<!--.*?(?:--!?>|\z)"
-               rf"|(<(script|style){_NAME_END}{_REST}).*?(?:</\2[^>]*>|\z)")
-    return f"regexp_replace({html}, r'{pattern}', '$1')"
+               rf"|(<(script|style){_NAME_END}{_INSIDE}>).*?(?:</\2[^>]*+(?:>|\z)|\z)"
+               rf"|(<{_NAME}{_INSIDE}>)|{_UNENDED}")
+    return f"regexp_replace({html}, r'{pattern}', '$1$3')"
 
 
-def tag_names(html: str) -> str:
-    """Lower-cased names of all start tags, in document order."""
-    found = rf"regexp_extract_all({html}, r'<([a-zA-Z][^\s/>]*+){_REST}', 1)"
-    return f"transform({found}, n -> lower(n))"
+def start_tags(html: str) -> str:
+    """Full text of all start tags, in document order: one pass that reads each tag once."""
+    found = rf"regexp_extract_all({html}, r'(<{_NAME}{_INSIDE}>)|{_UNENDED}', 1)"
+    return f"filter({found}, t -> t <> '')"
 
 
-def start_tags(html: str, *names: str) -> str:
-    """Full text of the start tags with one of the names, in document order."""
-    return f"regexp_extract_all({html}, r'(?i){_start_tag('|'.join(names))}', 0)"
+def tag_names(tags: str) -> str:
+    """Lower-cased names of the start tags."""
+    return rf"transform({tags}, t -> lower(regexp_extract(t, r'\A<({_NAME})', 1)))"
 
 
-def only(tags: str, name: str) -> str:
-    """The start tags with this name."""
-    return rf"filter({tags}, t -> rlike(t, r'\A(?i:<{name}){_NAME_END}'))"
+def named(tags: str, names: str, name: str) -> str:
+    """The start tags with this name, given the names of all."""
+    return f"filter({tags}, (t, i) -> {names}[i] = '{name}')"
 
 
 def count_of(names: str, name: str) -> str:
@@ -92,35 +98,38 @@ def attribute_or_empty(tag: str, name: str) -> str:
 
 
 def strip_space(text: str) -> str:
-    return rf"regexp_replace({text}, r'\A[\s{K.OTHER_SPACE}]+|[\s{K.OTHER_SPACE}]+\z', '')"
+    # a run of space is tried from its first character only
+    space = rf"[\s{K.OTHER_SPACE}]"
+    return rf"regexp_replace({text}, r'\A{space}++|(?<!{space}){space}++\z', '')"
 
 
 def inner_text(fragment: str) -> str:
     """Text nodes of a fragment, each stripped, joined without a separator."""
-    nodes = f"split({fragment}, r'(?s)</?[a-zA-Z][^>]*>')"
+    nodes = rf"split({fragment}, r'(?s)<{_NAME}{_INSIDE}(?:>|\z)|</[a-zA-Z][^>]*+(?:>|\z)')"
     return f"array_join(transform({nodes}, x -> {strip_space(decode('x'))}), '')"
 
 
 def title_text(html: str) -> str:
     """Text of the first title element, '' when there is none."""
-    return inner_text(rf"regexp_extract({html}, r'(?is){_start_tag('title')}(.*?)(?:</title\s*>|\z)', 1)")
+    return inner_text(rf"substr(regexp_extract({html}, r'{_element('title', r'(?:</title\s*+>|\z)')}', 1), 2)")
 
 
 def heading_texts(html: str, level: str) -> str:
-    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag(level)}(.*?){_end_of(level)}', 1)"
-    return f"transform({blocks}, b -> {inner_text('b')})"
+    blocks = f"filter(regexp_extract_all({html}, r'{_element(level, _end_of(level))}', 1), b -> b <> '')"
+    return f"transform({blocks}, b -> {inner_text('substr(b, 2)')})"
 
 
 def form_structs(html: str) -> str:
     """Array of struct(action, method, input_count, has_validation)."""
-    blocks = rf"regexp_extract_all({html}, r'(?is){_start_tag('form')}.*?{_end_of('form')}', 0)"
-    opening = rf"regexp_extract(b, r'\A<[a-zA-Z][^\s/>]*+{_REST}', 0)"
-    inputs = start_tags("b", "input")
+    whole = f"regexp_extract_all({html}, r'{_element('form', _end_of('form'))}', 0)"
+    opening = rf"regexp_extract(b, r'\A<{_NAME}{_INSIDE}>', 0)"
+    forms = f"filter(transform({whole}, b -> named_struct('opening', {opening}, 'tags', {start_tags('b')})), f -> f.opening <> '')"
+    inputs = rf"filter(f.tags, t -> rlike(t, r'\A(?i:<input){_NAME_END}'))"
     validates = (f"{attribute_or_empty('i', 'required')} <> '' or "
                  f"{attribute_or_empty('i', 'pattern')} <> '' or "
                  f"{attribute_or_empty('i', 'type')} = 'email'")
-    return (f"transform({blocks}, b -> named_struct("
-            f"'action', {attribute_or_empty(opening, 'action')}, "
-            f"'method', upper(coalesce({attribute(opening, 'method')}, 'get')), "
+    return (f"transform({forms}, f -> named_struct("
+            f"'action', {attribute_or_empty('f.opening', 'action')}, "
+            f"'method', upper(coalesce({attribute('f.opening', 'method')}, 'get')), "
             f"'input_count', size({inputs}), "
             f"'has_validation', exists({inputs}, i -> {validates})))")

@@ -23,15 +23,13 @@ def page_features(pages: DataFrame) -> DataFrame:
     cleaned = pages.selectExpr(
         "site", "start_url", "ord", "url", "status_code", "load_time", "error",
         H.strip_hidden("if(html <> '', html, null)") + " as doc")
-    tags = cleaned.selectExpr(
-        "*", H.tag_names("doc") + " as names",
-        H.start_tags("doc", "img", "meta", "link", "a") + " as marked")
-    split = tags.selectExpr(
+    lexed = cleaned.selectExpr("*", H.start_tags("doc") + " as tags")
+    split = lexed.selectExpr("*", H.tag_names("tags") + " as names").selectExpr(
         "*",
-        H.only("marked", "img") + " as imgs",
-        H.only("marked", "meta") + " as metas",
-        H.only("marked", "link") + " as link_tags",
-        H.only("marked", "a") + " as anchors",
+        H.named("tags", "names", "img") + " as imgs",
+        H.named("tags", "names", "meta") + " as metas",
+        H.named("tags", "names", "link") + " as link_tags",
+        H.named("tags", "names", "a") + " as anchors",
         H.title_text("doc") + " as title",
         # passes for headings and forms run only on pages that have such a tag
         f"case when {has('form')} then {H.form_structs('doc')} "
@@ -39,9 +37,9 @@ def page_features(pages: DataFrame) -> DataFrame:
         *[f"case when {has(level)} then {H.heading_texts('doc', level)} "
           f"when doc is not null then cast(array() as array<string>) end as {level}"
           for level in LEVELS])
-    named = split.selectExpr(
+    found = split.selectExpr(
         "*", f"transform(metas, t -> {H.attribute('t', 'name')}) as meta_names", _hrefs() + " as hrefs")
-    resolved = named.select(
+    resolved = found.select(
         "*", F.expr(_meta_description()).alias("meta_description"),
         U.resolve_all("hrefs", "start_url").alias("urls"))
     when_html = lambda text: f"if(doc is not null, {text}, null)"
