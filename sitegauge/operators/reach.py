@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge.functions import urls as U
@@ -11,6 +13,16 @@ from sitegauge.functions.skew import number_in_order
 from sitegauge.operators.robots import robots_allowed
 from sitegauge.session import stage
 
+#: Levels of the first jobs; the last entry holds for all that follow.
+LEVELS = (4, 8)
+#: Written tables of visited pages that are merged to one.
+MERGE_AFTER = 8
+#: Levels after which a page's path is replaced by its rank.
+RANK_AFTER = 64
+
+_LEVELS_A_STATEMENT = 4
+_LINK_DIGITS = 6
+_RANK_DIGITS = 12
 
 def adjacency(link_edges: DataFrame, rules: DataFrame | None, max_pages: int | None = None) -> DataFrame:
     """Per page its distinct allowed internal targets, in link order.
@@ -26,47 +38,115 @@ def adjacency(link_edges: DataFrame, rules: DataFrame | None, max_pages: int | N
     if rules is not None:
         allowed = robots_allowed(edges.select("site", "url").distinct(), rules)
         edges = edges.join(allowed, ["site", "url"], "left_semi")
-    # one shuffle serves the ranking and every later join
-    width = int(link_edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nth = F.row_number().over(Window.partitionBy("site", "src").orderBy("pos"))
-    ranked = edges.repartition(width, "site", "src").withColumn("nth", nth)
+    ranked = edges.withColumn("nth", nth)
     return ranked.select("site", "src", "url", "nth") if max_pages is None else ranked.where(
         F.col("nth") <= max_pages).select("site", "src", "url", "nth")
 
 
+def _digits(number: Column, width: int) -> Column:
+    """A number as text of fixed width, so that texts sort as numbers do."""
+    return F.lpad(F.hex(number), width, "0")
+
+
+#: The pages before and those that the fresh ones link to, each with the least of its
+#: (level, key), without those known before: one shuffle by page. The text is the same at
+#: every level, and so is the code that Spark compiles for it.
+_NEXT_LEVEL = f"""
+  SELECT f.site, f.url, f.place.level AS level, f.place.key AS key, NOT f.old AS fresh
+  FROM (SELECT site, page.url AS url, min(struct(page.level, page.key)) AS place, max(page.old) AS old
+        FROM (SELECT r.site, explode(concat(
+                array(struct(r.url AS url, r.level AS level, r.key AS key, true AS old)),
+                transform(if(r.fresh, coalesce(t.targets, array()), array()), x -> struct(
+                  x.url AS url, r.level + 1 AS level,
+                  concat(r.key, lpad(hex(x.nth), {_LINK_DIGITS}, '0')) AS key, false AS old)))) AS page
+              FROM <before> r LEFT JOIN {{targets}} t ON r.site = t.site AND r.url = t.url)
+        GROUP BY site, page.url) f
+  LEFT ANTI JOIN {{known}} k ON f.site = k.site AND f.url = k.url"""
+
+
+def _next_levels(frontier: DataFrame, targets: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """Pages of the next ``count`` levels, as one plan written in statements of four levels.
+
+    The frontier itself is known, but is what the first step begins with.
+    """
+    reached = frontier
+    for done in range(0, count, _LEVELS_A_STATEMENT):
+        names = ["{reached}", *[f"level_{i}" for i in range(done + 1, min(done + _LEVELS_A_STATEMENT, count) + 1)]]
+        steps = ", ".join(f"{name} AS ({_NEXT_LEVEL.replace('<before>', before)})"
+                          for before, name in zip(names, names[1:]))
+        reached = frontier.sparkSession.sql(f"WITH {steps} SELECT * FROM {names[-1]}",
+                                            reached=reached, targets=targets, known=known)
+    return reached
+
+
+def _stage_levels(pages: DataFrame) -> DataFrame:
+    """Stage a plan of many equal levels with what costs least for it.
+
+    Adaptive execution would plan all levels anew after each of their shuffles, and
+    numbered class names would have equal code compiled once per level.
+    """
+    conf = pages.sparkSession.conf
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.useIdInClassName": "false"}
+    before = {key: conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            conf.set(key, value)
+        return stage(pages, "reach")
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+
+
+def _merged(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def link_reach(start_urls: DataFrame, link_edges: DataFrame, rules: DataFrame | None = None,
                max_pages: int | None = None) -> DataFrame:
     """Pages in visiting order: (site, visit_no, url, level).
 
-    ``start_urls`` has (site, start_url). Each step expands the whole frontier of all
-    sites by one join with the adjacency table, which is partitioned by its join key
-    once and kept on disk, until no site finds a new page. ``max_pages`` stops every
-    site after so many visits. The pages of a step are numbered by their first parent
-    and link in range chunks, and written as a table, so no site must fit into a task
-    and lost executors cost a re-read.
+    ``start_urls`` has (site, start_url). All sites advance together, ``LEVELS`` levels
+    per job and then as many as the last entry says, until no site finds a new page; a
+    level is one shuffle by page. First-in first-out order is that of the level and, in
+    it, of the least path of link ranks from the start, so pages carry that path as
+    their key and are numbered once, at the end, in range chunks. Keys that grow long are
+    replaced by the page's rank in its level. ``max_pages`` stops a site that has so many
+    pages; the numbers cut it exactly. Every job's pages are a written table, merged with
+    the earlier ones every ``MERGE_AFTER`` jobs, so lost executors cost a re-read and no
+    site must fit into a task.
     """
     starts = start_urls.select("site", F.col("start_url").alias("url")).distinct()
     if rules is not None:
         starts = robots_allowed(starts, rules)
-    first = starts.select("site", F.lit(1).cast("long").alias("visit_no"), U.clean_url(F.col("url")).alias("url"),
-                          F.lit(0).alias("level"))
-    visited = last = stage(first, "reach")
-    edges = adjacency(link_edges, rules, max_pages).persist(StorageLevel.DISK_ONLY)
-    level = 0
+    first = starts.select("site", U.clean_url(F.col("url")).alias("url"), F.lit(0).alias("level"),
+                          F.lit("").alias("key")).distinct().withColumn("fresh", F.lit(True))
+    visited = [stage(first, "reach")]
+    targets = (adjacency(link_edges, rules, max_pages).groupBy("site", F.col("src"))
+               .agg(F.sort_array(F.collect_list(F.struct("nth", "url"))).alias("targets"))
+               .withColumnRenamed("src", "url"))
+    width = int(link_edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    targets = targets.repartition(width, "site", "url").persist(StorageLevel.DISK_ONLY)
+    frontier, level, path, jobs = visited[0], 0, 0, 0
     try:
-        while not last.isEmpty():
-            level += 1
-            found = (last.alias("f")
-                     .join(edges.alias("e"), (F.col("f.site") == F.col("e.site")) & (F.col("f.url") == F.col("e.src")))
-                     .groupBy("e.site", "e.url")
-                     # visit numbers and link ranks in one number, so the minimum is found by hashing
-                     .agg(F.min(F.col("f.visit_no") * (1 << 24) + F.col("e.nth")).alias("key")))
-            fresh = found.join(visited.select("site", "url"), ["site", "url"], "left_anti")
-            seen = visited.groupBy("site").agg(F.max("visit_no").alias("seen"))
-            ranked = number_in_order(fresh, ["site"], ["key"], "n").join(seen, "site").select(
-                "site", (F.col("seen") + F.col("n")).alias("visit_no"), "url", F.lit(level).alias("level"))
-            last = stage(ranked if max_pages is None else ranked.where(F.col("visit_no") <= max_pages), "reach")
-            visited = visited.unionByName(last)
+        while not frontier.isEmpty():
+            count = LEVELS[min(jobs, len(LEVELS) - 1)]
+            known = _merged(visited).select("site", "url")
+            visited.append(_stage_levels(_next_levels(frontier, targets, known, count)))
+            level, path, jobs = level + count, path + count, jobs + 1
+            if len(visited) > MERGE_AFTER:
+                visited = [stage(_merged(visited), "reach")]
+            frontier = visited[-1].where((F.col("level") == level) & F.col("fresh"))
+            if max_pages is not None:
+                full = _merged(visited).groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") >= max_pages)
+                frontier = frontier.join(full.select("site"), "site", "left_anti")
+            if path >= RANK_AFTER:
+                ranked = number_in_order(frontier, ["site"], ["key", "url"], "rank")
+                frontier = stage(ranked.withColumn("key", _digits(F.col("rank"), _RANK_DIGITS)).drop("rank"), "reach")
+                path = 0
     finally:
-        edges.unpersist()
-    return visited.withColumn("visit_no", F.col("visit_no").cast("int"))
+        targets.unpersist()
+    numbered = number_in_order(_merged(visited), ["site"], ["level", "key", "url"], "visit_no")
+    if max_pages is not None:
+        numbered = numbered.where(F.col("visit_no") <= max_pages)
+    return numbered.select("site", F.col("visit_no").cast("int").alias("visit_no"), "url", "level")

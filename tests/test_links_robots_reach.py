@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sitegauge import constants as K
 from sitegauge import schemas
 from sitegauge.operators import links as L
+from sitegauge.operators import reach
 from sitegauge.operators.features import page_features
 from sitegauge.operators.reach import link_reach
 from sitegauge.operators.robots import allowed_pages, robots_allowed
@@ -123,6 +124,31 @@ def test_large_sites_are_reached_whole(spark):
     assert visits(limited, "b") == visits(rows, "b")[:20] and len(visits(limited, "a")) == 20
 
 
+def test_a_long_chain_ends(spark, monkeypatch):
+    """45 levels, each page also linking back; a branch at level 10 that is found again later.
+
+    Keys are replaced by ranks and tables merged every few jobs.
+    """
+    monkeypatch.setattr(reach, "RANK_AFTER", 8)
+    monkeypatch.setattr(reach, "MERGE_AFTER", 2)
+    page = lambda i: f"https://c.test/{i:04d}"
+    graph = {page(i): [page(max(i - 1, 0)), page(i + 1), page(0)] for i in range(45)}
+    graph[page(10)] = [page(11), page(9000), page(12)]
+    graph[page(9000)] = [page(13), page(9001)]
+    table = spark.createDataFrame(edge_rows("c", graph), EDGE)
+    starts = spark.createDataFrame([("c", page(0))], "site string, start_url string")
+    order, queue, seen = [], [page(0)], {page(0)}
+    while queue:
+        order.append(queue.pop(0))
+        for target in graph.get(order[-1], []):
+            if target not in seen:
+                seen.add(target)
+                queue.append(target)
+    rows = link_reach(starts, table).collect()
+    assert visits(rows, "c") == order and max(r.level for r in rows) == 44
+    assert visits(link_reach(starts, table, None, 17).collect(), "c") == order[:17]
+
+
 def test_reach_from_a_start_url_with_a_query(spark):
     table = spark.createDataFrame([
         ("s", "https://s.test/?utm=1", 0, "https://s.test/a", "https://s.test/a", True),
