@@ -1,60 +1,123 @@
-"""Topic clusters of issue descriptions with Spark ML k-means."""
+"""Topic clusters of issue descriptions: k-means of all corpora and all starts in one loop.
+
+Weights are taken as whole numbers of 1 / ``SCALE`` and centres are rounded down to
+them, so sums, distances and ties are exact and do not depend on partitions. A step is
+one join of the documents with the centres of their corpus and two sums; several steps
+make one job, and corpora and starts whose centres stay are done.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
 from sitegauge.functions.numbers import ratio, round_even
 from sitegauge.functions.skew import top_per_group
 from sitegauge.operators import keywords as T
-from sitegauge.session import stage
+from sitegauge.session import stage, stage_steps
 
 STARTS = 10
+SCALE = 1 << 20
+MOST_CLUSTERS = 6
+STEPS_A_JOB = 4
+#: Steps after which a corpus that still moves is left as it is; a multiple of ``STEPS_A_JOB``.
+MOST_STEPS = 60
 
 
 def cluster_count(n_docs: int) -> int:
-    return min(max(2, n_docs // 3), 6)
+    return min(max(2, n_docs // 3), MOST_CLUSTERS)
+
+
+def _cluster_count(n_docs: Column) -> Column:
+    return F.least(F.greatest(F.lit(2), F.floor(n_docs / 3)), F.lit(MOST_CLUSTERS)).cast("int")
 
 
 def doc_vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """One vector of vocabulary weights per document; all zero without a known term."""
-    by_doc = weights.groupBy("doc_id").agg(F.map_from_entries(
-        F.collect_list(F.struct("term_no", "weight"))).alias("m"))
-    slots = F.sequence(F.lit(1), F.lit(K.VOCABULARY_SIZE))
-    dense = F.transform(slots, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return docs.select("doc_id").join(by_doc, "doc_id", "left").select(
-        "doc_id", array_to_vector(dense).alias("features"))
+    """(corpus, doc_id, terms): per document its weighted vocabulary terms, none without a known term."""
+    weighted = F.struct(F.col("term_no").alias("t"), F.rint(F.col("weight") * SCALE).cast("long").alias("w"))
+    by_doc = weights.groupBy("corpus", "doc_id").agg(F.sort_array(F.collect_list(weighted)).alias("terms"))
+    return docs.select("corpus", "doc_id").join(by_doc, ["corpus", "doc_id"], "left").select(
+        "corpus", "doc_id", F.coalesce("terms", F.array().cast("array<struct<t:int,w:bigint>>")).alias("terms"))
+
+
+def _seeds(vectors: DataFrame) -> DataFrame:
+    """(corpus, start, centers): per start the k documents of least hash."""
+    sizes = vectors.groupBy("corpus").agg(_cluster_count(F.count("*")).alias("k"))
+    drawn = vectors.select("corpus", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("start")).withColumn(
+        "draw", F.md5(F.concat_ws("|", "start", "doc_id")))
+    first = top_per_group(drawn, ["corpus", "start"], [F.col("draw"), F.col("doc_id")], MOST_CLUSTERS, "nth")
+    dense = ("transform(sequence(1, {0}), i -> coalesce(try_element_at(map_from_entries(terms), i), 0L))"
+             .format(K.VOCABULARY_SIZE))
+    return (first.join(sizes, "corpus").where(F.col("nth") <= F.col("k")).join(vectors, ["corpus", "doc_id"])
+            .groupBy("corpus", "start").agg(F.sort_array(F.collect_list(F.struct("nth", F.expr(dense).alias("at")))).alias("c"))
+            .select("corpus", "start", F.col("c.at").alias("centers")))
+
+
+def _placed(vectors: DataFrame, state: DataFrame) -> DataFrame:
+    """Every document with its nearest centre of every start, the first of equal ones, and its cost.
+
+    The cost is the squared distance without the document's own length, which is the
+    same for all centres.
+    """
+    far = ("transform(centers, c -> aggregate(c, 0L, (s, v) -> s + v * v)"
+           " - 2 * aggregate(terms, 0L, (s, x) -> s + x.w * c[x.t - 1]))")
+    return (vectors.join(state, "corpus")
+            .select("corpus", "start", "doc_id", "terms", F.size("centers").alias("k"), F.expr(far).alias("far"))
+            .select("corpus", "start", "doc_id", "terms", "k", F.array_min("far").alias("cost"),
+                    (F.array_position("far", F.array_min("far")) - 1).cast("int").alias("cluster")))
+
 
+def _step(vectors: DataFrame, state: DataFrame) -> DataFrame:
+    """Centres moved to the mean of their documents; one without documents goes to the origin.
 
-def fit_best(vectors: DataFrame, k: int) -> KMeansModel:
-    """Best of ten seeded starts by training cost."""
-    fitted = (KMeans(k=k, seed=K.SEED + i, maxIter=300, tol=1e-4).fit(vectors)
-              for i in range(STARTS))
-    return min(fitted, key=lambda m: m.summary.trainingCost)
+    Term 0 counts the documents of a cluster, so one sum serves both.
+    """
+    cell = "explode(concat(array(named_struct('t', 0, 'w', 1L)), terms)) as x"
+    sums = (_placed(vectors, state).selectExpr("corpus", "start", "k", "cluster", cell)
+            .groupBy("corpus", "start", "k", "cluster", "x.t").agg(F.sum("x.w").alias("w")))
+    width = K.VOCABULARY_SIZE + 1
+    cells = sums.groupBy("corpus", "start", "k").agg(F.map_from_entries(F.collect_list(
+        F.struct((F.col("cluster") * width + F.col("t")).alias("at"), "w"))).alias("m"))
+    mean = (f"transform(sequence(0, k - 1), c -> transform(sequence(1, {width - 1}), t -> "
+            f"coalesce(try_element_at(m, c * {width} + t) div try_element_at(m, c * {width}), 0L)))")
+    return cells.selectExpr("corpus", "start", f"{mean} as centers")
 
 
-def issue_clusters(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(issues with ``cluster``, term weights) of the given issue table as one corpus.
+def fit(vectors: DataFrame) -> DataFrame:
+    """(corpus, doc_id, cluster): the best of ``STARTS`` seeded starts by cost, of equal ones the first.
 
-    Pass one site's issues for the clusters of a single crawl.
+    Documents that are all alike are all in cluster 0.
+    """
+    state, done, steps = stage(_seeds(vectors), "centers"), [], 0
+    while steps < MOST_STEPS and not state.isEmpty():
+        moved = state
+        for _ in range(STEPS_A_JOB):
+            moved = _step(vectors, moved)
+        steps += STEPS_A_JOB
+        both = stage_steps(moved.join(state.withColumnRenamed("centers", "before"), ["corpus", "start"]), "centers")
+        stays = F.col("centers") == F.col("before")
+        done.append(both.where(stays).drop("before"))
+        state = both.where(~stays).drop("before")
+    final = reduce(DataFrame.unionByName, [*done, state])
+    placed = stage(_placed(vectors, final).drop("terms", "k"), "placed")
+    costs = placed.groupBy("corpus", "start").agg(F.sum("cost").alias("cost"))
+    best = costs.groupBy("corpus").agg(F.min(F.struct("cost", "start")).alias("b")).select("corpus", F.col("b.start").alias("start"))
+    return placed.join(best, ["corpus", "start"]).select("corpus", "doc_id", "cluster")
+
+
+def issue_clusters(issues: DataFrame, corpus: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(issues with ``corpus`` and ``cluster``, term weights).
+
+    The given table is one corpus, or has one per value of the column ``corpus`` (the
+    site), all of which are clustered together. Corpora with fewer than three issues have
+    no clusters; ``keywords.text_guard`` lists them with a message.
     """
-    docs = T.issue_docs(issues, corpus=None)
-    n_docs = docs.count()
-    if n_docs < K.MIN_ISSUES_FOR_TEXT:
-        raise ValueError(K.TEXT_GUARD_MESSAGE)
-    weights = stage(T.tfidf(T.tokens(docs), single_corpus=True), "weights")
-    vectors = doc_vectors(docs, weights).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = fit_best(vectors, cluster_count(n_docs))
-        labels = stage(model.transform(vectors).select(
-            "doc_id", F.col("prediction").alias("cluster")), "clusters")
-    finally:
-        vectors.unpersist()
+    docs = T.enough_docs(T.issue_docs(issues, corpus))
+    weights = stage(T.tfidf(T.tokens(docs), single_corpus=corpus is None), "weights")
+    labels = stage(fit(stage(doc_vectors(docs, weights), "vectors")), "clusters")
     keyed = issues.withColumn("doc_id", F.concat_ws("|", "site", "module", "issue_type"))
     return keyed.join(labels, "doc_id"), weights
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions import urls as U
 from sitegauge.functions.skew import number_in_order
 from sitegauge.operators.robots import robots_allowed
-from sitegauge.session import stage
+from sitegauge.session import stage, stage_steps
 
 #: Levels of the first jobs; the last entry holds for all that follow.
 LEVELS = (4, 8)
@@ -80,24 +80,6 @@ def _next_levels(frontier: DataFrame, targets: DataFrame, known: DataFrame, coun
     return reached
 
 
-def _stage_levels(pages: DataFrame) -> DataFrame:
-    """Stage a plan of many equal levels with what costs least for it.
-
-    Adaptive execution would plan all levels anew after each of their shuffles, and
-    numbered class names would have equal code compiled once per level.
-    """
-    conf = pages.sparkSession.conf
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.useIdInClassName": "false"}
-    before = {key: conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            conf.set(key, value)
-        return stage(pages, "reach")
-    finally:
-        for key, value in before.items():
-            conf.set(key, value)
-
-
 def _merged(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -132,7 +114,7 @@ def link_reach(start_urls: DataFrame, link_edges: DataFrame, rules: DataFrame |
         while not frontier.isEmpty():
             count = LEVELS[min(jobs, len(LEVELS) - 1)]
             known = _merged(visited).select("site", "url")
-            visited.append(_stage_levels(_next_levels(frontier, targets, known, count)))
+            visited.append(stage_steps(_next_levels(frontier, targets, known, count), "reach"))
             level, path, jobs = level + count, path + count, jobs + 1
             if len(visited) > MERGE_AFTER:
                 visited = [stage(_merged(visited), "reach")]

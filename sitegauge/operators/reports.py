@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge import constants as K
 from sitegauge.functions.numbers import exact_mean, fixed, ratio, round_even
 from sitegauge.functions.skew import top_per_group
-from sitegauge.operators.scoring import module_page_counts
+from sitegauge.operators.scoring import module_page_counts, start_urls
 
 SEVERITIES = ["Low", "Medium", "High"]
 
@@ -118,7 +118,7 @@ def crawl_header(features: DataFrame, external_counts: DataFrame, broken: DataFr
     """One row per site: page, module, external and broken totals."""
     pages = module_page_counts(features).groupBy("site").agg(
         F.sum("page_count").alias("total_pages"), F.count("*").alias("modules"))
-    urls = features.select("site", "start_url").distinct()
+    urls = start_urls(features)
     links = broken.groupBy("site").agg(F.count("*").alias("broken_links"))
     return (pages.join(urls, "site").join(external_counts, "site", "left")
             .join(links, "site", "left")

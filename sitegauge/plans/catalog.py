@@ -71,7 +71,7 @@ def robots_check(spark, sf_dir):
 def crawl_order(max_pages: int | None = None) -> Query:
     def query(spark, sf_dir):
         audit = audit_of(spark, sf_dir)
-        starts = audit.features.select("site", "start_url").distinct()
+        starts = scoring.start_urls(audit.features)
         return reach.link_reach(starts, audit.links, derived.robots_rules(starts), max_pages)
 
     return query
@@ -107,6 +107,12 @@ def issue_clusters(audit: Audit) -> DataFrame:
     return clustered.select("site", "module", "issue_type", "cluster")
 
 
+def site_clusters(audit: Audit) -> DataFrame:
+    """Clusters of every site's own issues, all sites at once."""
+    clustered, _ = clusters.issue_clusters(audit.issues, "site")
+    return clustered.select("site", "module", "issue_type", "cluster")
+
+
 def cluster_profile(audit: Audit) -> DataFrame:
     return shown_profile(clusters.cluster_profile(*clusters.issue_clusters(audit.issues)))
 
@@ -228,6 +234,7 @@ def queries() -> dict[str, Query]:
         "document_keywords": document_keywords,
         "text_guard": on_audit(lambda a: keywords.text_guard(text_of(a))),
         "issue_clusters": on_audit(issue_clusters),
+        "site_clusters": on_audit(site_clusters),
         "cluster_profile": on_audit(cluster_profile),
         # model
         "module_codes": on_audit(lambda a: forest.category_codes(a.issues, "module")),

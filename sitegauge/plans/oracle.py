@@ -395,6 +395,16 @@ def _ctes() -> dict[str, str]:
             from (select t.corpus, t.doc_id, t.term, t.tf * (ln((n + 1) / (df + 1)) + 1) as raw
               from terms t join vocab v on t.corpus = v.corpus and t.term = v.term
               join (select corpus, count(*) as n from texts group by corpus) c on c.corpus = t.corpus)""",
+        "pool_words": "select 'all' as corpus, doc_id, word, pos from words",
+        "pool_terms": _terms("pool_words"),
+        "pool_vocab": _vocab("pool_terms"),
+        "pool_vectors": _vectors("pool_words", "pool_terms", "pool_vocab"),
+        "site_vectors": _vectors("words", "terms", "vocab"),
+        "pool_labels": _lloyd("pool_vectors"),
+        "site_labels": _lloyd("site_vectors"),
+        "clustered": "select i.*, l.cluster, l.doc_id from iss i join pool_labels l "
+                     "on l.doc_id = i.site || '|' || i.module || '|' || i.issue_type",
+        "pool_weights": _weights("pool_words", "pool_terms", "pool_vocab"),
         "allowed": _allowed("crawl", "url"),
         "adjacent": _allowed(
             "(select site, regexp_replace(src_url, '[#?].*', '') as src_url, dst_clean as url, min(pos) as pos "
@@ -427,6 +437,59 @@ def _vocab(terms: str) -> str:
           from {terms} group by corpus, term) where term_no <= 100"""
 
 
+def _weights(words: str, terms: str, vocab: str) -> str:
+    """Weight of every vocabulary term in every document."""
+    return f"""
+        select corpus, doc_id, term, term_no, raw / sqrt(sum(raw * raw) over (partition by corpus, doc_id)) as w
+        from (select t.corpus, t.doc_id, t.term, v.term_no, t.tf * (ln((n + 1) / (df + 1)) + 1) as raw
+          from {terms} t join {vocab} v on t.corpus = v.corpus and t.term = v.term
+          join (select corpus, count(distinct doc_id) as n from {words} group by corpus) c on c.corpus = t.corpus)"""
+
+
+def _vectors(words: str, terms: str, vocab: str) -> str:
+    """Whole-number weights over the 100 places of the vocabulary, per document of corpora with three or more."""
+    return f"""
+        select d.corpus, d.doc_id, list(coalesce(x, 0.0) order by t) as v
+        from (select distinct corpus, doc_id from {words}) d cross join (select range::int as t from range(1, 101))
+        left join (select corpus, doc_id, term_no, round(w * 1048576) as x
+                   from ({_weights(words, terms, vocab)})) w
+          on w.corpus = d.corpus and w.doc_id = d.doc_id and w.term_no = t
+        where d.corpus in (select corpus from {words} group by corpus having count(distinct doc_id) >= 3)
+        group by d.corpus, d.doc_id"""
+
+
+def _lloyd(vectors: str) -> str:
+    """Labels of k-means: ten starts per corpus, steps until no centre moves, the cheapest start."""
+    far = ("list_transform(centers, lambda c: list_inner_product(c, c) - 2 * list_inner_product(c, v))")
+    return f"""
+        with recursive seeds as (
+          select *, row_number() over (partition by corpus, start order by md5(start || '|' || doc_id), doc_id) as nth
+          from {vectors}, (select range as start from range(10))),
+        steps(step, corpus, start, centers) as (
+          select 0, corpus, start, list(v order by nth)
+          from seeds join (select corpus, least(greatest(2, count(*) // 3), 6) as k from {vectors} group by corpus)
+            using (corpus) where nth <= k group by corpus, start
+          union all
+          select step + 1, corpus, start, moved from (
+            select step, corpus, start, any_value(centers) as centers,
+              list_transform(any_value(centers), lambda old, i: coalesce(
+                map(list(c), list(center))[i], list_transform(old, lambda x: 0.0))) as moved
+            from (select step, corpus, start, c, any_value(centers) as centers, list(mean order by t) as center
+              from (select step, corpus, start, c, t, any_value(centers) as centers, floor(sum(x) / count(*)) as mean
+                from (select step, corpus, start, centers, list_position({far}, list_min({far})) as c,
+                        unnest(v) as x, generate_subscripts(v, 1) as t
+                      from steps join {vectors} using (corpus))
+                group by step, corpus, start, c, t) group by step, corpus, start, c)
+            group by step, corpus, start)
+          where moved <> centers and step < 60),
+        ends as (select corpus, start, arg_max(centers, step) as centers from steps group by corpus, start),
+        placed as (select corpus, start, doc_id, list_position({far}, list_min({far})) - 1 as cluster, list_min({far}) as cost
+                   from ends join {vectors} using (corpus)),
+        best as (select corpus, arg_min(start, cost * 16 + start) as start
+                 from (select corpus, start, sum(cost) as cost from placed group by corpus, start) group by corpus)
+        select corpus, doc_id, cluster::int as cluster from placed join best using (corpus, start)"""
+
+
 def _keywords(texts: str, terms: str, vocab: str) -> str:
     return f"""
         select corpus, rank, term as keyword, {even('total', 3)} as score,
@@ -440,6 +503,12 @@ def _keywords(texts: str, terms: str, vocab: str) -> str:
                   on c.corpus = t.corpus)) group by corpus, term)) where rank <= 20"""
 
 
+def _profile(drawn: str, weights: str) -> str:
+    """Profile of the clusters in a table of labelled issues."""
+    return _drawn_profile().replace("from drawn", f"from {drawn}").replace("join drawn", f"join {drawn}").replace(
+        "term_weights", weights)
+
+
 def _drawn_profile() -> str:
     first = lambda source, order, n: (
         f"(select *, row_number() over (partition by cluster order by {order}) as nth from {source} qualify nth <= {n})")
@@ -706,6 +775,10 @@ def _bodies() -> dict[str, str]:
             select {even('count(*) filter (label = predicted) / count(*)::double', 4)} as accuracy,
               count(*) as test_rows, avg(confidence) as avg_confidence from drawn""",
         "drawn_report": f"select * from ({_drawn_report()})",
+        "issue_clusters": "select site, module, issue_type, cluster from clustered",
+        "site_clusters": "select site, module, issue_type, cluster from iss join site_labels "
+                         "on doc_id = site || '|' || module || '|' || issue_type",
+        "cluster_profile": _profile("clustered", "pool_weights"),
         "drawn_cluster_modules": 'select cluster, module, count(*) as "count" from drawn group by all',
         "drawn_cluster_profile": _drawn_profile(),
         "recommendations": _recommendations(),

@@ -51,3 +51,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote; call it when all that reads it is written itself."""
+    spark = staged.sparkSession
+    files = staged.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage_steps(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` for a plan of several equal steps, each of which is one shuffle or two.
+
+    Adaptive execution would plan all steps anew after each of their shuffles, and
+    numbered class names would have equal code compiled once per step.
+    """
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.useIdInClassName": "false"}
+    before = {key: conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            conf.set(key, value)
+        return stage(df, name)
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
