@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.session import stage
+from sitegauge.session import discard, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = digest
         if not digest[0]:
             break
-        now = stage(_small_star(_large_star(now)), "stars")
+        last, now = now, stage(_small_star(_large_star(now)), "stars")
+        discard(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.llm import words as W
 from sitegauge.llm.components import components
-from sitegauge.session import stage
+from sitegauge.session import discard, stage
 
 HASHES = 120
 
@@ -139,25 +139,29 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) whose minima agree often enough and whose full sets are similar."""
+    """Written table of the pairs (a, b) whose minima agree often enough and whose full sets are similar."""
     minima = nodes.select("node", "minima")
     similar = stage(
         pairs.join(minima.toDF("a", "minima_a"), "a").join(minima.toDF("b", "minima_b"), "b")
         .select("a", "b", "minima_a", "minima_b").mapInArrow(
             partial(_agreeing, least=like.least_agreement), "a long, b long").distinct(), "near-pairs")
-    return (similar.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-            .select("a", "b", "text_a", "text_b").mapInArrow(
-                partial(_linked, like=like), "a long, b long").distinct())
+    linked = stage(
+        similar.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        .select("a", "b", "text_a", "text_b").mapInArrow(
+            partial(_linked, like=like), "a long, b long").distinct(), "near-linked")
+    discard(similar)
+    return linked
 
 
 def _prefix_pairs(labelled: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) of different components that a prefix join cannot rule out.
+    """Written table of the pairs (a, b) of different components that a prefix join cannot rule out.
 
     ``labelled`` has columns node and c, its component.
     """
     sets = labelled.join(texts.withColumnRenamed("id", "node"), "node").select("node", "c", "text").mapInArrow(
         partial(_shingle_rows, size=like.words), "node long, c long, size long, shingles array<long>")
-    rows = stage(sets, "near-sets").select("node", "c", "size", F.explode("shingles").alias("shingle"))
+    sets = stage(sets, "near-sets")
+    rows = sets.select("node", "c", "size", F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     kept = F.col("size") - F.floor((F.col("size") * like.percent + 99) / 100).cast("long") + 1
     prefixes = stage(
@@ -165,15 +169,19 @@ def _prefix_pairs(labelled: DataFrame, texts: DataFrame, like: Likeness) -> Data
         .agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
         .select("node", "c", "size", F.posexplode(F.slice("s", F.lit(1), kept.cast("int"))).alias("pos", "s"))
         .where("s.often > 1").select("node", "c", "size", "pos", "s.shingle"), "near-prefixes")
+    discard(sets)
     of_c = prefixes.groupBy("shingle", "c").agg(F.count("*").alias("n"))
     main = of_c.groupBy("shingle").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("cs")).where("cs > 1")
     right = prefixes.join(main.select("shingle", "main"), "shingle")
     left = right.where("c <> main").select("shingle", *[F.col(x).alias(f"{x}_") for x in ("node", "c", "size", "pos")])
     # were this the first shingle they share, so many could follow at most, itself included
     reach = F.least(F.col("size") - F.col("pos"), F.col("size_") - F.col("pos_"))
-    return (left.join(right, "shingle")
-            .where((F.col("c") != F.col("c_")) & ((100 + like.percent) * reach >= like.percent * (F.col("size") + F.col("size_"))))
-            .select(*_pair("node", "node_")).distinct())
+    pairs = stage(
+        left.join(right, "shingle")
+        .where((F.col("c") != F.col("c_")) & ((100 + like.percent) * reach >= like.percent * (F.col("size") + F.col("size_"))))
+        .select(*_pair("node", "node_")).distinct(), "near-candidates")
+    discard(prefixes)
+    return pairs
 
 
 def _bucket_rows(nodes: DataFrame, like: Likeness) -> DataFrame:
@@ -185,7 +193,9 @@ def _bucket_rows(nodes: DataFrame, like: Likeness) -> DataFrame:
     shared = stage(bands.join(sizes, "bucket"), "near-buckets")
     scores = shared.groupBy("node").agg(F.sum("size").alias("degree")).select(
         "node", (F.col("degree") * 2**20 + F.pmod(F.xxhash64("node"), F.lit(2**20))).alias("score"))
-    return stage(shared.join(scores, "node"), "near-shared")
+    scored = stage(shared.join(scores, "node"), "near-shared")
+    discard(shared)
+    return scored
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -202,14 +212,21 @@ def node_components(nodes: DataFrame, texts: DataFrame, known: DataFrame, like:
     pairs = rows.join(leader, "bucket").where("node <> leader").select(*_pair("node", "leader")).distinct()
     shared = stage(texts.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
                    .dropDuplicates(["id", "text"]), "near-texts")
-    links = stage(_confirmed(pairs, nodes, shared, like).union(known), "near-links")
+    confirmed = _confirmed(pairs, nodes, shared, like)
+    links = stage(confirmed.union(known), "near-links")
     labels = components(links.toDF("u", "v"))
     labelled = rows.select("bucket", "node").join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("c"))
     apart = labelled.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
     open_nodes = stage(labelled.join(apart.select("bucket"), "bucket", "left_semi").select("node", "c").distinct(),
                        "near-open")
-    more = _confirmed(_prefix_pairs(open_nodes, shared, like), nodes, shared, like)
+    # all that reads these is written by now
+    for table in (confirmed, labels, rows):
+        discard(table)
+    candidates = _prefix_pairs(open_nodes, shared, like)
+    more = _confirmed(candidates, nodes, shared, like)
+    for table in (open_nodes, candidates, shared):
+        discard(table)
     return components(links.union(more).toDF("u", "v"))
 
 
