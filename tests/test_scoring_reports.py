@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge import schemas
-from sitegauge.operators import advice, reports, scoring
+from sitegauge.operators import advice, links, reports, scoring
+from sitegauge.operators.features import page_features
 from sitegauge.operators.issues import enrich
 from sitegauge.plans.audit import Audit
 from sitegauge.sources.sinks import export_rows, write_issue_csv
@@ -164,3 +165,15 @@ def test_explanation_and_categories(spark):
     assert reports.score_explanation(scored).first().explanation == (
         "none of the 5 issues are High-severity; 1 broken link(s) are the biggest drag on your grade "
         "(Broken Links score = 92/100)")
+
+
+def test_one_row_per_site_whatever_its_start_urls(crawl):
+    pages = crawl(*[{"start_url": u, "html": "<title>t</title>"} for u in
+                    ("https://s.test/", "https://s.test/", "http://s.test/", None)], {"site": "t", "start_url": None})
+    features = page_features(pages)
+    totals = {r.site: (r.pages, r.with_title, r.start_url) for r in scoring.page_totals(features).collect()}
+    assert totals == {"s": (4, 4, "http://s.test/"), "t": (1, 0, None)}
+    broken = links.broken_internal_pages(features)
+    counts = links.external_link_counts(links.external_links(links.links(features)))
+    header = reports.crawl_header(features, counts, broken).collect()
+    assert sorted((r.site, r.total_pages, r.start_url) for r in header) == [("s", 4, "http://s.test/"), ("t", 1, None)]
