@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
 from sitegauge.functions.numbers import ratio, round_even
-from sitegauge.session import stage
+from sitegauge.session import checkpoint_root, stage
 
 FEATURES = [name for name, _ in K.FEATURE_LABELS]
 _BUCKET_DIGITS = 3  # 16**3 hash buckets
@@ -80,37 +80,59 @@ def test_sizes(counts: dict[int, int]) -> dict[int, int]:
 
 
 def split_hash(key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{K.SEED}|"), key))
+    return F.md5(F.concat(F.lit(f"{K.SEED}|"), F.coalesce(key, F.lit(""))))
 
 
 def stratified_split(df: DataFrame) -> DataFrame:
     """Add boolean ``is_test``: exactly the class shares of a 70/30 split, by hash order.
 
-    Rows are counted per class and hash bucket (at most 2 x 4096 counts). Buckets
-    below the cut are test rows, buckets above are not, and only the one bucket per
-    class that holds the cut is ranked.
+    Rows are staged with a hash of their key, followed by one of their place, which tells
+    rows of equal keys apart. The hash that cuts a class is selected by its digits, so no
+    row is ranked or sorted, and the split itself is a comparison in the row.
     """
-    hashed = df.withColumn("h", split_hash(F.col("row_key"))).withColumn(
-        "bucket", F.substring("h", 1, _BUCKET_DIGITS))
-    buckets = hashed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
-    counts = {r["label"]: r["n"] for r in buckets.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    take = F.create_map(*[F.lit(x) for kv in test_sizes(counts).items() for x in kv])
-    before = Window.partitionBy("label").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    cuts = (buckets.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-            .withColumn("left", take[F.col("label")] - F.col("before"))
-            .select("label", "bucket", "n", "left"))
-    placed = hashed.join(F.broadcast(cuts), ["label", "bucket"])
-    cut = (F.col("left") > 0) & (F.col("left") < F.col("n"))
-    sure = placed.where(~cut).withColumn("is_test", F.col("left") >= F.col("n"))
-    by_hash = Window.partitionBy("label").orderBy("h", "row_key")
-    ranked = placed.where(cut).withColumn("is_test", F.row_number().over(by_hash) <= F.col("left"))
-    return sure.unionByName(ranked).drop("h", "bucket", "n", "left")
+    place = F.md5(F.monotonically_increasing_id().cast("string"))
+    hashed = stage(df.withColumn("h", F.concat(split_hash(F.col("row_key")), place)), "split")
+    counts = {r["label"]: r["count"] for r in hashed.groupBy("label").count().collect()}
+    cuts = hash_cuts(hashed, test_sizes(counts)) if counts else {0: ""}
+    cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])
+    return hashed.withColumn("is_test", F.col("h") < cut[F.col("label")]).drop("h")
+
+
+def hash_cuts(hashed: DataFrame, take: dict[int, int]) -> dict[int, str]:
+    """Per label a text that is above the first ``take`` hashes and below all others.
+
+    Radix selection: the rows that share the cut's known digits are counted by the next
+    three, at most 4096 counts per label, until the cut falls between two counts. The
+    rows to count shrink 4096-fold each time; distinct hashes end it.
+    """
+    cuts = {label: "" for label in take}
+    left = {label: n for label, n in take.items() if n > 0}
+    digits = 0
+    while left:
+        digits += _BUCKET_DIGITS
+        known = F.create_map(*[F.lit(x) for label in left for x in (label, cuts[label])])
+        counts = (hashed.where(F.col("h").startswith(known[F.col("label")]))
+                  .groupBy("label", F.substring("h", 1, digits).alias("bucket")).agg(F.count("*").alias("n")))
+        buckets = sorted((r["label"], r["bucket"], r["n"]) for r in counts.collect())
+        for label in list(left):
+            for bucket, n in [(bucket, n) for of, bucket, n in buckets if of == label]:
+                if n < left[label]:
+                    left[label] -= n
+                    continue
+                cuts[label] = bucket
+                if n == left[label]:
+                    cuts[label] += "g"  # above every hexadecimal digit
+                    del left[label]
+                break
+    return cuts
 
 
 @dataclass
 class Forest:
+    """Fitted trees as a table of nodes, the category codes and the scored test rows."""
+
     model: RandomForestClassificationModel
+    nodes: DataFrame
     modules: DataFrame
     types: DataFrame
     scored_test: DataFrame
@@ -119,13 +141,19 @@ class Forest:
 def prepare(issues: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(encoded and split rows, module codes, type codes) of an issue table."""
     if issues.limit(K.MIN_ISSUES_FOR_MODEL).count() < K.MIN_ISSUES_FOR_MODEL:
-        raise ValueError(K.MODEL_GUARD_MESSAGE)
+        raise ValueError(K.MODEL_GUARD_MESSAGE)  # ``model_guard`` tells it as a row
     modules, types = category_codes(issues, "module"), category_codes(issues, "issue_type")
     key = F.concat_ws("|", "site", "module", "issue_type")
     rows = encode(issues.select(
         "site", "module", "issue_type", "occurrences", "fix_time_hours", "severity_weight",
         F.col("is_critical").alias("label"), key.alias("row_key")), modules, types)
-    return stage(stratified_split(two_classes(rows)), "split"), modules, types
+    return stratified_split(two_classes(rows)), modules, types
+
+
+def model_guard(issues: DataFrame) -> DataFrame:
+    """Number of issues and the message for a table that is too small for a model."""
+    return issues.agg(F.count("*").alias("n_issues")).withColumn(
+        "error", F.when(F.col("n_issues") < K.MIN_ISSUES_FOR_MODEL, F.lit(K.MODEL_GUARD_MESSAGE)))
 
 
 def _assemble(df: DataFrame) -> DataFrame:
@@ -144,18 +172,59 @@ def train(issues: DataFrame) -> Forest:
         numTrees=K.FOREST_TREES, maxDepth=K.FOREST_DEPTH, seed=K.SEED, weightCol="class_weight",
         featureSubsetStrategy="sqrt")
     model = forest.fit(_assemble(training).withColumn("class_weight", weight[F.col("label")]))
-    scored = with_probabilities(model, rows.where("is_test"))
-    return Forest(model, modules, types, stage(scored, "scored"))
+    nodes = node_table(issues.sparkSession, model)
+    scored = with_probabilities(nodes, rows.where("is_test"))
+    return Forest(model, nodes, modules, types, stage(scored, "scored"))
+
 
+def node_table(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
+    """One row per node: its test or, with ``feature`` -1, its class shares.
 
-def with_probabilities(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
-    p = vector_to_array("probability")
-    return (model.transform(_assemble(rows))
-            .withColumns({"proba_not_critical": p[0],
-                          "proba_critical": F.when(F.size(p) > 1, p[1]).otherwise(0.0),
-                          "confidence": F.array_max(p),
-                          "predicted": F.col("prediction").cast("int")})
-            .drop("features", "rawPrediction", "probability", "prediction"))
+    The model is saved to the shared folder, where its nodes are a table already.
+    """
+    path = f"{checkpoint_root(spark).rstrip('/')}/sitegauge/forest-{uuid.uuid4().hex}"
+    model.write().session(spark).save(path)
+    share = lambda i: F.coalesce(F.get("nodeData.impurityStats", F.lit(i)), F.lit(0.0)) / F.col("weight")
+    return (spark.read.parquet(f"{path}/data")
+            .withColumn("weight", F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda s, x: s + x))
+            .select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"),
+                    F.col("nodeData.split.featureIndex").alias("feature"),
+                    F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+                    F.col("nodeData.leftChild").alias("below"), F.col("nodeData.rightChild").alias("above"),
+                    F.col("nodeData.gain").alias("gain"), "weight",
+                    share(0).alias("share_0"), share(1).alias("share_1")))
+
+
+def with_probabilities(nodes: DataFrame, rows: DataFrame, trees: int = K.FOREST_TREES,
+                       depth: int = K.FOREST_DEPTH) -> DataFrame:
+    """Add the forest's class probabilities, confidence and verdict (0 where both are equal).
+
+    Equal feature values are scored once. They walk all trees at the same time, one
+    join with the nodes per level; a forest has at most ``trees`` times
+    ``2 ** (depth + 1) - 1`` nodes, 6,300 by default, so these are broadcast. Shares
+    are added up as decimals, so their order does not matter.
+    """
+    small = F.broadcast(nodes)
+    value = F.get(F.array(*FEATURES), F.col("feature"))
+    following = F.when(F.col("feature") < 0, F.col("node")).when(
+        value <= F.col("threshold"), F.col("below")).otherwise(F.col("above"))
+    at = rows.select(*FEATURES).distinct().select(
+        *FEATURES, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).alias("node"))
+    for _ in range(depth):
+        at = at.join(small.select("tree", "node", "feature", "threshold", "below", "above"),
+                     ["tree", "node"]).select(*FEATURES, "tree", following.alias("node"))
+    mean = lambda c: F.sum(F.col(c).cast("decimal(18,15)")).cast("double") / trees
+    votes = (at.join(small.select("tree", "node", "share_0", "share_1"), ["tree", "node"])
+             .groupBy(*FEATURES)
+             .agg(mean("share_0").alias("proba_not_critical"), mean("share_1").alias("proba_critical")))
+    return rows.join(votes, FEATURES).withColumns({
+        "confidence": F.greatest("proba_not_critical", "proba_critical"),
+        "predicted": (F.col("proba_critical") > F.col("proba_not_critical")).cast("int")})
+
+
+def predictions(scored: DataFrame) -> DataFrame:
+    """Verdict and confidence of every test row."""
+    return scored.select(F.col("row_key").alias("issue"), F.col("label").alias("actual"), "predicted", "confidence")
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -205,26 +274,45 @@ def _class_counts(label: int) -> Column:
         (F.col(f"m{label}0") + F.col(f"m{label}1")).alias("support"))
 
 
-def feature_importance(forest: Forest) -> DataFrame:
-    """Impurity importance per feature, also as percent with one decimal."""
-    rows = [(label, float(v)) for (_, label), v in
-            zip(K.FEATURE_LABELS, forest.model.featureImportances.toArray())]
-    spark = forest.modules.sparkSession
-    return spark.createDataFrame(rows, "feature string, importance double").withColumn(
-        "importance_pct", round_even(F.col("importance") * 100, 1))
+def feature_importance(nodes: DataFrame) -> DataFrame:
+    """Impurity importance per feature, also as percent with one decimal.
+
+    A feature's share of the weighted gains of a tree, averaged over the trees that
+    split at all; 0 where none does.
+    """
+    names = nodes.sparkSession.createDataFrame(
+        [(i, label) for i, (_, label) in enumerate(K.FEATURE_LABELS)], "feature_no int, feature string")
+    gains = nodes.where("feature >= 0").groupBy("tree", F.col("feature").alias("feature_no")).agg(
+        F.sum(F.col("gain") * F.col("weight")).alias("gain"))
+    shares = gains.withColumn("share", F.try_divide(
+        "gain", F.sum("gain").over(Window.partitionBy("tree"))))  # one row per feature and tree
+    sums = shares.groupBy("feature_no").agg(
+        F.sum(F.col("share").cast("decimal(18,15)")).cast("double").alias("share"))
+    total = sums.agg(F.sum("share").alias("total"))
+    importance = F.coalesce(F.try_divide("share", "total"), F.lit(0.0))
+    return (names.join(sums, "feature_no", "left").join(F.broadcast(total))  # one row
+            .select("feature", importance.alias("importance"),
+                    round_even(importance * 100, 1).alias("importance_pct")))
 
 
 def score(forest: Forest, inputs: DataFrame) -> DataFrame:
     """Verdict and probabilities in percent for a table of issue descriptions."""
+    return verdicts(forest.nodes, scoring_rows(inputs, forest.modules, forest.types), inputs.columns)
+
+
+def scoring_rows(inputs: DataFrame, modules: DataFrame, types: DataFrame) -> DataFrame:
+    """Issue descriptions with the five numeric features."""
     weights = F.create_map(*[F.lit(x) for kv in K.SEVERITY_WEIGHTS.items() for x in kv])
-    rows = encode(inputs.withColumns({
+    return encode(inputs.withColumns({
         "fix_time_hours": F.col("fix_time"),
         "severity_weight": F.coalesce(F.try_element_at(weights, F.col("severity")), F.lit(1.0))}),
-        forest.modules, forest.types)
-    percent = lambda c: round_even(F.col(c) * 100, 1)
-    return with_probabilities(forest.model, rows).select(
-        *inputs.columns,
-        F.when(F.col("predicted") == 1, K.LABEL_NAMES[1]).otherwise(K.LABEL_NAMES[0])
-        .alias("prediction"),
-        percent("confidence").alias("confidence"), percent("proba_critical").alias("proba_critical"),
-        percent("proba_not_critical").alias("proba_not_critical"))
+        modules, types)
+
+
+def verdicts(nodes: DataFrame, rows: DataFrame, shown: list[str], **size: int) -> DataFrame:
+    """The columns ``shown`` with verdict and probabilities in percent."""
+    percent = lambda c: round_even(F.col(c) * 100, 1).alias(c)
+    return with_probabilities(nodes, rows, **size).select(
+        *shown,
+        F.when(F.col("predicted") == 1, K.LABEL_NAMES[1]).otherwise(K.LABEL_NAMES[0]).alias("prediction"),
+        percent("confidence"), percent("proba_critical"), percent("proba_not_critical"))

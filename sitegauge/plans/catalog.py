@@ -150,13 +150,56 @@ def forest_confusion(audit: Audit) -> DataFrame:
 
 
 def feature_importance(audit: Audit) -> DataFrame:
-    return forest.feature_importance(forest.train(audit.issues))
+    return forest.feature_importance(forest.train(audit.issues).nodes)
+
+
+def forest_predictions(audit: Audit) -> DataFrame:
+    return forest.predictions(forest.train(audit.issues).scored_test)
 
 
 def forest_scores(audit: Audit) -> DataFrame:
     return forest.score(forest.train(audit.issues), derived.scoring_inputs(audit.issues))
 
 
+DRAWN_SIZE = {"trees": derived.DRAWN_TREES, "depth": derived.DRAWN_DEPTH}
+
+
+def drawn_forest_predictions(audit: Audit) -> DataFrame:
+    """Test rows scored by trees that SQL can draw as well."""
+    rows, _, _ = forest.prepare(audit.issues)
+    nodes = derived.drawn_nodes(audit.issues)
+    return forest.predictions(forest.with_probabilities(nodes, rows.where("is_test"), **DRAWN_SIZE))
+
+
+def drawn_forest_scores(audit: Audit) -> DataFrame:
+    inputs = derived.scoring_inputs(audit.issues)
+    codes = [forest.category_codes(audit.issues, c) for c in ("module", "issue_type")]
+    return forest.verdicts(derived.drawn_nodes(audit.issues), forest.scoring_rows(inputs, *codes), inputs.columns,
+                           **DRAWN_SIZE)
+
+
+def one_class_repair(audit: Audit) -> DataFrame:
+    """Only the issues that are not critical: one class, so a copy with one flipped label is added."""
+    rows = audit.issues.where("is_critical = 0").select(
+        F.concat_ws("|", "site", "module", "issue_type").alias("row_key"), F.col("is_critical").alias("label"))
+    return forest.two_classes(rows)
+
+
+def issue_defaults(audit: Audit) -> DataFrame:
+    """An issue table that lacks four of its columns."""
+    bare = audit.issues.select("site", "module", "issue_type", "severity")
+    return issues.enrich(bare).select(
+        "site", "module", "issue_type", "status", "occurrences", "fix_time_hours", "description",
+        "severity_weight", "is_critical", "is_recurring", "is_open")
+
+
+def clean_site_advice(audit: Audit) -> DataFrame:
+    """Advice for the crawled sites, had no issue been found."""
+    none = audit.issues.where("false")
+    totals = scoring.site_totals(audit.features, audit.broken.where("false"), none)
+    return advice.recommendations(advice.advice_inputs(totals, none))
+
+
 def seed_urls(pages: DataFrame) -> DataFrame:
     typed = derived.typed_urls(pages)
     return typed.select("page_id", F.inline(F.array(U.seed_url(F.col("raw_url")))))
@@ -199,6 +242,7 @@ def queries() -> dict[str, Query]:
             "site", "module", "issue_type", "severity_weight", "is_critical", "is_recurring",
             "is_open")),
         "issue_listing": on_audit(lambda a: reports.issue_listing(a.issues)),
+        "issue_defaults": on_audit(issue_defaults),
         "export_rows": on_audit(lambda a: sinks.export_rows(a.issues)),
         # scores
         "health_scores": on_audit(health_scores),
@@ -244,15 +288,23 @@ def queries() -> dict[str, Query]:
         "forest_report": on_audit(forest_report),
         "feature_importance": on_audit(feature_importance),
         "forest_scores": on_audit(forest_scores),
+        "forest_predictions": on_audit(forest_predictions),
+        "model_guard": on_audit(lambda a: forest.model_guard(a.issues)),
+        "one_class_repair": on_audit(one_class_repair),
         # reports over predictions and clusters that are drawn by hash
         "drawn_confusion": on_audit(lambda a: forest.confusion(derived.drawn(a.issues))),
         "drawn_model_cards": on_audit(lambda a: forest.model_cards(derived.drawn(a.issues))),
         "drawn_report": on_audit(
             lambda a: forest.classification_report(forest.confusion(derived.drawn(a.issues)))),
+        "drawn_forest_predictions": on_audit(drawn_forest_predictions),
+        "drawn_forest_scores": on_audit(drawn_forest_scores),
+        "drawn_forest_importance": on_audit(
+            lambda a: forest.feature_importance(derived.drawn_nodes(a.issues))),
         "drawn_cluster_modules": on_audit(lambda a: clusters.cluster_counts(derived.drawn(a.issues), "module")),
         "drawn_cluster_profile": on_audit(drawn_cluster_profile),
         # advice
         "recommendations": on_audit(lambda a: advice.recommendations(a.advice_inputs)),
+        "clean_site_advice": on_audit(clean_site_advice),
         "recurrence_flags": on_audit(lambda a: advice.recurrence_flags(a.advice_inputs)),
         "priority_tests": on_audit(lambda a: advice.priority_tests(a.risk)),
         "benchmarks": on_audit(lambda a: advice.benchmarks(a.advice_inputs)),

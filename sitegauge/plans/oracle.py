@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from sitegauge import constants as K
-from sitegauge.sources.derived import SECTIONS, STATUS_CYCLE
+from sitegauge.sources.derived import DRAWN_DEPTH, DRAWN_TREES, SECTIONS, STATUS_CYCLE
 
 
 def q(text: str) -> str:
@@ -384,6 +384,7 @@ def _ctes() -> dict[str, str]:
         "doc_words": _words("doc_texts"),
         "doc_terms": _terms("doc_words"),
         "doc_vocab": _vocab("doc_terms"),
+        "drawn_nodes": _drawn_nodes(),
         "drawn": """
             select *, digit % 3 as cluster, 0.5 + digit / 32.0::double as confidence, is_critical as label,
               case when digit < 12 then is_critical else 1 - is_critical end as predicted
@@ -624,6 +625,65 @@ def _split() -> str:
               from iss) r"""
 
 
+def _drawn_nodes() -> str:
+    inner = 2 ** DRAWN_DEPTH - 1
+    digits = ", ".join(f"strpos('0123456789abcdef', substr(md5(tree || '|' || node), {k}, 1)) - 1 as d{k}"
+                       for k in range(1, 6))
+    return f"""
+        select tree, node, case when node < {inner} then d1 % 5 else -1 end as feature,
+          case when node < {inner} then tops[d1 % 5 + 1] * d2 / 16 end as threshold,
+          case when node < {inner} then 2 * node + 1 else -1 end as below,
+          case when node < {inner} then 2 * node + 2 else -1 end as above,
+          (d3 + 1) / 32.0::double as gain, d4 + 1.0::double as weight,
+          1 - d5 / 16.0::double as share_0, d5 / 16.0::double as share_1
+        from (select tree, node, {digits} from range({DRAWN_TREES}) t(tree), range({2 * inner + 1}) n(node)),
+          (select [(count(distinct module) - 1)::double, (count(distinct issue_type) - 1)::double,
+             max(occurrences)::double, max(fix_time_hours)::double, 3.0::double] as tops from iss)"""
+
+
+def walked(rows: str, nodes: str = "drawn_nodes", trees: int = DRAWN_TREES, depth: int = DRAWN_DEPTH) -> str:
+    """Class probabilities per ``key`` of rows (key, x), x being the five features."""
+    at = f"select key, x, tree, 0 as node from ({rows}), range({trees}) t(tree)"
+    for _ in range(depth):
+        at = f"""select key, x, w.tree, case when feature < 0 then w.node
+                when x[feature + 1] <= threshold then below else above end as node
+            from ({at}) w join {nodes} n on n.tree = w.tree and n.node = w.node"""
+    return f"""select key, sum(share_0::decimal(18, 15))::double / {trees} as p0,
+              sum(share_1::decimal(18, 15))::double / {trees} as p1
+            from ({at}) w join {nodes} n on n.tree = w.tree and n.node = w.node group by key"""
+
+
+_X = "[module_enc, type_enc, occurrences::double, fix_time_hours::double, severity_weight::double]"
+
+
+def _drawn_forest_scores() -> str:
+    codes = lambda c: f"(select {c}, row_number() over (order by {c}) - 1.0::double as code from (select distinct {c} from iss))"
+    rows = f"""(select row_number() over () as key, i.*, coalesce(m.code, 0) as module_enc, coalesce(t.code, 0) as type_enc
+        from (select * replace (case when length(module) % 7 = 0 then 'New ' || module else module end as module)
+              from iss) i
+        left join {codes('module')} m on m.module = i.module
+        left join {codes('issue_type')} t on t.issue_type = i.issue_type)"""
+    return f"""
+        with scoring as materialized {rows}
+        select module, issue_type, occurrences::double as occurrences, fix_time_hours as fix_time, severity,
+          case when p1 > p0 then {q(K.LABEL_NAMES[1])} else {q(K.LABEL_NAMES[0])} end as prediction,
+          {even('greatest(p0, p1) * 100', 1)} as confidence, {even('p1 * 100', 1)} as proba_critical,
+          {even('p0 * 100', 1)} as proba_not_critical
+        from scoring join ({walked(f"select key, {_X} as x from scoring")}) using (key)"""
+
+
+def importance(nodes: str) -> str:
+    labels = ", ".join(f"({i}, {q(label)})" for i, (_, label) in enumerate(K.FEATURE_LABELS))
+    return f"""
+        select label as feature, coalesce(s / sum(s) over (), 0) as importance,
+          {even('coalesce(s / sum(s) over (), 0) * 100', 1)} as importance_pct
+        from (values {labels}) v(no, label) left join (
+          select feature, sum((g / nullif(total, 0))::decimal(18, 15))::double as s
+          from (select feature, g, sum(g) over (partition by tree) as total
+                from (select tree, feature, sum(gain * weight) as g from {nodes} where feature >= 0 group by all))
+          group by feature) on feature = no"""
+
+
 def _bodies() -> dict[str, str]:
     module, path = module_sql("url"), "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
     pdf_kept = "md5(html) as html_md5"
@@ -666,6 +726,10 @@ def _bodies() -> dict[str, str]:
         "issue_flags": "select site, module, issue_type, severity_weight, is_critical, is_recurring, is_open from iss",
         "issue_listing": "select site, " + ", ".join(
             f'{c} as "{label}"' for c, label in K.LISTING_COLUMNS) + " from iss",
+        "issue_defaults": f"""
+            select site, module, issue_type, {q('Unknown')} as status, {q('Unknown')} as occurrences,
+              {q('Unknown')} as fix_time_hours, {q('Unknown')} as description, severity_weight, is_critical,
+              0 as is_recurring, 0 as is_open from iss""",
         "export_rows": f"select site, {', '.join(K.EXPORT_COLUMNS)} from iss",
         "health_scores": f"""
             select site, score, case when score >= 80 then 'A' when score >= 65 then 'B'
@@ -767,6 +831,19 @@ def _bodies() -> dict[str, str]:
         "module_codes": "select value, row_number() over (order by value) - 1.0::double as code "
                         "from (select distinct module as value from iss)",
         "train_test_split": _split(),
+        "model_guard": f"select count(*) as n_issues, case when count(*) < {K.MIN_ISSUES_FOR_MODEL} "
+                       f"then {q(K.MODEL_GUARD_MESSAGE)} end as error from iss",
+        "one_class_repair": """
+            select row_key || suffix as row_key, augmented,
+              case when augmented and row_key = min(row_key) over () then 1 else 0 end as label
+            from (select site || '|' || module || '|' || issue_type as row_key from iss where is_critical = 0),
+              (values (false, ''), (true, '|copy')) v(augmented, suffix)""",
+        "drawn_forest_predictions": f"""
+            with test as materialized (select * from ({_split()}) where is_test)
+            select row_key as issue, label as actual, (p1 > p0)::int as predicted, greatest(p0, p1) as confidence
+            from test join ({walked(f"select row_key as key, {_X} as x from test")}) on key = row_key""",
+        "drawn_forest_scores": _drawn_forest_scores(),
+        "drawn_forest_importance": importance("drawn_nodes"),
         "drawn_confusion": """
             select c::int as actual, (select count(*) from drawn where label = c and predicted = 0) as predicted_0,
               (select count(*) from drawn where label = c and predicted = 1) as predicted_1
@@ -782,6 +859,7 @@ def _bodies() -> dict[str, str]:
         "drawn_cluster_modules": 'select cluster, module, count(*) as "count" from drawn group by all',
         "drawn_cluster_profile": _drawn_profile(),
         "recommendations": _recommendations(),
+        "clean_site_advice": _rec(1, K.REC_NONE, "true", q(K.REC_NONE_TITLE)),
         "recurrence_flags": _flag(K.FLAG_BROKEN, "broken > 0") + " union all " + _flag(K.FLAG_SLOW, "slow > 0"),
         "priority_tests": f"select site, rank, module, risk_score, risk_level, open_issues, {_focus()} as test_focus "
                           "from (" + _top("select * from risk", "site", "risk_score desc, module", 5) + ")",
@@ -818,5 +896,7 @@ def statements() -> dict[str, str]:
         if walks:
             parts.append(_WALK)
         head = "with recursive " if walks else "with "
+        if body.lstrip().startswith("with "):
+            body = f"select * from ({body})"
         result[name] = (head + ", ".join(parts) + " " if parts else "") + body
     return result

@@ -120,3 +120,33 @@ def drawn(issues: DataFrame) -> DataFrame:
     return issues.withColumns({
         "doc_id": key, "label": label, "cluster": digit % 3, "confidence": 0.5 + digit / 32,
         "predicted": F.when(digit < 12, label).otherwise(1 - label)})
+
+
+#: Size of the drawn forest; with eight trees the mean of its shares is exact.
+DRAWN_TREES, DRAWN_DEPTH = 8, 3
+
+
+def drawn_nodes(issues: DataFrame) -> DataFrame:
+    """Trees drawn by hash over the issues' feature values, in the form of a fitted forest's nodes.
+
+    A test compares with a share of the largest value of its feature.
+    """
+    inner = 2 ** DRAWN_DEPTH - 1
+    place = F.concat_ws("|", "tree", "node")
+    digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(place), k, 1)) - 1
+    largest = issues.agg(
+        (F.count_distinct("module") - 1).cast("double").alias("module"),
+        (F.count_distinct("issue_type") - 1).cast("double").alias("issue_type"),
+        F.max("occurrences").cast("double").alias("occurrences"),
+        F.max("fix_time_hours").cast("double").alias("hours"), F.lit(3.0).alias("weight_max"))
+    nodes = largest.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(DRAWN_TREES - 1))).alias("tree"),
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * inner))).alias("node"))
+    is_inner = F.col("node") < inner
+    top = F.get(F.array("module", "issue_type", "occurrences", "hours", "weight_max"), digit(1) % 5)
+    child = lambda add: F.when(is_inner, 2 * F.col("node") + add).otherwise(-1)
+    return nodes.select(
+        "tree", "node", F.when(is_inner, digit(1) % 5).otherwise(-1).alias("feature"),
+        F.when(is_inner, top * digit(2) / 16).alias("threshold"),
+        child(1).alias("below"), child(2).alias("above"), ((digit(3) + 1) / 32).alias("gain"),
+        (digit(4) + 1.0).alias("weight"), (1 - digit(5) / 16).alias("share_0"), (digit(5) / 16).alias("share_1"))

@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from sitegauge.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"forest_metrics", "forest_confusion", "forest_report", "feature_importance", "forest_scores"}
+ROWS_ONLY = {"forest_metrics", "forest_confusion", "forest_report", "feature_importance", "forest_scores",
+             "forest_predictions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no given tables")
 

@@ -3,7 +3,9 @@ import random
 import math
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
@@ -11,6 +13,7 @@ from sitegauge import schemas
 from sitegauge.operators import clusters, forest
 from sitegauge.operators import keywords as T
 from sitegauge.operators.issues import enrich
+from sitegauge.plans import oracle
 
 # texts with the words that cleaning must leave, written out by hand
 CLEANED = [
@@ -168,6 +171,74 @@ def test_split_is_exact_and_order_free(spark):
     assert len(one) == 1500 and sum(int(k[1:]) % 3 == 0 for k in one) == 500
 
 
+def test_split_of_equal_keys_is_exact(spark):
+    """One key holds most rows; the hashes of their places still cut the class exactly."""
+    df = spark.range(9000).select(F.lit(0).alias("label"), F.when(F.col("id") < 7000, "hot").otherwise(
+        F.concat(F.lit("k"), "id")).alias("row_key"))
+    both = df.unionByName(df.limit(11).withColumn("label", F.lit(1)))
+    got = forest.stratified_split(both.repartition(5)).groupBy("label").agg(
+        F.count_if("is_test").alias("n"), F.count("*").alias("rows")).collect()
+    # 2704 of 9011 rows are test rows; the classes keep 6299.3 and 7.7 rows, so 6299 and 8
+    assert {r.label: (r.n, r.rows) for r in got} == {0: (2701, 9000), 1: (3, 11)}
+    empty = forest.stratified_split(both.where("false"))
+    assert "is_test" in empty.columns and empty.count() == 0
+
+
+def test_hash_cuts_select_by_digits(spark):
+    hashes = sorted([f"abcabcabc{i:055x}" for i in range(500)] + [f"{i:03x}{i:061x}" for i in range(300)])
+    hashed = spark.createDataFrame([(i % 2, h) for i, h in enumerate(hashes)], "label int, h string")
+    for take in ({0: 0, 1: 400}, {0: 1, 1: 399}, {0: 217, 1: 151}):
+        cuts = forest.hash_cuts(hashed, take)
+        assert {c: sum(h < cuts[c] for i, h in enumerate(hashes) if i % 2 == c) for c in take} == take
+
+
+def test_split_sorts_and_ranks_nothing(spark):
+    df = spark.range(100).select((F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("string").alias("row_key"))
+    plan = forest.stratified_split(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Sort", "Window", "Exchange", "Join"))
+
+
+def test_node_table_scores_as_the_model(spark):
+    """The walk along the nodes, the library's own prediction and SQL over the same table agree."""
+    model = forest.train(issue_table(spark, 400))
+    rows = forest.prepare(issue_table(spark, 400))[0].drop("is_test")
+    p = vector_to_array("probability")
+    want = {r.row_key: (r.p0, r.p1, r.v) for r in model.model.transform(forest._assemble(rows)).select(
+        "row_key", p[0].alias("p0"), p[1].alias("p1"), F.col("prediction").cast("int").alias("v")).collect()}
+    got = {r.row_key: r for r in forest.with_probabilities(model.nodes, rows).collect()}
+    assert set(got) == set(want) and len(got) == 400
+    for key, (p0, p1, verdict) in want.items():
+        assert got[key].proba_not_critical == pytest.approx(p0, abs=1e-12)
+        assert got[key].proba_critical == pytest.approx(p1, abs=1e-12)
+        assert abs(p0 - p1) < 1e-12 or got[key].predicted == verdict
+    importances = forest.feature_importance(model.nodes).collect()
+    assert [r.feature for r in importances] != [] and {r.feature: r.importance for r in importances} == pytest.approx(
+        {label: v for (_, label), v in zip(K.FEATURE_LABELS, model.model.featureImportances.toArray())}, abs=1e-9)
+    con = duckdb.connect()
+    con.register("nodes", model.nodes.toArrow())
+    con.register("rows", rows.toArrow())
+    for key, p0, p1 in con.execute(oracle.walked(f"select row_key as key, {oracle._X} as x from rows", "nodes",
+                                                 K.FOREST_TREES, K.FOREST_DEPTH)).fetchall():
+        assert (got[key].proba_not_critical, got[key].proba_critical) == pytest.approx((p0, p1), abs=1e-12)
+    assert {f: i for f, i, _ in con.execute(oracle.importance("nodes")).fetchall()} == pytest.approx(
+        {r.feature: r.importance for r in importances}, abs=1e-12)
+
+
+def test_walk_of_a_small_forest(spark):
+    """Two trees by hand: a tie is not critical, a missing number counts as 0, unsplit trees vote too."""
+    nodes = spark.createDataFrame(
+        [(0, 0, 2, 1.5, 1, 2, 0.5, 10.0, 0.5, 0.5), (0, 1, -1, None, -1, -1, -1.0, 6.0, 1.0, 0.0),
+         (0, 2, -1, None, -1, -1, -1.0, 4.0, 0.0, 1.0), (1, 0, -1, None, -1, -1, -1.0, 10.0, 0.0, 1.0)],
+        "tree int, node int, feature int, threshold double, below int, above int, gain double, weight double,"
+        " share_0 double, share_1 double")
+    rows = spark.createDataFrame([(k, 0.0, 0.0, o, 0.0, 0.0) for k, o in (("a", 1.0), ("b", 2.0), ("c", float("nan")))],
+                                 "k string, " + ", ".join(f"{f} double" for f in forest.FEATURES))
+    got = {r.k: (r.proba_critical, r.predicted) for r in forest.with_probabilities(nodes, rows, 2, 2).collect()}
+    assert got == {"a": (0.5, 0), "b": (1.0, 1), "c": (1.0, 1)}
+    assert {r.feature: r.importance for r in forest.feature_importance(nodes).collect()} == {
+        label: float(i == 2) for i, (_, label) in enumerate(K.FEATURE_LABELS)}
+
+
 def test_forest_guard_and_one_class_repair(spark):
     with pytest.raises(ValueError, match="8 issues"):
         forest.train(issue_table(spark, 7))
@@ -184,7 +255,7 @@ def test_forest_end_to_end(spark):
     assert sum(map(sum, cells)) == math.ceil(120 * 0.3)
     cards = forest.model_cards(model.scored_test).first()
     assert cards.test_rows == 36 and cards.accuracy == round((cells[0][0] + cells[1][1]) / 36, 4)
-    assert abs(sum(r.importance for r in forest.feature_importance(model).collect()) - 1) < 1e-9
+    assert abs(sum(r.importance for r in forest.feature_importance(model.nodes).collect()) - 1) < 1e-9
     report = {r["class"]: r for r in forest.classification_report(matrix).collect()}
     assert set(report) == {"0", "1", "macro avg", "weighted avg"} and report["macro avg"].support == 36
     inputs = spark.createDataFrame([("mod a0", "type 0", 1, 2.0, "High"), ("never seen", "new", 1, 2.0, "High"),
