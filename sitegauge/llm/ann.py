@@ -154,9 +154,17 @@ def _nearest(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(x)) for x in out], names=names)
 
 
+def _scaled(vector: str) -> Column:
+    """Components as doubles over the largest one's power of two, so no square under- or overflows.
+
+    Such a division is exact: the cosine of ordinary vectors keeps its last bit.
+    """
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return F.transform(vector, lambda x: x.cast("double") / F.pow(F.lit(2.0), F.floor(F.log2(largest))))
+
+
 def _cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
-                                   F.lit(0.0), lambda s, p: s + p)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -225,4 +233,5 @@ def _search(vectors: DataFrame, asked: DataFrame) -> DataFrame:
            .withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 2 * (TOP + 1)))
     return (few.join(vectors.select("v", F.col("vector").alias("a")), "v")
             .join(vectors.select(F.col("v").alias("query"), F.col("vector").alias("b")), "query")
+            .select("query", "v", _scaled("a").alias("a"), _scaled("b").alias("b"))
             .select("query", "v", _cosine("a", "b").alias("score")))

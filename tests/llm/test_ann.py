@@ -116,3 +116,15 @@ def test_recall_on_given_vectors(spark):
     assert len(got) == len(want)
     pairs = {(g[0], g[2]) for g in got}
     assert sum((w[0], w[2]) in pairs for w in want) >= 0.9 * len(want)
+
+
+def test_extreme_components(spark):
+    """Squares of tiny and huge doubles neither vanish nor overflow; ordinary scores keep every bit."""
+    rows = [(0, [1e-200, 0.0]), (1, [1.0, 0.0]), (2, [1e200, 1e200]), (3, [5e-324, 0.0]), (4, [-1.7e308, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(g[0], g[2]): g[3] for g in found(table, every=1)}
+    assert len(got) == 20 and got[0, 1] == got[1, 3] == got[3, 0] == 1.0 and got[1, 4] == got[0, 4] == -1.0
+    assert abs(got[0, 2] - 0.5 ** 0.5) < 1e-15 and abs(got[2, 4] + 0.5 ** 0.5) < 1e-15
+    plain = spark.createDataFrame([([0.3, -0.7, 1.9], [2.5, 0.1, 0.77])], "a array<double>, b array<double>")
+    scaled = plain.select(ann._scaled("a").alias("a"), ann._scaled("b").alias("b"))
+    assert plain.select(ann._cosine("a", "b")).first() == scaled.select(ann._cosine("a", "b")).first()
