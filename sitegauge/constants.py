@@ -62,6 +62,8 @@ BROKEN_INTERNAL_CODES = [404, 410, 500, 502, 503]
 BROKEN_EXTERNAL_CODES = [0, 404, 403, 410, 500, 502, 503]
 SKIPPED_HREF_PREFIXES = ["#", "mailto:", "tel:", "javascript:"]
 NO_DOMAIN_MESSAGE = "Invalid URL — no domain found."
+BLOCKED_ERROR = "robots_blocked"
+BLOCKED_MESSAGE = "Crawl blocked by robots.txt. Uncheck 'Respect robots.txt' in the sidebar to override."
 UNPARSABLE_MESSAGE = "Could not parse the URL."
 
 # --- fixed values: severities and the four-slot status draw per severity ---

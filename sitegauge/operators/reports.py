@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sitegauge import constants as K
 from sitegauge.functions.numbers import exact_mean, fixed, ratio, round_even
 from sitegauge.functions.skew import top_per_group
+from sitegauge.functions.urls import base_domain, seed_url
+from sitegauge.operators.robots import with_robots
 from sitegauge.operators.scoring import module_page_counts, start_urls
 
 SEVERITIES = ["Low", "Medium", "High"]
@@ -114,15 +116,53 @@ def choices(issues: DataFrame) -> DataFrame:
     return issues.select("site", pair.alias("p")).select("site", "p.*").distinct()
 
 
-def crawl_header(features: DataFrame, external_counts: DataFrame, broken: DataFrame) -> DataFrame:
-    """One row per site: page, module, external and broken totals."""
+def crawl_header(features: DataFrame, external_counts: DataFrame, broken: DataFrame,
+                 runs: DataFrame | None = None) -> DataFrame:
+    """One row per site: base domain, page, module, external and broken totals, and what its run tells.
+
+    ``crawl_time`` (seconds, two digits) and ``respect_robots`` are null where no run tells
+    them. A site has one run; of several the longest counts.
+    """
     pages = module_page_counts(features).groupBy("site").agg(
         F.sum("page_count").alias("total_pages"), F.count("*").alias("modules"))
     urls = start_urls(features)
     links = broken.groupBy("site").agg(F.count("*").alias("broken_links"))
-    return (pages.join(urls, "site").join(external_counts, "site", "left")
-            .join(links, "site", "left")
-            .na.fill(0, ["total_external_links", "external_links_checked", "broken_links"]))
+    header = (pages.join(urls, "site").join(external_counts, "site", "left")
+              .join(links, "site", "left")
+              .na.fill(0, ["total_external_links", "external_links_checked", "broken_links"])
+              .withColumn("base_domain", base_domain(F.col("start_url"))))
+    if runs is None:
+        return header.withColumns({"crawl_time": F.lit(None).cast("double"), "respect_robots": F.lit(None).cast("boolean")})
+    told = runs.groupBy("site").agg(
+        round_even(F.max("crawl_seconds"), 2).alias("crawl_time"), F.max("respect_robots").alias("respect_robots"))
+    return header.join(told, "site", "left")
+
+
+def crawl_results(runs: DataFrame, header: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per run: its URL, the totals of its crawl, or the error that kept it from one.
+
+    ``error`` is the reason an invalid start URL is refused for, or that robots rules
+    block it, with a ``message``; both are null for a crawl, and its totals are 0 where no
+    page came of it. A run that does not tell whether it respects robots rules does.
+    """
+    seed = seed_url(F.coalesce("start_url", F.lit("")))
+    asked = runs.select("site", seed.alias("seed"), "respect_robots",
+                        round_even(F.col("crawl_seconds"), 2).alias("crawl_time")).select(
+        "site", "seed.url", "seed.is_valid", F.col("seed.error").alias("refused"), "respect_robots", "crawl_time")
+    checked = with_robots(asked, rules, "url", F.coalesce("respect_robots", F.lit(True)))
+    counts = ["total_pages", "modules", "broken_links", "external_links_checked", "total_external_links"]
+    crawled = F.col("is_valid") & F.col("allowed")
+    error = F.when(~F.col("is_valid"), F.col("refused")).when(~F.col("allowed"), F.lit(K.BLOCKED_ERROR))
+    message = F.when(F.col("is_valid") & ~F.col("allowed"), F.lit(K.BLOCKED_MESSAGE))
+    return checked.join(header.select("site", *counts), "site", "left").select(
+        "site", "url", F.when(crawled, base_domain(F.col("url"))).alias("base_domain"),
+        *[F.when(crawled, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counts],
+        F.when(crawled, F.col("crawl_time")).alias("crawl_time"),
+        error.alias("error"), message.alias("message"))
+
+
+def _duration() -> Column:
+    return F.coalesce(F.concat(F.col("crawl_time").cast("string"), F.lit("s")), F.lit(K.NOT_KNOWN))
 
 
 def kpi_strip(header: DataFrame, issues: DataFrame) -> DataFrame:
@@ -134,19 +174,16 @@ def kpi_strip(header: DataFrame, issues: DataFrame) -> DataFrame:
         severity("Low").alias("low"), F.sum("is_open").alias("open"), status("Fixed").alias("fixed"),
         status("Reopened").alias("reopened"))
     columns = [c for c in counts.columns if c != "site"]
-    return header.select("site", "total_pages", "modules", "broken_links").join(
+    return header.select("site", "total_pages", "modules", "broken_links", _duration().alias("crawl_time")).join(
         counts, "site", "left").na.fill(0, columns)
 
 
-def crawl_summary(header: DataFrame, issues: DataFrame, crawl_seconds: Column | None = None,
-                  respect_robots: bool | None = None) -> DataFrame:
-    """Metric / value / meaning rows per site; what the crawl did not tell is "n/a"."""
+def crawl_summary(header: DataFrame, issues: DataFrame) -> DataFrame:
+    """Metric / value / meaning rows per site; what the run did not tell is "n/a"."""
     totals = header.join(issues.groupBy("site").agg(F.count("*").alias("issues")), "site", "left").na.fill(0, ["issues"])
-    seconds = F.lit(None) if crawl_seconds is None else crawl_seconds
-    duration = F.coalesce(F.concat(seconds.cast("string"), F.lit("s")), F.lit(K.NOT_KNOWN))
+    respected = F.when(F.col("respect_robots"), "Yes").when(~F.col("respect_robots"), "No").otherwise(K.NOT_KNOWN)
     values = [F.col("start_url"), F.col("total_pages"), F.col("modules"), F.col("issues"),
-              F.col("broken_links"), F.col("external_links_checked"), duration,
-              F.lit({True: "Yes", False: "No", None: K.NOT_KNOWN}[respect_robots])]
+              F.col("broken_links"), F.col("external_links_checked"), _duration(), respected]
     rows = F.array(*[
         F.struct(F.lit(metric).alias("metric"), value.cast("string").alias("value"),
                  F.lit(meaning).alias("meaning"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitegauge.operators import advice, issues, links, reports, robots, scoring
 from sitegauge.operators.features import page_features
@@ -18,20 +19,28 @@ class Audit:
 
     The HTML is scanned once: features are staged as a narrow table, all later steps
     read that. ``link_status`` is a function of the distinct external links or a table.
-    With robots ``rules`` only pages that may be fetched are audited. ``max_checks``
-    limits the external links that are looked up per site.
+    With robots ``rules`` only pages that may be fetched are audited, but for sites whose
+    row of ``runs`` says that they did not respect them. ``runs`` also tells how long a
+    crawl took. ``max_checks`` limits the external links that are looked up per site.
     """
 
     pages: DataFrame
     link_status: object
     rules: DataFrame | None = None
     max_checks: int | None = None
+    runs: DataFrame | None = None
 
     @cached_property
     def features(self) -> DataFrame:
-        """Staged features, rebalanced: many large HTML splits leave few narrow rows each."""
-        pages = self.pages if self.rules is None else robots.allowed_pages(self.pages, self.rules)
-        return stage(page_features(pages).hint("rebalance", "site", "url"), "features")
+        """Staged features, rebalanced: many large HTML splits leave few narrow rows each.
+
+        Robots rules are applied to the features, so the HTML itself is never shuffled.
+        """
+        found = page_features(self.pages)
+        if self.rules is not None:
+            found = (robots.allowed_pages(found, self.rules) if self.runs is None
+                     else robots.allowed_by_run(found, self.rules, self.runs))
+        return stage(found.hint("rebalance", "site", "url"), "features")
 
     @cached_property
     def links(self) -> DataFrame:
@@ -68,14 +77,22 @@ class Audit:
     def risk(self) -> DataFrame:
         return scoring.module_risk(self.issues, self.features, self.broken)
 
+    @cached_property
+    def told(self) -> DataFrame | None:
+        """The runs; without them, given rules were respected by every site."""
+        if self.runs is not None or self.rules is None:
+            return self.runs
+        return scoring.start_urls(self.features).select(
+            "site", "start_url", F.lit(None).cast("double").alias("crawl_seconds"), F.lit(True).alias("respect_robots"))
+
     @cached_property
     def header(self) -> DataFrame:
         return reports.crawl_header(
-            self.features, links.external_link_counts(self.external, self.max_checks), self.broken)
+            self.features, links.external_link_counts(self.external, self.max_checks), self.broken, self.told)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return reports.crawl_summary(self.header, self.issues, respect_robots=None if self.rules is None else True)
+        return reports.crawl_summary(self.header, self.issues)
 
     @cached_property
     def advice_inputs(self) -> DataFrame:

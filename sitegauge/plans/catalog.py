@@ -32,7 +32,8 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_of(spark: SparkSession, sf_dir: str) -> Audit:
-    return Audit(crawl(spark, sf_dir), derived.link_status)
+    pages = crawl(spark, sf_dir)
+    return Audit(pages, derived.link_status, runs=derived.crawl_runs(pages))
 
 
 def on_audit(build: Callable[[Audit], DataFrame]) -> Query:
@@ -68,6 +69,17 @@ def robots_check(spark, sf_dir):
     return robots.allowed_pages(pages, derived.robots_rules(pages)).select("site", "url")
 
 
+def crawl_results(audit: Audit) -> DataFrame:
+    return reports.crawl_results(audit.runs, audit.header, derived.robots_rules(audit.pages))
+
+
+def fetched_pages(spark, sf_dir):
+    """Pages that may be fetched, where each site's run tells whether it respects robots rules."""
+    pages = crawl(spark, sf_dir)
+    return robots.allowed_by_run(pages.select("site", "start_url", "url"), derived.robots_rules(pages),
+                                 derived.crawl_runs(pages)).select("site", "url")
+
+
 def crawl_order(max_pages: int | None = None) -> Query:
     def query(spark, sf_dir):
         audit = audit_of(spark, sf_dir)
@@ -230,6 +242,7 @@ def queries() -> dict[str, Query]:
             lambda f: links.external_link_counts(links.external_links(links.links(f)))),
         "broken_links": on_audit(lambda a: a.broken),
         "robots_allowed": robots_check,
+        "robots_by_run": fetched_pages,
         "broken_links_first20": on_audit(broken_of_first),
         "link_reach": crawl_order(),
         "link_reach_first50": crawl_order(K.MAX_PAGES),
@@ -266,6 +279,7 @@ def queries() -> dict[str, Query]:
         "scoring_choices": on_audit(lambda a: reports.choices(a.issues)),
         "kpi_strip": on_audit(lambda a: reports.kpi_strip(a.header, a.issues)),
         "crawl_header": on_audit(lambda a: a.header),
+        "crawl_results": on_audit(crawl_results),
         "crawl_summary": on_audit(lambda a: a.summary),
         "score_explanation": on_audit(lambda a: reports.score_explanation(a.health)),
         "category_table": on_audit(lambda a: reports.category_table(a.health)),

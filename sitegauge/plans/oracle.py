@@ -363,6 +363,14 @@ def _ctes() -> dict[str, str]:
                       using (site, module)
                     left join (select site, {module_sql('url')} as module, count(*) as n
                                from broken group by all) b using (site, module)))))""",
+        "runs": """
+            select site, start_url, case when site <> 'site-4' then
+                round(sum(load_time::decimal(18,3)), 2)::double end as crawl_seconds,
+              case when site <> 'site-4' then site <> 'site-3' end as respect_robots
+            from crawl group by site, start_url
+            union all select distinct site || '-private', start_url || 'privacy', 0.25, true from crawl
+            union all select distinct site || '-ignoring', start_url || 'privacy', 0.5, false from crawl
+            union all select distinct site || '-nowhere', 'https:///nowhere', null, true from crawl""",
         "header": """
             select site, count(*) as total_pages, count(distinct module) as modules,
               min(start_url) as start_url,
@@ -370,7 +378,10 @@ def _ctes() -> dict[str, str]:
                 as total_external_links,
               coalesce((select external_links_checked from ext_counts e where e.site = f.site), 0)
                 as external_links_checked,
-              (select count(*) from broken b where b.site = f.site) as broken_links
+              (select count(*) from broken b where b.site = f.site) as broken_links,
+              site || '.test' as base_domain,
+              (select crawl_seconds from runs r where r.site = f.site) as crawl_time,
+              (select respect_robots from runs r where r.site = f.site) as respect_robots
             from feats f group by site""",
         "advice": "select t.*, " + ", ".join(
             f"(select count(*) from iss i where i.site = t.site and i.issue_type = {q(kind)}) as {name}"
@@ -600,12 +611,28 @@ def _benchmarks() -> str:
 def _summary() -> str:
     values = ["start_url", "total_pages::varchar", "modules::varchar",
               "(select count(*) from iss i where i.site = h.site)::varchar", "broken_links::varchar",
-              "external_links_checked::varchar", q(K.NOT_KNOWN), q(K.NOT_KNOWN)]
+              "external_links_checked::varchar", f"coalesce(crawl_time::varchar || 's', {q(K.NOT_KNOWN)})",
+              f"case when respect_robots then 'Yes' when not respect_robots then 'No' else {q(K.NOT_KNOWN)} end"]
     return " union all ".join(
         f"select site, {q(metric)} as metric, {value} as value, {q(meaning)} as meaning from header h"
         for (metric, meaning), value in zip(K.SUMMARY_MEANINGS, values))
 
 
+def _results() -> str:
+    counts = ["total_pages", "modules", "broken_links", "external_links_checked", "total_external_links"]
+    crawled = "not nowhere and not blocked"
+    return f"""
+        select site, url, case when {crawled} then regexp_extract(url, '^https://([^/]*)', 1) end as base_domain,
+          {", ".join(f"case when {crawled} then coalesce({c}, 0) end as {c}" for c in counts)},
+          case when {crawled} then crawl_seconds end as crawl_time,
+          case when nowhere then {q(K.NO_DOMAIN_MESSAGE)} when blocked then {q(K.BLOCKED_ERROR)} end as error,
+          case when blocked then {q(K.BLOCKED_MESSAGE)} end as message
+        from (select r.site, r.start_url as url, r.crawl_seconds, {", ".join("h." + c for c in counts)},
+                r.start_url like 'https:///%' as nowhere,
+                r.start_url like '%/privacy' and r.respect_robots as blocked
+              from runs r left join header h on h.site = r.site)"""
+
+
 def _split() -> str:
     return """
         select row_key, label, dense_rank() over (order by module) - 1.0::double as module_enc,
@@ -717,6 +744,8 @@ def _bodies() -> dict[str, str]:
         "broken_links": "select * from broken",
         "broken_links_first20": "select * from broken20",
         "robots_allowed": "select site, url from allowed",
+        "robots_by_run": "select site, url from allowed where site <> 'site-3' union all "
+                         "select site, url from crawl where site = 'site-3'",
         "link_reach": _visits("true"),
         "link_reach_first50": _visits("visit_no <= 50"),
         "issues_raw": f"select {_ISSUE} from raw",
@@ -796,8 +825,9 @@ def _bodies() -> dict[str, str]:
         "site_modules": "select distinct site, module from feats",
         "scoring_choices": "select distinct site, 'module' as field, module as value from iss union all "
                            "select distinct site, 'issue_type', issue_type from iss",
-        "kpi_strip": """
-            select h.site, total_pages, modules, broken_links, coalesce(issues, 0) as issues,
+        "kpi_strip": f"""
+            select h.site, total_pages, modules, broken_links,
+              coalesce(crawl_time::varchar || 's', {q(K.NOT_KNOWN)}) as crawl_time, coalesce(issues, 0) as issues,
               coalesce(high, 0) as high, coalesce(medium, 0) as medium, coalesce(low, 0) as low,
               coalesce(open, 0) as open, coalesce(fixed, 0) as fixed, coalesce(reopened, 0) as reopened
             from header h left join (select site, count(*) as issues,
@@ -806,6 +836,7 @@ def _bodies() -> dict[str, str]:
                 count(*) filter (status = 'Fixed') as fixed, count(*) filter (status = 'Reopened') as reopened
               from iss group by site) i on h.site = i.site""",
         "crawl_header": "select * from header",
+        "crawl_results": _results(),
         "crawl_summary": _summary(),
         "score_explanation": f"""
             select site, score, case when score >= 80 then 'A' when score >= 65 then 'B'

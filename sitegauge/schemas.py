@@ -27,6 +27,14 @@ ROBOTS_RULES = T.StructType([
     T.StructField("prefix", T.StringType()),
 ])
 
+# one row per site that was asked for, whether pages came of it or not
+CRAWL_RUNS = T.StructType([
+    T.StructField("site", T.StringType()),
+    T.StructField("start_url", T.StringType()),
+    T.StructField("crawl_seconds", T.DoubleType()),
+    T.StructField("respect_robots", T.BooleanType()),
+])
+
 ISSUES = T.StructType([
     T.StructField("site", T.StringType()),
     T.StructField("id", T.LongType()),

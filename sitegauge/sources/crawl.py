@@ -19,6 +19,10 @@ def read_robots_rules(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     return spark.read.format(fmt).schema(schemas.ROBOTS_RULES).load(path)
 
 
+def read_crawl_runs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.format(fmt).schema(schemas.CRAWL_RUNS).load(path)
+
+
 def keep_html_only(pages: DataFrame) -> DataFrame:
     """Drop the body of pages whose content type is not text/html, whatever the status."""
     return pages.withColumn(

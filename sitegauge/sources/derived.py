@@ -107,6 +107,29 @@ def robots_rules(crawl: DataFrame) -> DataFrame:
             .select("host", F.inline(rules)))
 
 
+def crawl_runs(crawl: DataFrame) -> DataFrame:
+    """Four runs per site of the crawl: its own, which lasted as long as its pages took, one
+    of a page that robots rules block, one that ignores the rules, and one without a host.
+
+    The last site's own run tells nothing, and the one before did not respect the rules.
+    """
+    number = F.substring_index("site", "-", -1)
+    seconds = F.round(F.sum(F.col("load_time").cast("decimal(18,3)")), 2).cast("double")
+    own = crawl.groupBy("site", "start_url").agg(seconds.alias("crawl_seconds"))
+
+    def run(suffix: str, url: Column, took: Column, respects: Column) -> Column:
+        return F.struct(F.concat(F.col("site"), F.lit(suffix)).alias("site"), url.alias("start_url"),
+                        took.cast("double").alias("crawl_seconds"), respects.alias("respect_robots"))
+
+    told = lambda x: F.when(number != "4", x)
+    private = F.concat("start_url", F.lit("privacy"))
+    return own.select(F.inline(F.array(
+        run("", F.col("start_url"), told(F.col("crawl_seconds")), told(number != "3")),
+        run("-private", private, F.lit(0.25), F.lit(True)),
+        run("-ignoring", private, F.lit(0.5), F.lit(False)),
+        run("-nowhere", F.lit("https:///nowhere"), F.lit(None), F.lit(True)))))
+
+
 def _rule(agent: str, order: int, allow: bool, prefix: str) -> Column:
     return F.struct(F.lit(agent).alias("agent"), F.lit(order).alias("rule_order"),
                     F.lit(allow).alias("allow"), F.lit(prefix).alias("prefix"))

@@ -9,7 +9,9 @@ from sitegauge.operators import links as L
 from sitegauge.operators import reach
 from sitegauge.operators.features import page_features
 from sitegauge.operators.reach import link_reach
-from sitegauge.operators.robots import allowed_pages, robots_allowed
+from sitegauge.operators.robots import (
+    allowed_by_run, allowed_pages, host_rules, robots_allowed, verdicts, with_robots,
+)
 
 EDGE = "site string, src_url string, pos int, dst_url string, dst_clean string, is_internal boolean"
 
@@ -170,3 +172,54 @@ def test_blocked_start_blocks_the_site(spark):
     robots = spark.createDataFrame([("a.test", "*", 0, False, "/")], schemas.ROBOTS_RULES)
     assert link_reach(starts, edges, robots).count() == 0
     assert link_reach(starts, edges).count() == 2
+
+
+def first_fit(rules, target):
+    """The verdict of the first rule whose prefix fits, by a plain loop over all of them."""
+    for _, _, _, allow, prefix in sorted(rules, key=lambda r: r[2]):
+        if prefix == "*" or target.startswith(prefix):
+            return True if prefix == "" else allow
+    return True
+
+
+def test_many_rules_agree_with_a_plain_loop(spark):
+    draw = random.Random(5)
+    word = lambda least, most: "/" + "".join(draw.choice("ab/?") for _ in range(draw.randint(least, most)))
+    rules = [("s.test", "*", i, draw.random() < 0.5, word(2, 7)) for i in range(300)]
+    rules += [("s.test", "*", 300, False, "*"), ("s.test", "*", 301, True, "/"), ("e.test", "*", 0, False, ""),
+              ("n.test", "*", 0, False, None), ("n.test", "*", None, None, "/b")]
+    rules += [("s.test", "otherbot", 0, False, "/"), (None, "*", 0, False, "/")]
+    targets = [word(0, 12) for _ in range(400)]
+    urls = [f"https://s.test{t}" for t in targets] + ["https://e.test/x", "https://n.test/a", "https://n.test/b", None, ""]
+    own = [r for r in rules if r[0] == "s.test" and r[1] == "*"]
+    want = [first_fit(own, t) for t in targets] + [True] * 5
+    assert 50 < sum(want) < 350
+    # rows that repeat stay, columns with the names used inside as well
+    df = spark.createDataFrame([(u, i, "mine", "x") for i, u in enumerate(urls)], "url string, host int, open string, prefix string")
+    got = with_robots(df.union(df), spark.createDataFrame(rules, schemas.ROBOTS_RULES))
+    assert got.columns == ["url", "host", "open", "prefix", "allowed"]
+    assert sorted((r.host, r.allowed) for r in got.collect()) == sorted(2 * list(enumerate(want)))
+    assert robots_allowed(df, spark.createDataFrame([], schemas.ROBOTS_RULES)).count() == len(urls)
+    assert robots_allowed(df.limit(0), spark.createDataFrame(rules, schemas.ROBOTS_RULES)).count() == 0
+
+
+def test_a_url_is_looked_up_as_often_with_ten_thousand_rules_as_with_three(spark):
+    few = [("s.test", "*", i, False, p) for i, p in enumerate(["/aaaaa", "/bbbbb", "/ccccc"])]
+    many = [("s.test", "*", i, False, f"/{i:05d}") for i in range(10_000)]
+    asked = spark.createDataFrame([(f"https://s.test/{i:05d}/x",) for i in range(0, 20_000, 40)], "url string")
+    plans = []
+    for rules, blocked in ((few, 0), (many, 250)):
+        found = verdicts(asked, spark.createDataFrame(rules, schemas.ROBOTS_RULES))
+        assert found.where("not open").count() == blocked
+        plans.append(host_rules(spark.createDataFrame(rules, schemas.ROBOTS_RULES)).select(
+            F.length("prefix")).distinct().count())
+    assert plans == [1, 1]
+
+
+def test_runs_tell_which_sites_respect_robots(spark):
+    pages = spark.createDataFrame(
+        [(s, f"https://{s}.test/", f"https://{s}.test/{p}") for s in "abc" for p in "xy"], "site string, start_url string, url string")
+    rules = spark.createDataFrame([(f"{s}.test", "*", 0, False, "/x") for s in "abc"], schemas.ROBOTS_RULES)
+    runs = spark.createDataFrame([("a", None, 1.0, False), ("a", None, 2.0, False), ("b", None, None, None)], schemas.CRAWL_RUNS)
+    got = sorted((r.site, r.url[-1]) for r in allowed_by_run(pages, rules, runs).collect())
+    assert got == [("a", "x"), ("a", "y"), ("b", "y"), ("c", "y")]

@@ -177,3 +177,25 @@ def test_one_row_per_site_whatever_its_start_urls(crawl):
     counts = links.external_link_counts(links.external_links(links.links(features)))
     header = reports.crawl_header(features, counts, broken).collect()
     assert sorted((r.site, r.total_pages, r.start_url) for r in header) == [("s", 4, "http://s.test/"), ("t", 1, None)]
+
+
+def test_runs_give_durations_and_errors(spark, crawl):
+    pages = crawl({"html": "<title>t</title>"}, {"html": "<p>"}, {"site": "t", "start_url": "http://www.t.test/"},
+                  {"site": "u", "start_url": None})
+    runs = spark.createDataFrame([
+        ("s", " s.test ", 12.3456, None), ("t", "http://www.t.test/", None, False), ("gone", "https://gone.test/", 3.0, True),
+        ("shut", "https://shut.test/", 0.1, None), ("open", "https://shut.test/", 0.1, False), ("bad", "https:///x", 9.0, True),
+        ("null", None, None, True)], schemas.CRAWL_RUNS)
+    rules = spark.createDataFrame([("shut.test", "*", 0, False, "/")], schemas.ROBOTS_RULES)
+    audit = Audit(pages, spark.createDataFrame([], schemas.LINK_STATUS), rules, runs=runs)
+    header = {r.site: (r.base_domain, r.crawl_time, r.respect_robots) for r in audit.header.collect()}
+    assert header == {"s": ("s.test", 12.35, None), "t": ("t.test", None, False), "u": (None, None, None)}
+    told = {(r.site, r.metric): r.value for r in audit.summary.collect()}
+    assert [told[site, "Crawl Duration"] for site in "stu"] == ["12.35s", "n/a", "n/a"]
+    assert [told[site, "robots.txt Respected"] for site in "stu"] == ["n/a", "No", "n/a"]
+    results = {r.site: r for r in reports.crawl_results(runs, audit.header, rules).collect()}
+    assert len(results) == 7 and results["s"].url == "https://s.test" and results["s"].total_pages == 2
+    assert [results[s].error for s in ("s", "t", "gone", "open")] == [None] * 4 and results["gone"].total_pages == 0
+    assert results["shut"].error == "robots_blocked" and "blocked by robots.txt" in results["shut"].message
+    assert results["shut"].total_pages is None and results["open"].crawl_time == 0.1
+    assert {results[s].error for s in ("bad", "null")} == {"Invalid URL — no domain found."}
