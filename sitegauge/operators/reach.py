@@ -36,8 +36,7 @@ def adjacency(link_edges: DataFrame, rules: DataFrame | None, max_pages: int | N
     first = internal.groupBy("site", "src").agg(F.min("src_url").alias("src_url"))
     edges = internal.join(first, ["site", "src", "src_url"]).groupBy("site", "src", "url").agg(F.min("pos").alias("pos"))
     if rules is not None:
-        allowed = robots_allowed(edges.select("site", "url").distinct(), rules)
-        edges = edges.join(allowed, ["site", "url"], "left_semi")
+        edges = robots_allowed(edges, rules)
     nth = F.row_number().over(Window.partitionBy("site", "src").orderBy("pos"))
     ranked = edges.withColumn("nth", nth)
     return ranked.select("site", "src", "url", "nth") if max_pages is None else ranked.where(

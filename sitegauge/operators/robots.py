@@ -7,7 +7,7 @@ file of n characters has at most sqrt(2n) different lengths.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge import constants as K
@@ -15,8 +15,9 @@ from sitegauge.functions import urls as U
 
 
 def host_rules(rules: DataFrame, agent: str = K.AGENT_TOKEN) -> DataFrame:
-    """(host, prefix, place, open): the rules of each host's group for ``agent``, else of '*'.
+    """(host, prefix, place): the rules of each host's group for ``agent``, else of '*'.
 
+    A host's rules come from one robots file, which bounds them: one shuffle by host does.
     Of several named groups only the first one applies, and of rules with the same
     prefix the first one. A prefix '*' fits every URL, as an empty one does, which (a
     bare "Disallow:") allows everything. A rule without a prefix fits none.
@@ -26,9 +27,10 @@ def host_rules(rules: DataFrame, agent: str = K.AGENT_TOKEN) -> DataFrame:
     ranked = rules.select("host", "rule_order", "allow", "prefix", F.lower("agent").alias("agent"),
                           named.alias("grp")).where(F.col("grp").isNotNull())
     order = F.struct("grp", "rule_order", "allow", "prefix", "agent")
-    first = ranked.groupBy("host").agg(F.min(order).alias("f")).select("host", "f.grp", "f.agent")
+    first = F.min(order).over(Window.partitionBy("host"))
     is_open = F.coalesce((F.col("prefix") == "") | F.col("allow"), F.lit(True))
-    return (ranked.join(first, ["host", "grp", "agent"]).where(F.col("prefix").isNotNull())
+    return (ranked.withColumn("first", first)
+            .where("grp = first.grp and agent = first.agent and prefix is not null")
             .withColumn("place", F.struct("rule_order", "allow", "prefix", is_open.alias("open")))
             .groupBy("host", F.when(F.col("prefix") != "*", F.col("prefix")).otherwise("").alias("prefix"))
             .agg(F.min("place").alias("place")))
@@ -68,8 +70,10 @@ def with_robots(urls: DataFrame, rules: DataFrame, url: str = "url",
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url",
                    respect_robots: bool | Column = True) -> DataFrame:
     """URLs that may be fetched."""
-    checked = with_robots(urls, rules, url, respect_robots)
-    return checked.where(F.col("allowed")).drop("allowed")
+    if respect_robots is False:
+        return urls
+    closed = verdicts(urls.select(F.col(url).alias("url")), rules).where("not open").select(F.col("url").alias("_asked"))
+    return urls.join(closed, _respected(respect_robots) & (F.col(url) == F.col("_asked")), "left_anti")
 
 
 def allowed_pages(pages: DataFrame, rules: DataFrame, respect_robots: bool | Column = True) -> DataFrame:
