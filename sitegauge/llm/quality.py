@@ -2,7 +2,7 @@
 
 The model predicts each UTF-8 byte from the three before it, one model per language,
 trained on the documents that ``labels`` marks as good, but for one in ``HELD_OUT``,
-which sets the thresholds. Counts of byte 4-grams are
+or one at least of several, which set the thresholds. Counts of byte 4-grams are
 summed up over the corpus; lower orders count the distinct continuations, and every
 order has its own three discounts. The probabilities of each order are tables sharded
 by language and n-gram.
@@ -38,6 +38,8 @@ ORDER = 4
 HELD_OUT = 4
 QUANTILE, SLACK = 0.998, 1.25
 BLOCK_CHARS = 16_000_000
+#: Parts that the rows of a language are dealt into where they meet its one row.
+PARTS = 64
 #: Longest run of words that counts as repeated when it follows itself.
 LOOP_WORDS = 8
 #: Byte that stands before the first of a text; UTF-8 has no such byte.
@@ -95,6 +97,13 @@ def _shorter(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (8 * order)) - 1).cast("long"))
 
 
+def _with_language(rows: DataFrame, of_language: DataFrame, dealt_by: Column, how: str = "inner") -> DataFrame:
+    """Rows with the columns of their language's row, each language dealt into PARTS."""
+    spread = of_language.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(dealt_by, F.lit(PARTS)).cast("int")
+    return rows.withColumn("_part", part).join(spread, ["lang", "_part"], how).drop("_part")
+
+
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of counts (lang, gram, n): (lang, gram, own) and (lang, context, rest).
 
@@ -110,7 +119,7 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * f[k] / F.greatest(f[k - 1], F.lit(1.0))))
         .alias(f"d{k}") for k in (1, 2, 3)])
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(discounts, "lang").select(
+    rows = _with_language(counts, discounts, F.col("gram")).select(
         "lang", "gram", "n", _context(F.col("gram")).alias("context"), taken.alias("taken"))
     contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("taken").alias("left"))
     own = rows.join(contexts, ["lang", "context"]).select(
@@ -134,9 +143,14 @@ def train(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 def _probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Adds ``logp`` to distinct (lang, gram) rows; a language without a model is left out."""
-    known = asked.join(model[0][1].select("lang"), "lang", "left_semi")
-    p = F.lit(1 / 256)
-    for order, (own, rest) in enumerate(model, 1):
+    # of a language all 256 bytes, seen or not: this join leaves out languages without a model
+    own, rest = model[0]
+    every = rest.select("lang", "rest", F.explode(F.sequence(F.lit(0), F.lit(255)).cast("array<long>")).alias("_g"))
+    bytes_ = every.join(own.withColumnRenamed("gram", "_g"), ["lang", "_g"], "left").select(
+        "lang", "_g", (F.coalesce("own", F.lit(0.0)) + F.col("rest") / 256).alias("_p"))
+    known = asked.withColumn("_g", _shorter(F.col("gram"), 1)).join(bytes_, ["lang", "_g"]).drop("_g")
+    p = F.col("_p")
+    for order, (own, rest) in enumerate(model[1:], 2):
         gram = _shorter(F.col("gram"), order)
         known = known.withColumns({"_g": gram, "_c": _context(gram)})
         known = (known.join(own.select("lang", F.col("gram").alias("_g"), F.col("own").alias(f"_own{order}")),
@@ -223,13 +237,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"))
 
 
+def _with_held_out(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """Adds ``held_out`` to the distinct trusted doc_ids: one in HELD_OUT by hash, and where that leaves a
+    language of several trusted documents without one, its document with the least hash."""
+    draw = F.xxhash64(F.lit("held out"), "doc_id")
+    good = good.withColumn("held_out", F.pmod(draw, F.lit(HELD_OUT)) == 0)
+    place = F.struct(draw.alias("draw"), "doc_id")
+    more = (rows.select("lang", "doc_id").join(good, "doc_id").groupBy("lang")
+            .agg(F.max("held_out").alias("some"), F.min(place).alias("first"), F.max(place).alias("last"))
+            .where("not some and first < last").select("first.doc_id", F.lit(True).alias("more")).distinct())
+    return good.join(more, "doc_id", "left").select(
+        "doc_id", (F.col("held_out") | F.coalesce("more", F.lit(False))).alias("held_out"))
+
+
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row the columns of SCORED, trusted and held_out; perplexity is null for empty texts and languages without trusted text."""
     spark, rows = docs.sparkSession, _keyed(docs)
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    held_out = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
-    good = good.withColumn("held_out", held_out)
+    good = _with_held_out(rows, good)
     model = train(rows.join(good.where("not held_out"), "doc_id", "left_semi").select("lang", "text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(partitions, chars // BLOCK_CHARS + 1)
@@ -252,7 +278,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Documents: ``doc_id``, ``text`` and ``lang``; labels: ``doc_id`` and ``quality``. A
     null language is one of its own, named ''. A document is kept if nothing speaks
     against it: an empty or null text, or one in a language without trusted documents,
-    has no perplexity and stays. Rows are judged each, so repeated rows agree; a null
+    has no perplexity and stays; with one trusted document there is nothing to hold out, and no threshold. Rows are judged each, so repeated rows agree; a null
     doc_id is never trusted. An empty table gives an empty result. ``repetition`` is the
     share of words that end a run of words following itself, but for the first such
     word, which may be chance.
@@ -263,7 +289,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg(
         (SLACK * F.percentile_approx(held_out, QUANTILE, 100_000)).alias("threshold"),
         F.percentile_approx("repetition", QUANTILE, 100_000).alias("most_repetition"))
-    return scored.join(limits, "lang", "left").select(
+    return _with_language(scored, limits, F.col("text_hash"), "left").select(
         "doc_id", "text_hash", "lang", "perplexity", "threshold", "repetition", "most_repetition",
         (F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
          & F.coalesce(F.col("repetition") <= F.col("most_repetition"), F.lit(True))).alias("kept"))

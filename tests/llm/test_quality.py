@@ -115,3 +115,16 @@ def test_repeated_word_junk_of_given_documents(spark):
         F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
     assert kept[1] >= 0.98 and kept[0] <= 0.04
+
+
+def test_a_language_of_few_trusted_documents_has_a_threshold(spark, docs_of):
+    """No document is held out by hash: the one with the least hash is, but for a language of a single one."""
+    drawn = spark.range(1000, 1100).selectExpr("id", f"pmod(xxhash64('held out', id), {quality.HELD_OUT}) = 0 as held")
+    ids = [r.id for r in drawn.where("not held").limit(4).collect()]
+    texts = ["der hund und die katze sind im haus", "die katze und der hund sind im garten", "das haus ist im garten"]
+    rows = [(i, t, "de") for i, t in zip(ids, texts)] + [(ids[3], "le chat est dans la maison", "fr")]
+    rows += [(1, "zzzz qqqq xxxx", "de"), (2, "der hund ist im haus", "de"), (3, "zzzz qqqq xxxx", "fr")]
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    judged = {r.doc_id: r for r in quality.judged(docs_of(*rows), labels).collect()}
+    assert {i: r.kept for i, r in judged.items()} == {**dict.fromkeys(ids, True), 1: False, 2: True, 3: True}
+    assert judged[1].threshold > 0 and judged[3].threshold is None
