@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 FEATURES = 1 << 13
 WINDOW, STEP = 40, 20
-#: Ordinary paragraphs for training and calibration, at most: those of least hash.
+#: Distinct paragraphs of least hash, of which the ordinary ones serve for training and calibration.
 SAMPLE = 1000
 LEAST_SIMILARITY = 0.5
 QUANTILE = 0.99
@@ -180,12 +180,12 @@ def _training_rows(docs: DataFrame) -> DataFrame:
             rows += [(p, family, 0) for p in sorted(pieces)]
     rows += [(text, UNKNOWN, i % 2) for i, text in enumerate(ORDINARY)]
     fixed = spark.createDataFrame(rows, "line string, family string, kept_back int")
-    # of least hash, so that reruns agree; the hashes alone tell which, so no text is shuffled for it
-    lines = (paragraphs(docs).where((F.length("line") > 20) & ~F.col("line").rlike(_ANCHOR_RE)
-                                    & ~_may_hold_statement(F.col("line")))
-             .select(F.xxhash64("line").alias("h"), "line"))
+    # of least hash, so that reruns agree; the hashes alone tell which, so no text is shuffled for it, and
+    # the patterns are tried on these few only
+    lines = paragraphs(docs).where(F.length("line") > 20).select(F.xxhash64("line").alias("h"), "line")
     largest = lines.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    plain = lines.where(F.col("h") <= F.lit(largest).cast("long")).distinct()
+    drawn = lines.where(F.col("h") <= F.lit(largest).cast("long")).distinct()
+    plain = drawn.where(~F.col("line").rlike(_ANCHOR_RE) & ~_may_hold_statement(F.col("line")))
     mixed = plain.select(F.explode(F.array("line", F.concat(
         F.get(F.array(*map(F.lit, ANCHORS)), F.pmod("h", F.lit(len(ANCHORS))).cast("int")), F.lit(" "), "line"))).alias(
         "line"), F.lit(UNKNOWN).alias("family"), F.pmod(F.shiftright("h", 8), F.lit(2)).cast("int").alias("kept_back"))
