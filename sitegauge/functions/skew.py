@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sitegauge.session import stage
 
+#: Parts that the rows of a group are dealt into where they meet its one row.
+PARTS = 64
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                   rank: str = "rank") -> DataFrame:
@@ -19,6 +22,17 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
+def with_group_row(df: DataFrame, of_group: DataFrame, key: str, dealt_by: Column, how: str = "inner") -> DataFrame:
+    """Rows of ``df`` joined with the one row of their group, without gathering a group.
+
+    Spark knows the size of the staged rows of the groups: few are broadcast, and for
+    many the rows of a group are dealt into ``PARTS`` by ``dealt_by`` before they meet.
+    """
+    parts = stage(of_group.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), "group-rows")
+    dealt = df.withColumn("_part", F.pmod(dealt_by, F.lit(PARTS)).cast("int"))
+    return dealt.join(parts, [key, "_part"], how).drop("_part")
+
+
 def number_per_group(df: DataFrame, keys: list[str], chunk: Column, order: list[Column],
                      name: str) -> DataFrame:
     """Number the rows of every group from 1, in order, in bounded pieces.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitegauge import constants as K
 from sitegauge.functions.numbers import round_even
-from sitegauge.functions.skew import top_per_group
+from sitegauge.functions.skew import top_per_group, with_group_row
 from sitegauge.session import stage
 
 _URL = rf"https?[^\s{K.OTHER_SPACE}]+"
@@ -70,7 +70,7 @@ def frequent_words(token_rows: DataFrame, size: int) -> DataFrame:
               .groupBy("corpus", "word").agg(F.count("*").alias("total")))
     floors = (top_per_group(totals, ["corpus"], [F.desc("total"), F.asc("word")], size, "nth")
               .where(F.col("nth") == size).select("corpus", F.col("total").alias("floor")))
-    return (totals.join(floors, "corpus", "left")
+    return (with_group_row(totals, floors, "corpus", F.xxhash64("word"), "left")
             .where(F.col("total") >= F.coalesce("floor", F.lit(0))).select("corpus", "word"))
 
 
@@ -95,16 +95,15 @@ def tfidf(token_rows: DataFrame, single_corpus: bool = False) -> DataFrame:
     """L2-normalised weight per document and vocabulary term, smoothed idf.
 
     With a single corpus the vocabulary has at most 100 rows and is broadcast;
-    otherwise Spark sizes the join at run time. Only vocabulary terms are shuffled by
-    document.
+    otherwise it is staged, so that Spark knows its size before it shuffles the terms
+    of all documents. Only vocabulary terms are shuffled by document.
     """
     counts = term_counts(token_rows)
     sizes = token_rows.groupBy("corpus").agg(F.count("*").alias("n_docs"))
     terms = vocabulary(token_rows).join(sizes, "corpus").select(
         "corpus", "term", "term_no",
         (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    if single_corpus:
-        terms = F.broadcast(terms)
+    terms = F.broadcast(terms) if single_corpus else stage(terms, "vocabulary")
     by_doc = Window.partitionBy("corpus", "doc_id")
     return (counts.join(terms, ["corpus", "term"])
             .withColumn("raw", F.col("tf") * F.col("idf"))
@@ -113,10 +112,10 @@ def tfidf(token_rows: DataFrame, single_corpus: bool = False) -> DataFrame:
 
 
 def enough_docs(docs: DataFrame) -> DataFrame:
-    """Docs of corpora that have at least three documents."""
+    """Docs of corpora that have at least three documents; no text is shuffled by its corpus alone."""
     ok = docs.groupBy("corpus").agg(F.count("*").alias("n")).where(
         F.col("n") >= K.MIN_ISSUES_FOR_TEXT).select("corpus")
-    return docs.join(ok, "corpus", "left_semi")
+    return with_group_row(docs, ok, "corpus", F.xxhash64("doc_id", "text"), "left_semi")
 
 
 def text_guard(docs: DataFrame) -> DataFrame:
