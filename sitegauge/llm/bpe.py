@@ -198,9 +198,10 @@ _loaded: dict[str, Tokenizer] = {}
 
 
 def _tokenizer(path: str) -> Tokenizer:
-    """One per worker process and file, so that its words are remembered between tasks."""
+    """One per worker process and file, so that its words are remembered between tasks, until another operator's."""
     if path not in _loaded:
         _loaded[path] = Tokenizer(path)
+        W.hold(_loaded.clear)
     return _loaded[path]
 
 

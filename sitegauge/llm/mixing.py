@@ -106,6 +106,7 @@ def _settle(x: np.ndarray, size: np.ndarray, key: np.ndarray, last: bool) -> np.
 
 def _rounded(last: bool, level: int):
     def of_chunk(table: pa.Table) -> pa.Table:
+        words.make_room()
         # long documents first: the one that is left over at the end is then a short one
         table = table.sort_by([("size", "descending"), ("k1", "ascending"), ("k2", "ascending")])
         key = table["k1"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(7919 * (level + 1))

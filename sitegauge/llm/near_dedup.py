@@ -69,6 +69,7 @@ def text_hash() -> Column:
 def _sketch_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = W.bytes_of(batch.column(3))
+    W.make_room()
         for first, last in W.pieces(offsets):
             part = offsets[first:last + 1]
             hashes, counts = W.shingle_hashes(data[part[0]:part[-1]], part - part[0], size)
@@ -104,6 +105,7 @@ def sketches(docs: DataFrame, like: Likeness = THREE_WORDS) -> DataFrame:
 def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
+    W.make_room()
             a, b = (np.array([np.frombuffer(m, np.uint16) for m in batch.column(i).to_pylist()]) for i in (2, 3))
             kept = (a == b).mean(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
@@ -113,6 +115,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, 500):
         sets = []
+    W.make_room()
         for i in (2, 3):
             data, offsets = W.bytes_of(batch.column(i))
             hashes, counts = W.shingle_hashes(data, offsets, like.words)
@@ -130,6 +133,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
     """id, component and text -> id, component and the sorted distinct shingles."""
     for batch in W.slices(batches, 500):
         data, offsets = W.bytes_of(batch.column(2))
+    W.make_room()
         hashes, counts = W.shingle_hashes(data, offsets, size)
         sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
         yield pa.RecordBatch.from_arrays([

@@ -38,6 +38,8 @@ ORDER = 4
 HELD_OUT = 4
 QUANTILE, SLACK = 0.998, 1.25
 BLOCK_CHARS = 16_000_000
+#: Texts of a block that are scored at a time.
+SCORED_ROWS = 200
 #: Parts that the rows of a language are dealt into where they meet its one row.
 PARTS = 64
 #: Longest run of words that counts as repeated when it follows itself.
@@ -80,6 +82,7 @@ def _summed(total: tuple[np.ndarray, np.ndarray] | None, grams: np.ndarray, coun
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns lang, text -> lang, gram, n, summed up within a batch."""
+    W.make_room()
     for batch in batches:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for lang, _, data, offsets in _by_language(batch.column(0), batch.column(1)):
@@ -163,6 +166,7 @@ def _probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -
 
 def _ask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (block, lang, gram) of sorted blocks; rows are block, lang, key columns, text."""
+    W.make_room()
     held: dict[tuple[int, str], np.ndarray] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ SCORED = ("doc_id long, text_hash long, lang string, n_bytes long, perplexity do
 
 def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """Perplexity of every text of a block, from the log-probabilities of its 4-grams, and its repeated words."""
-    texts, answers = texts.combine_chunks(), answers.combine_chunks()
+    W.make_room()
     answer_langs = np.array(answers["lang"].to_pylist(), dtype=object)
     grams, logs = answers["gram"].to_numpy().astype(np.uint32), answers["logp"].to_numpy().astype(np.float64)
     tables = {}
@@ -214,8 +218,11 @@ def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
         tables[lang] = grams[own][order], logs[own][order]
     total, n = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
     n_words, n_repeats = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    if len(texts):
-        for lang, rows, data, offsets in _by_language(texts["lang"].chunk(0), texts["text"].chunk(0)):
+    first = 0
+    # the arrays made from a text are many times its size: few texts at a time, and no copy of them all
+    for batch in W.slices(texts.select(["lang", "text"]).to_batches(), SCORED_ROWS):
+        for lang, rows, data, offsets in _by_language(batch.column(0), batch.column(1)):
+            rows = rows + first
             n[rows] = np.diff(offsets)
             n_words[rows], n_repeats[rows] = _repeats(data, offsets)
             if lang in tables:
@@ -224,6 +231,7 @@ def _score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
                 # sorted look-ups walk the table once, instead of jumping through it
                 distinct, inverse = np.unique(found, return_inverse=True)
                 total[rows] = np.bincount(text, values[np.searchsorted(table, distinct)][inverse], len(rows))
+        first += batch.num_rows
     scored = ~np.isnan(total) & (n > 0)
     perplexity = np.exp(-np.where(scored, total, 0.0) / np.maximum(n, 1))
     return pa.table([texts["doc_id"], texts["text_hash"], texts["lang"], pa.array(n),

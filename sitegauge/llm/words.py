@@ -7,7 +7,7 @@ texts at a time and without a Python object per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,20 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.random.default_rng(21).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
+_held: list[Callable[[], None]] = []
+
+
+def hold(forget: Callable[[], None]) -> None:
+    """Say how to give up what this worker process remembers between the tasks of one operator."""
+    _held.append(forget)
+
+
+def make_room() -> None:
+    """Give up what another operator's tasks left in this worker; Spark uses workers again for later stages."""
+    while _held:
+        _held.pop()()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values, so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(30))
