@@ -35,6 +35,8 @@ from sitegauge.llm.components import components
 from sitegauge.session import discard, stage
 
 HASHES = 120
+#: Bits of the filter that keeps most texts without a part in any bucket from being shuffled.
+FILTER_BITS = 1 << 26
 
 
 class Likeness(NamedTuple):
@@ -67,9 +69,9 @@ def text_hash() -> Column:
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in batches:
         data, offsets = W.bytes_of(batch.column(3))
-    W.make_room()
         for first, last in W.pieces(offsets):
             part = offsets[first:last + 1]
             hashes, counts = W.shingle_hashes(data[part[0]:part[-1]], part - part[0], size)
@@ -103,9 +105,9 @@ def sketches(docs: DataFrame, like: Likeness = THREE_WORDS) -> DataFrame:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in batches:
         if batch.num_rows:
-    W.make_room()
             a, b = (np.array([np.frombuffer(m, np.uint16) for m in batch.column(i).to_pylist()]) for i in (2, 3))
             kept = (a == b).mean(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
@@ -113,9 +115,9 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 
 def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in W.slices(batches, 500):
         sets = []
-    W.make_room()
         for i in (2, 3):
             data, offsets = W.bytes_of(batch.column(i))
             hashes, counts = W.shingle_hashes(data, offsets, like.words)
@@ -131,9 +133,9 @@ def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Re
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """id, component and text -> id, component and the sorted distinct shingles."""
+    W.make_room()
     for batch in W.slices(batches, 500):
         data, offsets = W.bytes_of(batch.column(2))
-    W.make_room()
         hashes, counts = W.shingle_hashes(data, offsets, size)
         sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(counts)[:-1])]
         yield pa.RecordBatch.from_arrays([
@@ -202,6 +204,21 @@ def _bucket_rows(nodes: DataFrame, like: Likeness) -> DataFrame:
     return scored
 
 
+def _perhaps(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts (id, text) but for such as surely have none of the ids: the bit of their id's hash is not set.
+
+    The bits are made and tested by Spark's bitmap functions; however many the ids, they
+    take 8 MB at most where they are broadcast.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    piece, place = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = (ids.select(piece.alias("_piece"), place.alias("_place")).repartition("_piece")
+            .groupBy("_piece").agg(F.bitmap_construct_agg("_place").alias("_bits")))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1))
+    return texts.withColumn("_piece", piece).join(F.broadcast(bits), "_piece").where(bit == 1).select("id", "text")
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -214,8 +231,9 @@ def node_components(nodes: DataFrame, texts: DataFrame, known: DataFrame, like:
     rows = _bucket_rows(nodes, like)
     leader = rows.groupBy("bucket").agg(F.max_by("node", "score").alias("leader"))
     pairs = rows.join(leader, "bucket").where("node <> leader").select(*_pair("node", "leader")).distinct()
-    shared = stage(texts.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-                   .dropDuplicates(["id", "text"]), "near-texts")
+    ids = rows.select(F.col("node").alias("id")).distinct()
+    # a semi join would be moved to before the filter
+    shared = stage(_perhaps(texts, ids).join(ids, "id").dropDuplicates(["id", "text"]), "near-texts")
     confirmed = _confirmed(pairs, nodes, shared, like)
     links = stage(confirmed.union(known), "near-links")
     labels = components(links.toDF("u", "v"))
